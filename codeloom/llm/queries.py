@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, simhash, topk_search
+from . import mixing, packing, quality_classifier, quality_rules, simhash, topk_search
 from .common import table
 
 
@@ -14,6 +14,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -23,13 +31,55 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.by_fold(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_simhash, op8_topk_search, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_mixing, op6_packing, op7_simhash, op8_topk_search, op9_quality_rules, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_topk_search": OP8_SQL, "op9_quality_rules": OP9_SQL}
-
+    return {"op1_mixing": OP1_SQL, "op8_topk_search": OP8_SQL, "op9_quality_rules": OP9_SQL}
+
+
+OP1_SQL = rf"""
+WITH s AS (
+  SELECT row_number() OVER () AS k, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS key
+  FROM documents),
+laid AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size, k) - size AS start FROM s),
+per AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         list_extract([3.0::DOUBLE, 1.0, 2.0], ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER) AS weight
+  FROM s GROUP BY source),
+lev AS (
+  SELECT *, ({mixing.SHARE}::DOUBLE * sum(source_size) OVER ()
+             - 2 * coalesce(sum(source_size) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM per),
+tgt AS (
+  SELECT source, source_size,
+         CASE WHEN 2 * source_size <= level * weight THEN 2.0 * source_size::DOUBLE
+              ELSE weight * min_by(level, source_size / weight) FILTER (WHERE 2 * source_size > level * weight) OVER () END AS target
+  FROM lev),
+edges AS (
+  SELECT *, CASE WHEN row_number() OVER (ORDER BY source DESC NULLS FIRST) = 1 THEN {mixing.POINTS}
+                 ELSE floor(sum(target) OVER (ORDER BY source NULLS LAST) / sum(target) OVER () * {mixing.POINTS})::BIGINT END AS high
+  FROM tgt WHERE target > 0),
+ranges AS (SELECT *, coalesce(lag(high) OVER (ORDER BY source NULLS LAST), 0) AS low FROM edges),
+slots AS (
+  SELECT (i % 2147483648 * {mixing.GOLDEN}) % {mixing.POINTS} AS point
+  FROM range((SELECT floor(sum(target) / {mixing.BLOCK_WORDS})::BIGINT FROM tgt)) AS r(i)),
+used AS (SELECT source, count(*) AS n FROM slots JOIN ranges ON point >= low AND point < high GROUP BY source),
+plan AS (
+  SELECT t.source, source_size, target, ceil(source_size / {mixing.BLOCK_WORDS})::BIGINT AS blocks, coalesce(n, 0) AS n
+  FROM tgt t LEFT JOIN used u ON t.source IS NOT DISTINCT FROM u.source),
+passes AS (SELECT *, least(n, 2 * blocks) AS m FROM plan)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN blocks = 0 THEN 0 ELSE m // blocks * size + greatest(0, least(start + size, m % blocks * {mixing.BLOCK_WORDS}) - start) END::BIGINT AS taken
+FROM laid l JOIN passes p ON l.source IS NOT DISTINCT FROM p.source
+"""
 
 OP8_SQL = """
 WITH v AS (
