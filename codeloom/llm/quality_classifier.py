@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATOR_CHARS, checkpointed, crc32_mod, let, text_of, words
+from .common import SEPARATOR_CHARS, checkpointed, crc32_mod, labels_of, let, text_of, words
 from .quality_rules import STOP_WORDS, repeated_window_words
 
 #: Weight of the pooled covariance, then of the scaled identity, in a class covariance.
@@ -86,11 +86,6 @@ def statistics(text: Column) -> Column:
     return let(text, of)
 
 
-def labels_of(labels: DataFrame, label: str) -> DataFrame:
-    """One row for each labelled document: doc_id, y (0 or 1)."""
-    return labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y"))
-
-
 def _moments(batches):
     """Per class: count, sum and sum of outer products of the features, as one flat row a batch."""
     for batch in batches:

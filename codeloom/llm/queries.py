@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_classifier, quality_rules, simhash, topk_search
+from . import mixing, packing, quality_classifier, quality_rules, simhash, topk_search, toxicity
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.by_fold(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op6_packing, op7_simhash, op8_topk_search, op9_quality_rules, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_mixing, op4_toxicity, op6_packing, op7_simhash, op8_topk_search, op9_quality_rules, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
