@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_classifier, quality_rules, simhash, topk_search, toxicity
+from . import chat_format, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, token_counts, topk_search, toxicity
 from .common import table
 
 
@@ -18,6 +18,21 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_counts(table(spark, sf_dir, "documents"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    return chat_format.read_back(chat_format.format_windows(rows.unionByName(more)))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.by_fold(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,11 +55,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op4_toxicity, op6_packing, op7_simhash, op8_topk_search, op9_quality_rules, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_token_counts, op4_toxicity, op5_chat_format, op6_packing, op7_simhash, op8_topk_search, op9_quality_rules, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op8_topk_search": OP8_SQL, "op9_quality_rules": OP9_SQL}
+    return {"op1_mixing": OP1_SQL, "op2_line_dedup": OP2_SQL, "op8_topk_search": OP8_SQL, "op9_quality_rules": OP9_SQL}
 
 
 OP1_SQL = rf"""
@@ -85,6 +100,34 @@ SELECT doc_id, size, source_size, target,
 FROM laid l JOIN passes p ON l.source IS NOT DISTINCT FROM p.source
 """
 
+OP2_SQL = rf"""
+WITH lines AS (
+  SELECT doc_id, pos, line, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)),
+content AS (
+  SELECT doc_id, pos, t, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS k,
+         lead(t, 1) OVER (PARTITION BY doc_id ORDER BY pos) AS t1, lead(t, 2) OVER (PARTITION BY doc_id ORDER BY pos) AS t2
+  FROM lines WHERE t <> ''),
+windows AS (
+  SELECT doc_id, k, {line_dedup.SPAN} AS span, t, t1, t2 FROM content WHERE t2 IS NOT NULL
+  UNION ALL
+  SELECT doc_id, k, 1, t, NULL, NULL FROM content WHERE len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) >= {line_dedup.LONG_LINE_WORDS}),
+firsts AS (SELECT *, first_value((doc_id, k)) OVER (PARTITION BY span, t, t1, t2 ORDER BY doc_id, k) AS f FROM windows),
+covered AS (
+  SELECT DISTINCT doc_id, k + d AS k
+  FROM firsts, range({line_dedup.SPAN}) AS o(d)
+  WHERE (doc_id, k) > f AND d < span AND (f[1] <> doc_id OR k + d >= f[2] + span)),
+kept AS (
+  SELECT l.doc_id, l.pos, l.line, v.k IS NOT NULL AS gone, c.k AS ck
+  FROM lines l LEFT JOIN content c USING (doc_id, pos) LEFT JOIN covered v ON v.doc_id = c.doc_id AND v.k = c.k),
+m AS (
+  SELECT doc_id, count(ck)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS rest
+  FROM kept GROUP BY doc_id)
+SELECT doc_id, n_lines, n_removed, CASE WHEN n_removed = 0 THEN text ELSE rest END AS text FROM m JOIN documents USING (doc_id)
+"""
+
 OP8_SQL = """
 WITH v AS (
   SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
