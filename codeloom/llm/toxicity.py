@@ -1,7 +1,7 @@
 """Toxicity scores from a lexicon that is matched with misspellings and read in context.
 
 The lexicon is learnt from labelled training rows: word beginnings and whole words that
-occur in toxic documents far more often than chance allows. It is kept as a trie. Every
+occur in toxic documents more often than chance allows, given how many terms are tried. It is kept as a trie. Every
 word of a text is run through the trie: exactly, and for longer terms as the
 intersection of the trie with the Levenshtein automaton of the word (one edit, a swap of
 neighbours counts as one). Misspellings that clean training rows also use are exempt.
@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, labels_of, text_of
+from .common import checkpointed, crc32_mod, labels_of, text_of
 
 SAMPLE_ROWS = 12_000
-#: A term must beat chance by this log-likelihood ratio, and be this often right.
-LEAST_RATIO, LEAST_PRECISION = 30.0, 0.9
+#: A term must occur in so many toxic training documents, and be this often right.
+LEAST_DOCUMENTS, LEAST_PRECISION = 3, 0.9
 PREFIXES = range(4, 11)
 #: Whole words are matched with an edit from this length on, and from this share of the toxic documents.
 FUZZY_FROM, FUZZY_SHARE = 5, 0.02
@@ -244,13 +244,15 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", sample_ro
         return {t for w in {normal(x) for x in set(text.split())} for t in candidate_terms(w)}
 
     counts = rows.mapInArrow(_counted(terms_of), _COUNTS).groupBy("key").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
-    likely = counts.filter((F.col("a") >= 3) & (F.col("a") >= LEAST_PRECISION * (F.col("a") + F.col("b")))).collect()
+    tried = checkpointed(counts.filter(F.col("a") >= LEAST_DOCUMENTS))
+    chance = 2 * math.log(20 * max(1, tried.count()))  # a ratio that one of so many terms reaches by chance in one of twenty trainings
+    likely = tried.filter(F.col("a") >= LEAST_PRECISION * (F.col("a") + F.col("b"))).collect()
     kept: dict[str, float] = {}
     common = set()
     for r in sorted(likely, key=lambda r: (len(r["key"]), r["key"])):
         key, a, b = r["key"], r["a"], r["b"]
         implied = key[-1] != "$" and any(key[:k] in kept for k in range(1, len(key)))
-        if not implied and _log_ratio(a, b, n1, n0) >= LEAST_RATIO:
+        if not implied and _log_ratio(a, b, n1, n0) >= chance:
             kept[key] = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
             if a >= FUZZY_SHARE * n1:
                 common.add(key)
@@ -310,7 +312,8 @@ def by_fold(documents: DataFrame, labels: DataFrame, folds: int = 5, fold: int =
     return score(rows, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def without_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def below(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """documents, in their own columns, that score below the threshold."""
-    own = documents.columns
-    return score(documents, trained_by_fold(documents, labels)).filter(F.col("score") < threshold).select(*own)
+    renamed = documents.withColumnRenamed("score", "_own_score") if "score" in documents.columns else documents
+    kept = score(renamed, model).filter(F.col("score") < threshold).drop("score")
+    return kept.withColumnRenamed("_own_score", "score").select(*documents.columns)
