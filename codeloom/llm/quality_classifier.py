@@ -34,7 +34,7 @@ FEATURES = (
 
 def statistics(text: Column) -> Column:
     """An array of transformed statistics of one text, in the order of FEATURES; every entry is finite."""
-    stops = F.array(*[F.lit(x) for line in STOP_WORDS for x in line.split()])
+    stops = [x for line in STOP_WORDS for x in line.split()]
     without = lambda t, chars: F.length(t) - F.length(F.translate(t, chars, ""))
     share = lambda a, b: a.cast("double") / (b + 1)
     logit = lambda a, b: F.log((a + 0.5) / (b - a + 0.5))  # noqa: E731  of counts with a <= b
@@ -45,7 +45,7 @@ def statistics(text: Column) -> Column:
         same = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
 
         def counted(w: Column) -> Column:
-            bare = F.filter(w, lambda x: F.array_contains(stops, F.rtrim(F.lower(x), F.lit(".,;:!?"))))
+            bare = F.filter(w, lambda x: F.rtrim(F.lower(x), F.lit(".,;:!?")).isin(stops))
             return F.struct(
                 F.size(w).alias("n"),
                 F.size(bare).alias("stop"),

@@ -81,7 +81,7 @@ def repeated_window_words(w: Column, span: int = 3) -> Column:
 
 def text_statistics(text: Column) -> Column:
     """A struct of counts of one text."""
-    stops = F.array(*[F.lit(x) for line in STOP_WORDS for x in line.split()])
+    stops = [x for line in STOP_WORDS for x in line.split()]
     without = lambda t, chars: F.length(t) - F.length(F.translate(t, chars, ""))
 
     def of(t: Column) -> Column:
@@ -92,7 +92,7 @@ def text_statistics(text: Column) -> Column:
             lambda w: F.struct(
                 F.size(w).alias("n"),
                 repeated_window_words(w).alias("repeat"),
-                F.size(F.filter(w, lambda x: F.array_contains(stops, F.rtrim(F.lower(x), F.lit(".,;:!?"))))).alias("stop"),
+                F.size(F.filter(w, lambda x: F.rtrim(F.lower(x), F.lit(".,;:!?")).isin(stops))).alias("stop"),
             ),
         )
         return F.struct(
