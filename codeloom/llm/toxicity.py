@@ -50,12 +50,15 @@ REPORTING = frozenset(
 QUOTES = "\"“”«»„‟"
 
 _ENDS = re.compile(r"^[^\w@$!|]+|[^\w@$]+$|^_+|_+$")
+_AROUND = ".,;:!?\"'()[]«»“”„…-"
 _RUN = re.compile(r"(\w)\1{2,}")
 
 
 def normal(token: str) -> str:
     """The letters of one token, in lower case, without the punctuation around it."""
     word = token.lower()
+    if not word.isalpha():
+        word = word.strip(_AROUND)
     if not word.isalpha():
         word = _ENDS.sub("", word)
     if not word.isalpha():
@@ -79,7 +82,8 @@ class Lexicon:
         self.terms, self.common, self.exempt = terms, common, exempt
         self.root: dict = {}
         self.fuzzy: dict = {}
-        self.heads, self.tails = set(), set()
+        self.halves: dict[int, dict[tuple[int, int], tuple[set, set]]] = {}
+        self.swapped: dict[str, float] = {}
         for term, weight in terms.items():
             node = self.root
             for c in term:
@@ -88,15 +92,23 @@ class Lexicon:
             word = term[:-1]
             if term in common and term[-1] == "$" and len(word) >= FUZZY_FROM:
                 self._add(word, weight)
-                for n in range(len(word) - 1, len(word) + 2):
-                    self.heads.add((n, word[:2]))
-                    self.tails.add((n, word[-2:]))
 
     def _add(self, word: str, weight: float) -> None:
+        """Into the trie of terms that are matched with an edit, and into the filter before it.
+
+        One edit leaves one half of a term as it is, unless it swaps the letters where the
+        halves meet; that one form is kept by itself.
+        """
         node = self.fuzzy
         for c in word:
             node = node.setdefault(c, {})
         node["$"] = weight
+        size, half = len(word), len(word) // 2
+        for n in (size - 1, size, size + 1):
+            heads, tails = self.halves.setdefault(n, {}).setdefault((half, size - half), (set(), set()))
+            heads.add(word[:half])
+            tails.add(word[half:])
+        self.swapped[word[: half - 1] + word[half] + word[half - 1] + word[half + 1 :]] = weight
 
     def exact(self, word: str) -> float:
         """The largest weight of a term that is a beginning of the word, or the word."""
@@ -109,11 +121,14 @@ class Lexicon:
         return max(best, node.get("$", {}).get("weight", 0.0))
 
     def near(self, word: str) -> float:
-        """The largest weight of a whole-word term one edit away; one edit leaves the head or the tail as it is."""
-        n = len(word)
-        if word in self.exempt or ((n, word[:2]) not in self.heads and (n, word[-2:]) not in self.tails):
-            return 0.0
-        return self._walk(self.fuzzy, word, list(range(n + 1)), None, "")
+        """The largest weight of a whole-word term that is one edit away."""
+        best = self.swapped.get(word, 0.0)
+        for (h, t), (heads, tails) in self.halves.get(len(word), {}).items():
+            if word[:h] in heads or word[-t:] in tails:
+                if word not in self.exempt:
+                    best = max(best, self._walk(self.fuzzy, word, list(range(len(word) + 1)), None, ""))
+                break
+        return 0.0 if word in self.exempt else best
 
     def _walk(self, node, word, row, before, last) -> float:
         """Steps the automaton of ``word`` along every branch; row holds its edit counts, those above one are dead."""
@@ -166,7 +181,7 @@ FEATURES = ("exact", "distinct", "near", "quoted", "density")
 
 
 def features(memo: _Memo, text: str) -> tuple[float, ...]:
-    tokens = text.split()
+    tokens = text.lower().split()
     found = list(map(memo.__getitem__, tokens))
     if not any(found):
         return (0.0,) * len(FEATURES)
@@ -241,7 +256,7 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", sample_ro
         return Model(Lexicon({}), None, float(n1 > 0))
 
     def terms_of(text):
-        return {t for w in {normal(x) for x in set(text.split())} for t in candidate_terms(w)}
+        return {t for w in {normal(x) for x in set(text.lower().split())} for t in candidate_terms(w)}
 
     counts = rows.mapInArrow(_counted(terms_of), _COUNTS).groupBy("key").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     tried = checkpointed(counts.filter(F.col("a") >= LEAST_DOCUMENTS))
@@ -260,7 +275,7 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", sample_ro
     first = Lexicon(kept, frozenset(common))
 
     def misspelt(text):
-        return {w for w in {normal(x) for x in set(text.split())} if w and not first.exact(w) and first.near(w)}
+        return {w for w in {normal(x) for x in set(text.lower().split())} if w and not first.exact(w) and first.near(w)}
 
     forms = rows.mapInArrow(_counted(misspelt), _COUNTS).groupBy("key").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     exempt = forms.filter((F.col("b") > 0) & (F.col("a") < 0.8 * (F.col("a") + F.col("b")))).collect()
