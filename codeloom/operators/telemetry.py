@@ -30,7 +30,7 @@ def mock_metrics(nodes: DataFrame, env: str, seed: str) -> DataFrame:
 def timeline(spans: DataFrame, trace: list[str]) -> DataFrame:
     """Spans of each trace in order, with their offset in microseconds and share of the trace's duration."""
     w = W.partitionBy(*trace)
-    t = F.unix_micros("ts")
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
     start, end = F.min(t).over(w), F.max(t).over(w)
     row = F.row_number().over(w.orderBy("ts", "event_id"))
     whole = F.greatest(end - start, F.lit(1))
@@ -73,7 +73,7 @@ def event_counts(spans: DataFrame, trace: list[str], status: Column) -> DataFram
 def candidates(spans: DataFrame, trace: list[str], node: str) -> DataFrame:
     """Traces that touch a node, the newest first when shown."""
     hit = spans.groupBy(*trace).agg(F.max("ts").alias("last"), F.bool_or(F.col("event_type") == node).alias("hit"))
-    return hit.filter("hit").select(*trace, F.unix_micros("last").alias("last_us")).orderBy(F.desc("last_us"))
+    return hit.filter("hit").select(*trace, F.unix_micros(F.col("last").cast("timestamp")).alias("last_us")).orderBy(F.desc("last_us"))
 
 
 def compare_runs(before: DataFrame, after: DataFrame, identity: list[str]) -> DataFrame:
