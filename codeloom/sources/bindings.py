@@ -73,6 +73,12 @@ VIEWS = {
                datediff(least(CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)), DATE '1992-01-01') AS a, datediff(greatest(CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)), DATE '1992-01-01') AS b,
                l_shipdate < o_orderdate AS reversed
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
+    # what modules are called: the names and sizes of their parts
+    "module_terms": """
+        SELECT id, term, CAST(count(*) AS BIGINT) AS n FROM (
+          SELECT module AS id, p_name AS term FROM {part} JOIN {part_module} USING (p_partkey)
+          UNION ALL SELECT module, concat('size', p_size) FROM {part} JOIN {part_module} USING (p_partkey)) x GROUP BY id, term""",
+    "module_groups": "SELECT DISTINCT module AS id, package FROM {part_module}",
     "page_paths": "SELECT page_id, url, regexp_replace(url, '^https?://', '') AS bare, regexp_replace(regexp_replace(url, '^https?://[^/]*', ''), '[?#].*$', '') AS path FROM {pages}",
 }
 
