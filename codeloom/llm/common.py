@@ -51,6 +51,14 @@ def shuffle_key(column: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """name, with as many underscores behind it as it takes to differ from the frames' columns, whatever their case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise df in the folder of spark.checkpoint.dir, which all executors share.
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATOR_CHARS, let, text_of, words
+from .common import SEPARATOR_CHARS, fresh, let, text_of, words
 
 SPAN, LONG_LINE_WORDS = 3, 50
 
@@ -76,26 +76,28 @@ def removed_positions(documents: DataFrame, text: str = "text") -> DataFrame:
     return merged.select("doc_id", F.sort_array(covered).alias("positions"))
 
 
-def dedup_lines(documents: DataFrame, text: str = "text") -> DataFrame:
+def dedup_lines(documents: DataFrame, text: str = "text", n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
     """All documents, with text without its removed lines, n_lines (lines with a word) and n_removed."""
-    lost = removed_positions(documents, text).select(F.col("doc_id").alias("_doc_id"), "positions")
+    doc_id, positions = fresh("_doc_id", documents), fresh("_positions", documents)
+    lost = removed_positions(documents, text).select(F.col("doc_id").alias(doc_id), F.col("positions").alias(positions))
 
     def rest(lines: Column) -> Column:
         marked = F.filter(F.transform(lines, lambda x, i: F.when(_trimmed(x) != "", i)), lambda i: i.isNotNull())
-        gone = let(marked, lambda at: F.transform("positions", lambda p: F.get(at, p)))
+        gone = let(marked, lambda at: F.transform(positions, lambda p: F.get(at, p)))
         left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
         return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
 
-    joined = documents.join(lost, F.col("doc_id") == F.col("_doc_id"), "left")
+    joined = documents.join(lost, F.col("doc_id") == F.col(doc_id), "left")
     return (
-        joined.withColumn("n_lines", F.size(_content(text_of(text))).cast("long"))
-        .withColumn("n_removed", F.coalesce(F.size("positions"), F.lit(0)).cast("long"))
-        .withColumn(text, F.when(F.col("positions").isNull(), F.col(text)).otherwise(let(F.split(text_of(text), "\n"), rest)))
-        .drop("_doc_id", "positions")
+        joined.withColumn(n_lines, F.size(_content(text_of(text))).cast("long"))
+        .withColumn(n_removed, F.coalesce(F.size(positions), F.lit(0)).cast("long"))
+        .withColumn(text, F.when(F.col(positions).isNull(), F.col(text)).otherwise(let(F.split(text_of(text), "\n"), rest)))
+        .drop(doc_id, positions)
     )
 
 
 def without_repeats(documents: DataFrame, text: str = "text") -> DataFrame:
     """documents, in their own columns, after line dedup; those of which nothing is left go."""
-    cleaned = dedup_lines(documents.select([F.col(c) for c in documents.columns]), text)
-    return cleaned.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))).select(*documents.columns)
+    lines, removed = fresh("_n_lines", documents), fresh("_n_removed", documents)
+    cleaned = dedup_lines(documents, text, lines, removed)
+    return cleaned.filter((F.col(removed) == 0) | (F.col(removed) < F.col(lines))).select(*documents.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shuffle_key, table, text_of, words
+from .common import checkpointed, fresh, shuffle_key, table, text_of, words
 
 WEIGHTS, SHARE, MAX_REPEATS = (3, 1, 2), 1.5, 2
 BLOCK_WORDS = 64
@@ -136,8 +136,9 @@ def mixed_documents(documents: DataFrame, text: str = "text", block_words: int =
     laid = streams(sizes).join(other, F.col("source").eqNullSafe(F.col("_source")))
     spans = F.array(*[F.least(F.col("start") + F.col("size"), F.col(f"pass{p}")) - F.col("start") for p in range(MAX_REPEATS)])
     spans = laid.select("doc_id", "size", F.filter(spans, lambda n: n > 0).alias("spans")).filter(F.size("spans") > 0)
-    spans = spans.groupBy(F.col("doc_id").alias("_doc_id")).agg(F.min_by("spans", "size").alias("_spans"))
-    taken = documents.join(spans, F.col("doc_id").eqNullSafe(F.col("_doc_id"))).select("*", F.explode("_spans").alias("_words"))
+    doc_id, part, n_words = fresh("_doc_id", documents), fresh("_spans", documents), fresh("_words", documents)
+    spans = spans.groupBy(F.col("doc_id").alias(doc_id)).agg(F.min_by("spans", "size").alias(part))
+    taken = documents.join(spans, F.col("doc_id").eqNullSafe(F.col(doc_id))).select("*", F.explode(part).alias(n_words))
     own = words(text_of(text))
-    cut = F.when(F.size(own) <= F.col("_words"), F.col(text)).otherwise(F.concat_ws(" ", F.slice(own, F.lit(1), F.col("_words").cast("int"))))
+    cut = F.when(F.size(own) <= F.col(n_words), F.col(text)).otherwise(F.concat_ws(" ", F.slice(own, F.lit(1), F.col(n_words).cast("int"))))
     return taken.withColumn(text, cut).select(*documents.columns)

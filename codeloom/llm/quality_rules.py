@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATOR_CHARS, let, text_of, words
+from .common import SEPARATOR_CHARS, fresh, let, text_of, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -109,9 +109,10 @@ def text_statistics(text: Column) -> Column:
 
 def measure(documents: DataFrame, text: str = "text") -> DataFrame:
     """documents with the counts and ratios that rules refer to."""
-    s = documents.withColumn("_stats", text_statistics(text_of(text)))
+    stats = fresh("_stats", documents)
+    s = documents.withColumn(stats, text_statistics(text_of(text)))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    at = lambda path: F.col(f"_stats.{path}")
+    at = lambda path: F.col(f"{stats}.{path}")
     return s.withColumns(
         {
             "n_words": at("w.n").cast("long"),
@@ -125,7 +126,7 @@ def measure(documents: DataFrame, text: str = "text") -> DataFrame:
             "upper_ratio": ratio(at("upper"), at("letters")),
             "dup_line_ratio": ratio(at("l.dup"), at("l.n")),
         }
-    ).drop("_stats")
+    ).drop(stats)
 
 
 def compile_rules(rules=RULES) -> Column:

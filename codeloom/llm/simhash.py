@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, let, text_of, words
+from .common import checkpointed, fresh, let, text_of, words
 
 BITS, MAX_DIFFERENT, SHINGLE = 64, 4, 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -188,6 +188,7 @@ def near_duplicates(documents: DataFrame, text: str = "text") -> DataFrame:
 
 def one_of_each(documents: DataFrame, text: str = "text") -> DataFrame:
     """documents with the smallest doc_id of each component; rows without a doc_id pass."""
-    kept = near_duplicates(documents, text).select(F.col("component_id").alias("_kept")).distinct()
-    named = documents.filter(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    kept_id = fresh("_kept", documents)
+    kept = near_duplicates(documents, text).select(F.col("component_id").alias(kept_id)).distinct()
+    named = documents.filter(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col(kept_id), "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(documents.filter(F.col("doc_id").isNull()))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, crc32_mod, labels_of, text_of
+from .common import checkpointed, crc32_mod, fresh, labels_of, text_of
 
 SAMPLE_ROWS = 12_000
 #: A term must occur in so many toxic training documents, and be this often right.
@@ -300,9 +300,9 @@ def _featured(rows: DataFrame, lexicon: Lexicon, key: str) -> DataFrame:
     return rows.select(key, "text").mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, x array<double>")
 
 
-def score(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """documents (all columns; a column named score is replaced) with their toxicity ``score``."""
-    rows, lexicon = documents.drop("score"), model.lexicon
+def score(documents: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
+    """documents (all columns; one of that name is replaced) with their toxicity score."""
+    rows, lexicon = documents.drop(name), model.lexicon
     at = rows.columns.index(text)
 
     def run(batches):
@@ -310,9 +310,9 @@ def score(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             x = [features(memo, t or "") for t in batch.column(at).to_pylist()]
             y = model.scores(np.array(x).reshape(-1, len(FEATURES)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(y, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(y, pa.float64())], names=[*batch.schema.names, name])
 
-    return rows.mapInArrow(run, rows.withColumn("score", F.lit(0.0)).schema)
+    return rows.mapInArrow(run, rows.withColumn(name, F.lit(0.0)).schema)
 
 
 def trained_by_fold(documents: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, fold: int = 0) -> Model:
@@ -327,8 +327,7 @@ def by_fold(documents: DataFrame, labels: DataFrame, folds: int = 5, fold: int =
     return score(rows, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def below(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+def below(documents: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
     """documents, in their own columns, that score below the threshold."""
-    renamed = documents.withColumnRenamed("score", "_own_score") if "score" in documents.columns else documents
-    kept = score(renamed, model).filter(F.col("score") < threshold).drop("score")
-    return kept.withColumnRenamed("_own_score", "score").select(*documents.columns)
+    name = fresh("_score", documents)
+    return score(documents, model, text, name).filter(F.col(name) < threshold).select(*documents.columns)
