@@ -328,6 +328,8 @@ def by_fold(documents: DataFrame, labels: DataFrame, folds: int = 5, fold: int =
 
 
 def below(documents: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """documents, in their own columns, that score below the threshold."""
+    """documents, in their own columns, that score below the threshold; all of them where no term was learnt, as a prior says nothing about a text."""
+    if not model.lexicon.terms:
+        return documents
     name = fresh("_score", documents)
     return score(documents, model, text, name).filter(F.col(name) < threshold).select(*documents.columns)
