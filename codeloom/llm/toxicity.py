@@ -10,6 +10,9 @@ A hit counts less where its window of words reads as a quotation (it stands betw
 quotation marks, or beside a word of reporting). A logistic regression over the summed
 hits turns them into a score. Whole texts are read, in one pass without a shuffle.
 
+Copies of a training text would count the words of one author many times, so terms are
+counted over texts that differ in their sketch, the smallest hash of a five-word shingle.
+
 Training takes at most ``SAMPLE_ROWS`` labelled rows, the first by a hash of doc_id.
 
 Defined results: a null or empty text has no hits and gets the lowest score; rows without
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, crc32_mod, fresh, labels_of, text_of
+from .common import checkpointed, crc32_mod, fresh, labels_of, let, text_of, words
 
 SAMPLE_ROWS = 12_000
 #: A term must occur in so many toxic training documents, and be this often right.
@@ -245,12 +248,23 @@ def _counted(keys_of):
 _COUNTS = "key string, toxic long, clean long"
 
 
+def _sketch(text: Column, n: int = 5) -> Column:
+    """The smallest hash of an n-word shingle; near copies mostly share it, other texts don't."""
+
+    def of(w: Column) -> Column:
+        hashes = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
+        return F.when(F.size(w) >= n, F.array_min(hashes)).otherwise(F.xxhash64(F.array_join(w, " ")))
+
+    return let(words(text), of)
+
+
 def train(documents: DataFrame, labels: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from labels (doc_id, y) of at most sample_rows documents, the first by a hash of doc_id."""
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(text).alias("text"))
     rows = own.join(F.broadcast(chosen), "doc_id").select("y", "text")  # at most sample_rows pairs of numbers
-    n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    told = checkpointed(rows.withColumn("sketch", _sketch(F.col("text"))).dropDuplicates(["y", "sketch"]).select("y", "text"))
+    n = {r["y"]: r["count"] for r in told.groupBy("y").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return Model(Lexicon({}), None, float(n1 > 0))
@@ -258,7 +272,7 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", sample_ro
     def terms_of(text):
         return {t for w in {normal(x) for x in set(text.lower().split())} for t in candidate_terms(w)}
 
-    counts = rows.mapInArrow(_counted(terms_of), _COUNTS).groupBy("key").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
+    counts = told.mapInArrow(_counted(terms_of), _COUNTS).groupBy("key").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     tried = checkpointed(counts.filter(F.col("a") >= LEAST_DOCUMENTS))
     chance = 2 * math.log(20 * max(1, tried.count()))  # a ratio that one of so many terms reaches by chance in one of twenty trainings
     likely = tried.filter(F.col("a") >= LEAST_PRECISION * (F.col("a") + F.col("b"))).collect()
@@ -277,7 +291,7 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", sample_ro
     def misspelt(text):
         return {w for w in {normal(x) for x in set(text.lower().split())} if w and not first.exact(w) and first.near(w)}
 
-    forms = rows.mapInArrow(_counted(misspelt), _COUNTS).groupBy("key").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
+    forms = told.mapInArrow(_counted(misspelt), _COUNTS).groupBy("key").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     exempt = forms.filter((F.col("b") > 0) & (F.col("a") < 0.8 * (F.col("a") + F.col("b")))).collect()
     lexicon = Lexicon(kept, frozenset(common), frozenset(r["key"] for r in exempt))
     fitted = _featured(rows, lexicon, "y").collect()
