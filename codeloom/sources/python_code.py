@@ -1,7 +1,8 @@
 """Python source files as nodes and call occurrences; nothing of the source is run.
 
 Files are read by Spark and parsed in its tasks, one at a time; names are resolved
-afterwards by joins over the whole corpus.
+afterwards by joins over the whole corpus. Folders are packages. Spark lists no files
+whose names begin with an underscore, so what ``__init__`` files define is not seen.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ ROWS = "file string, what string, id string, kind string, parent_id string, name
 def _parsed(file: str, module: str, text: str) -> list[tuple]:
     """Definitions, calls, bases and imports of one file; a file that doesn't parse gives one diagnostic."""
     root = f"py:{module}"
-    rows = [(file, "node", root, "module", None, module.rpartition("/")[2], 1, text.count("\n") + 1, 0, None)]
+    rows = [(file, "node", root, "module", f"py:{module.rpartition('/')[0]}" if "/" in module else None, module.rpartition("/")[2], 1, text.count("\n") + 1, 0, None)]
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError) as error:
@@ -50,7 +51,7 @@ def parse(spark: SparkSession, path: str) -> DataFrame:
     """Rows of all .py files below path (see ROWS): nodes, occurrences of edges with the target's written name, diagnostics."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.py").option("recursiveFileLookup", True).load(path)
     relative = F.substring_index("path", path.rstrip("/") + "/", -1)
-    module = F.regexp_replace(F.regexp_replace(relative, r"\.py$", ""), r"/__init__$", "")
+    module = F.regexp_replace(relative, r"\.py$", "")
     rows = files.select(relative.alias("file"), module.alias("module"), "content")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,7 +60,15 @@ def parse(spark: SparkSession, path: str) -> DataFrame:
             for r in pdf.itertuples(index=False):
                 yield pd.DataFrame(_parsed(r.file, r.module, bytes(r.content).decode("utf-8", "replace")), columns=names)
 
-    return rows.mapInPandas(run, ROWS)
+    parts = F.split("module", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    folders = rows.filter(F.size(parts) > 1).select(F.explode(above).alias("folder")).distinct()
+    parent = F.when(F.col("folder").contains("/"), F.concat(F.lit("py:"), F.regexp_replace("folder", "/[^/]*$", "")))
+    packages = folders.select(
+        F.col("folder").alias("file"), F.lit("node").alias("what"), F.concat(F.lit("py:"), "folder").alias("id"), F.lit("package").alias("kind"), parent.alias("parent_id"),
+        F.substring_index("folder", "/", -1).alias("name"), *[F.lit(0).alias(c) for c in ("line", "end_line", "col")], F.lit(None).cast("string").alias("message"),
+    )
+    return rows.mapInPandas(run, ROWS).unionByName(packages)
 
 
 def resolved(rows: DataFrame) -> DataFrame:
