@@ -133,10 +133,12 @@ def counter_coverage(labels, documents):
     return C.counter_coverage(labels.join(documents.select("doc_id", "lang", "source"), "doc_id"), ["lang", "source"], ["quality", "toxic"])
 
 
-@query("events", """SELECT event_type AS node, count(*)::BIGINT AS calls, count_if(event_type = 'error')::DOUBLE / count(*) AS error_rate, quantile_cont(value, 0.5::DOUBLE) AS p50, quantile_cont(value, 0.95::DOUBLE) AS p95,
-quantile_cont(value, 0.99::DOUBLE) AS p99 FROM events GROUP BY event_type""")
+@query("events", """SELECT event_type AS node, count(*)::BIGINT AS calls, count_if(event_type = 'error')::DOUBLE / count(*) AS error_rate, floor(quantile_cont(value, 0.5::DOUBLE) * 10000 + 0.5::DOUBLE) / 10000 AS p50, floor(quantile_cont(value, 0.95::DOUBLE) * 10000 + 0.5::DOUBLE) / 10000 AS p95,
+floor(quantile_cont(value, 0.99::DOUBLE) * 10000 + 0.5::DOUBLE) / 10000 AS p99 FROM events GROUP BY event_type""")
 def overlay_metrics(events):
-    return T.overlay(events.withColumn("is_error", F.col("event_type") == "error"), "event_type", "value")
+    four = lambda c: (F.floor(F.col(c) * 10000 + F.lit(0.5)) / 10000).alias(c)
+    rows = T.overlay(events.withColumn("is_error", F.col("event_type") == "error"), "event_type", "value")
+    return rows.select("node", "calls", "error_rate", *[four(c) for c in ("p50", "p95", "p99")])
 
 
 U = "('0x' || substr(sha256(concat('prod ', id, ' 42 {0}')), 1, 8))::BIGINT / 4294967295.0::DOUBLE"
