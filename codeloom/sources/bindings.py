@@ -73,6 +73,11 @@ VIEWS = {
                datediff(least(CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)), DATE '1992-01-01') AS a, datediff(greatest(CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)), DATE '1992-01-01') AS b,
                l_shipdate < o_orderdate AS reversed
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
+    # step trees: orders as flows, a branch for each line status, line items as its steps
+    "flow_steps": """
+        SELECT DISTINCT l_orderkey AS flow, l_linestatus AS path, CAST(NULL AS STRING) AS parent, 0 AS depth, CASE l_linestatus WHEN 'F' THEN 1 ELSE 2 END AS ord, 'branch' AS kind, CAST(NULL AS STRING) AS target FROM {lineitem}
+        UNION ALL SELECT l_orderkey, concat(l_linestatus, '.', lpad(CAST(k AS STRING), 4, '0')), l_linestatus, 1, k, CASE l_returnflag WHEN 'A' THEN 'call' WHEN 'R' THEN 'exit' ELSE 'await' END, CASE WHEN l_returnflag = 'A' THEN concat('P', l_partkey) END
+          FROM (SELECT l_orderkey, l_linestatus, l_returnflag, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY l_linenumber, l_extendedprice, l_partkey, l_suppkey, l_quantity) AS INT) AS k FROM {lineitem}) x""",
     # what modules are called: the names and sizes of their parts
     "module_terms": """
         SELECT id, term, CAST(count(*) AS BIGINT) AS n FROM (
