@@ -53,5 +53,26 @@ def comments_of(comments: DataFrame, author: str, threads: bool) -> DataFrame:
     return rooted.join(own.select("thread").distinct(), "thread", "left_semi") if threads else own
 
 
+def path_suggestions(paths: DataFrame) -> DataFrame:
+    """(folder, files) of folders above more than one of the distinct paths."""
+    parts = F.split("path", "/")
+    above = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")))
+    return paths.select("path").distinct().select(F.explode(above).alias("folder")).groupBy("folder").agg(F.count("*").alias("files")).filter("files > 1")
+
+
+def files_in_scope(closure: DataFrame, modules: DataFrame, chosen: DataFrame, top: int = 100) -> DataFrame:
+    """(file, total) of the modules at or below what is chosen, and of the modules around it; the first ``top``, and how many there are."""
+    down = closure.join(chosen.select(F.col("id").alias("anc_id")), "anc_id", "left_semi").select(F.col("id").alias("file"))
+    up = closure.join(chosen, "id", "left_semi").select(F.col("anc_id").alias("file"))
+    found = down.unionByName(up).distinct().join(modules.select(F.col("id").alias("file")), "file", "left_semi")
+    total = found.agg(F.count("*").alias("total"))
+    return found.join(F.broadcast(total)).orderBy("file").limit(top)
+
+
+def appended(local: DataFrame, remote: DataFrame, key: str = "number") -> DataFrame:
+    """local, and what remote has beside it."""
+    return local.unionByName(remote.join(local.select(key), key, "left_anti"))
+
+
 def comment_authors(comments: DataFrame) -> DataFrame:
     return comments.groupBy(F.lower("author").alias("key")).agg(F.min("author").alias("author"), F.count("*").alias("n"))

@@ -63,6 +63,27 @@ def closed_tests(nodes: DataFrame, seeds: DataFrame, max_rounds: int = 64) -> Da
     return tests
 
 
+def preorder(nodes: DataFrame, order: list[Column], max_depth: int = 64) -> DataFrame:
+    """(id, depth, path) of nodes (id, parent_id): paths of sibling places sort as the tree is read from the top.
+
+    Roots are nodes without a parent among the nodes; what hangs below a cycle has no path.
+    """
+    known = nodes.select(F.col("id").alias("_p"))
+    linked = nodes.join(known, F.col("parent_id") == F.col("_p"), "left").withColumn("parent_id", F.col("_p")).drop("_p")
+    place = F.lpad(F.row_number().over(W.partitionBy("parent_id").orderBy(*order)).cast("string"), 8, "0")
+    children = cut(linked.filter("parent_id IS NOT NULL").withColumn("_place", place).select("id", "parent_id", "_place"))
+    # roots may be many, so they are told apart by their id and not by a place among all of them
+    level = cut(linked.filter("parent_id IS NULL").select("id", F.lit(0).alias("depth"), F.col("id").cast("string").alias("path")))
+    levels = level
+    for depth in range(1, max_depth + 1):
+        above = level.select(F.col("id").alias("parent_id"), F.col("path").alias("_above"))
+        level = cut(children.join(above, "parent_id").select("id", F.lit(depth).alias("depth"), F.concat("_above", F.lit("/"), "_place").alias("path")))
+        if level.isEmpty():
+            break
+        levels = levels.unionByName(level)
+    return levels
+
+
 def first_of(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of every key."""
     return df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("_rn") <= n).drop("_rn")

@@ -47,7 +47,7 @@ VIEWS = {
                CASE WHEN l_partkey % 11 = 0 THEN concat('ext:npm/p', l_partkey % 97) WHEN l_partkey % 13 = 0 THEN 'unresolved:npm/?' ELSE part_id END AS target,
                CASE WHEN l_linestatus = 'F' THEN 'resolved' ELSE 'unresolved' END AS resolution, 1 - l_discount AS confidence,
                concat(supplier_module, '.ts') AS file, l_orderkey + 1 AS line, l_linenumber AS col,
-               concat(lpad(CAST(l_orderkey AS STRING), 10, '0'), CAST(l_linenumber AS STRING), lpad(CAST(CAST(l_extendedprice * 100 AS BIGINT) AS STRING), 12, '0'), lpad(CAST(l_partkey AS STRING), 9, '0'), lpad(CAST(l_suppkey AS STRING), 8, '0')) AS ord
+               concat(lpad(CAST(l_orderkey AS STRING), 10, '0'), CAST(l_linenumber AS STRING), lpad(CAST(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS STRING), 12, '0'), lpad(CAST(l_partkey AS STRING), 9, '0'), lpad(CAST(l_suppkey AS STRING), 8, '0')) AS ord
         FROM {line_ends}""",
     # nations as units, couplings from customer to supplier nation
     "unit_edges": """

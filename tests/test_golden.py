@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from codeloom.operators import changes, cluster, edges, metrics, reach, relations, review, similarity, tree
+from codeloom.operators import changes, cluster, edges, flows, merge, metrics, reach, relations, review, search, similarity, telemetry, tree
 from codeloom.operators.iterate import components
 from codeloom.sources import artifacts, python_code
 
@@ -111,6 +111,52 @@ def test_patch_numbers(spark):
     ]
 
 
+def test_renamed_entries_of_a_manifest(spark):
+    body = "M\x00a.py\x00R100\x00old.py\x00new.py\x00D\x00M\x00A\x00b.py\x00"  # a file may be called M
+    rows = review.name_status(spark.createDataFrame([(body,)], "body string")).collect()
+    assert {tuple(r) for r in rows} == {("a.py", "modified", None), ("new.py", "renamed", "old.py"), ("M", "deleted", None), ("b.py", "added", None)}
+
+
+def test_imports_through_reexports(spark):
+    pending = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "c", "x"), (4, "zz", "x")], "id long, subpath string, name string")
+    files = spark.createDataFrame([("a.ts",), ("a/index.ts",), ("b.ts",), ("c/index.ts",)], "file string")
+    exports = spark.createDataFrame([("b.ts", "x")], "file string, name string")
+    passed = spark.createDataFrame([("a.ts", "x", "b.ts"), ("a.ts", "y", "c/index.ts"), ("c/index.ts", "y", "a.ts"), ("c/index.ts", "x", "a.ts")], "file string, name string, from_file string")
+    found = flows.resolved_imports(pending, files, exports, passed)
+    assert {tuple(r) for r in found.collect()} == {(1, "b.ts", "x"), (3, "b.ts", "x")}
+
+
+def test_control_flow_of_a_branch(spark):
+    steps = spark.createDataFrame(
+        [("f", "1", None, 0, 1, "call"), ("f", "2", None, 0, 2, "branch"), ("f", "2.1", "2", 1, 1, "exit"), ("f", "2.2", "2", 1, 2, "call"), ("f", "3", None, 0, 3, "call")],
+        "flow string, path string, parent string, depth int, ord int, kind string",
+    )
+    assert {tuple(r)[1:] for r in flows.control_edges(steps).collect()} == {("1", "2", "next"), ("2", "3", "next"), ("2", "2.1", "enter")}
+    assert [r["path"] for r in flows.dead_steps(steps).collect()] == ["2.2"]
+
+
+def test_slices_that_disagree_fail(spark):
+    a = spark.createDataFrame([("x", 1), ("y", 2)], "id string, v int")
+    b = spark.createDataFrame([("y", 2), ("z", 3)], "id string, v int")
+    assert merge.merge([a, b]).count() == 3
+    with pytest.raises(Exception, match="disagree"):
+        merge.merge([a, b.replace(2, 9)]).collect()
+    assert [r["id"] for r in merge.conflicts([a, b.replace(2, 9)]).collect()] == ["y"]
+
+
+def test_search_order_and_threads(spark):
+    rows = spark.createDataFrame([("m#a", "parse", "function", 0, False), ("m#b", "Parser", "class", 2, False), ("m#c", "other", "function", 1, True)], "id string, display_name string, kind string, steps long, is_private boolean")
+    assert [r["id"] for r in search.ranked(rows, "PARS").collect()] == ["m#b", "m#a"] and [r["id"] for r in search.ranked(rows, "").collect()] == ["m#b", "m#c"]
+    talk = spark.createDataFrame([(1, None, "Ann"), (2, 1, "bob"), (3, None, "bob"), (4, 9, "Cy")], "id long, reply_to long, author string")
+    assert {r["id"] for r in search.comments_of(talk, "ANN", True).collect()} == {1, 2} and {r["id"] for r in search.comments_of(talk, "Bob", False).collect()} == {2, 3}
+
+
+def test_observed_edges(spark):
+    pairs = spark.createDataFrame([("a", "b", 2), ("a", "c", 1), ("a", "d", 1), ("a", "e", 1)], "source string, target string, n long")
+    known = spark.createDataFrame([("a", "b", "calls"), ("a", "c", "calls"), ("a", "c", "calls"), ("a", "d", "instantiates")], "source string, target string, kind string")
+    assert {r["target"]: r["state"] for r in telemetry.match_edges(pairs, known).collect()} == {"b": "observed", "c": "ambiguous", "d": "observed", "e": "runtime-only"}
+
+
 def test_handlers_beat_other_causes(spark):
     e = spark.createDataFrame([("calls", "a", "x"), ("handles", "x", "h"), ("calls", "b", "c")], "kind string, source string, target string")
     assert {tuple(r) for r in relations.causal_arcs(e).collect()} == {("handles", "h", "x"), ("calls", "b", "c")}
