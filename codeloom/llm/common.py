@@ -30,6 +30,25 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SEPARATORS), "")
 
 
+def occurrences(text: Column, chars: str) -> Column:
+    """How many characters of the text are in a character class."""
+    return F.regexp_count(text, F.lit(chars))
+
+
+def letters(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, r"\P{L}+", ""))
+
+
+def lines_with_words(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+
+def listed_words(text: Column, listed: list[str]) -> Column:
+    """How many words are in the list, in lower case and without punctuation at their end."""
+    bare = F.split(F.lower(text), r"[.,;:!?]*[\x20\x09-\x0D]+|[.,;:!?]+\z")
+    return F.size(F.filter(bare, lambda x: x.isin(listed)))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with value evaluated once for each row, however often body refers to it."""
     return F.transform(F.array(value), body)[0]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATOR_CHARS, checkpointed, crc32_mod, labels_of, let, text_of, words
+from .common import checkpointed, crc32_mod, labels_of, let, letters, lines_with_words, listed_words, occurrences, text_of, words
 from .quality_rules import STOP_WORDS, repeated_window_words
 
 #: Weight of the pooled covariance, then of the scaled identity, in a class covariance.
@@ -35,42 +35,35 @@ FEATURES = (
 def statistics(text: Column) -> Column:
     """An array of transformed statistics of one text, in the order of FEATURES; every entry is finite."""
     stops = [x for line in STOP_WORDS for x in line.split()]
-    without = lambda t, chars: F.length(t) - F.length(F.translate(t, chars, ""))
     share = lambda a, b: a.cast("double") / (b + 1)
     logit = lambda a, b: F.log((a + 0.5) / (b - a + 0.5))  # noqa: E731  of counts with a <= b
     root = lambda a, b: F.sqrt(share(a, b))
 
     def of(t: Column) -> Column:
-        lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SEPARATOR_CHARS, "")) > 0)
-        same = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
+        same = let(lines_with_words(t), lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
 
         def counted(w: Column) -> Column:
-            bare = F.filter(w, lambda x: F.rtrim(F.lower(x), F.lit(".,;:!?")).isin(stops))
             return F.struct(
                 F.size(w).alias("n"),
-                F.size(bare).alias("stop"),
+                F.length(F.array_join(w, "")).alias("chars"),
                 repeated_window_words(w).alias("repeat"),
                 F.size(F.array_distinct(w)).alias("distinct"),
                 F.size(F.filter(w, lambda x: F.length(x) <= 2)).alias("short"),
             )
 
-        chars = F.length(F.translate(t, SEPARATOR_CHARS, ""))
-        letters = F.length(t) - F.length(F.regexp_replace(t, r"\p{L}", ""))
-        upper = F.length(t) - F.length(F.regexp_replace(t, r"\p{Lu}", ""))
-
         def all_of(s: Column) -> Column:
-            w, ln, c = s["w"], s["l"], s["chars"]
+            w, ln, c = s["w"], s["l"], s["w"]["chars"]
             n = w["n"]
             return F.array(
                 F.log1p(n),
                 F.log1p(share(c, n)),
-                root(without(t, "#*$%&|<>"), n),
+                root(occurrences(t, "[#*$%&|<>]"), n),
                 root(s["upper"], s["letters"]),
-                root(without(t, "0123456789"), c),
-                root(without(t, ".,;:?"), n),
-                root(without(t, "|"), n),
-                root(without(t, "!"), n),
-                logit(w["stop"], n),
+                root(occurrences(t, "[0-9]"), c),
+                root(occurrences(t, "[.,;:?]"), n),
+                root(occurrences(t, "[|]"), n),
+                root(occurrences(t, "!"), n),
+                logit(s["stop"], n),
                 root(w["repeat"], n),
                 root(ln["dup"], ln["n"]),
                 logit(w["distinct"], n),
@@ -79,7 +72,7 @@ def statistics(text: Column) -> Column:
             )
 
         counts = F.struct(
-            let(words(t), counted).alias("w"), same.alias("l"), chars.alias("chars"), letters.alias("letters"), upper.alias("upper")
+            let(words(t), counted).alias("w"), same.alias("l"), listed_words(t, stops).alias("stop"), letters(t).alias("letters"), occurrences(t, r"\p{Lu}").alias("upper")
         )
         return let(counts, all_of)
 
