@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATOR_CHARS, fresh, let, text_of, words
+from .common import fresh, let, letters, lines_with_words, listed_words, occurrences, text_of, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -82,26 +82,24 @@ def repeated_window_words(w: Column, span: int = 3) -> Column:
 def text_statistics(text: Column) -> Column:
     """A struct of counts of one text."""
     stops = [x for line in STOP_WORDS for x in line.split()]
-    without = lambda t, chars: F.length(t) - F.length(F.translate(t, chars, ""))
 
     def of(t: Column) -> Column:
-        lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SEPARATOR_CHARS, "")) > 0)
-        line_counts = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
+        line_counts = let(lines_with_words(t), lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
         word_counts = let(
             words(t),
             lambda w: F.struct(
                 F.size(w).alias("n"),
                 repeated_window_words(w).alias("repeat"),
-                F.size(F.filter(w, lambda x: F.rtrim(F.lower(x), F.lit(".,;:!?")).isin(stops))).alias("stop"),
+                F.length(F.array_join(w, "")).alias("chars"),
             ),
         )
         return F.struct(
             word_counts.alias("w"),
             line_counts.alias("l"),
-            F.length(F.translate(t, SEPARATOR_CHARS, "")).alias("word_chars"),
-            without(t, SYMBOLS).alias("symbols"),
-            (F.length(t) - F.length(F.regexp_replace(t, r"\p{Lu}", ""))).alias("upper"),
-            (F.length(t) - F.length(F.regexp_replace(t, r"\p{L}", ""))).alias("letters"),
+            listed_words(t, stops).alias("stop"),
+            occurrences(t, f"[{SYMBOLS}]").alias("symbols"),
+            occurrences(t, r"\p{Lu}").alias("upper"),
+            letters(t).alias("letters"),
         )
 
     return let(text, of)
@@ -116,13 +114,13 @@ def measure(documents: DataFrame, text: str = "text") -> DataFrame:
     return s.withColumns(
         {
             "n_words": at("w.n").cast("long"),
-            "word_chars": at("word_chars").cast("long"),
+            "word_chars": at("w.chars").cast("long"),
             "n_symbols": at("symbols").cast("long"),
             "n_dup_lines": at("l.dup").cast("long"),
             "n_repeat_words": at("w.repeat").cast("long"),
-            "mean_word_chars": ratio(at("word_chars"), at("w.n")),
+            "mean_word_chars": ratio(at("w.chars"), at("w.n")),
             "symbol_ratio": ratio(at("symbols"), at("w.n")),
-            "stop_ratio": ratio(at("w.stop"), at("w.n")),
+            "stop_ratio": ratio(at("stop"), at("w.n")),
             "upper_ratio": ratio(at("upper"), at("letters")),
             "dup_line_ratio": ratio(at("l.dup"), at("l.n")),
         }
