@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shingle_sets
 from .common import checkpointed, fresh, let, text_of, words
 
 BITS, MAX_DIFFERENT, SHINGLE = 64, 4, 4
@@ -187,8 +188,15 @@ def near_duplicates(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def one_of_each(documents: DataFrame, text: str = "text") -> DataFrame:
-    """documents with the smallest doc_id of each component; rows without a doc_id pass."""
-    kept_id = fresh("_kept", documents)
-    kept = near_duplicates(documents, text).select(F.col("component_id").alias(kept_id)).distinct()
+    """documents with the smallest doc_id of each component of near copies; rows without a doc_id pass.
+
+    Near copies here are texts whose sets of five-word shingles have a Jaccard similarity
+    of 0.8 or more (:mod:`.shingle_sets`), not those of :func:`near_duplicates`.
+    """
+    key, kept_id = fresh("_key", documents), fresh("_kept", documents)
+    texts = documents.select(shingle_sets.text_key(text).alias("id"), shingle_hashes(text_of(text), shingle_sets.WORDS).alias("hashes"))
+    roots = shingle_sets.groups(texts, components)
+    ids = documents.groupBy(shingle_sets.text_key(text).alias(key)).agg(F.min("doc_id").alias(kept_id))
+    kept = ids.join(roots, F.col(key) == F.col("node"), "left").groupBy(F.coalesce("root", key)).agg(F.min(kept_id).alias(kept_id)).select(kept_id).distinct()
     named = documents.filter(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col(kept_id), "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(documents.filter(F.col("doc_id").isNull()))

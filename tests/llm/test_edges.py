@@ -208,3 +208,46 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.filter("false"), str(tmp_path)).count() == 0
+
+
+def _jaccard_groups(texts):
+    """doc_ids in components of a five-word Jaccard similarity of 0.8 or more, by all pairs, and how many pairs there are."""
+    sets = {i: (lambda w: frozenset(zip(*[w[k:] for k in range(5)])) if len(w) >= 5 else frozenset([tuple(w)]))(t.lower().split()) for i, t in texts.items()}
+    root, pairs = {i: i for i in sets}, 0
+    ids = sorted(sets)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                pairs += 1
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {find(i) for i in ids}, pairs
+
+
+def test_near_copies_by_jaccard(spark):
+    """Copies with some words changed, a family of many that all share prefixes, and a passage that unlike texts share."""
+    import random
+
+    rng = random.Random(7)
+    some_words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    changed = lambda w, n: [f"x{rng.randrange(5000)}" if i in at else v for at in [set(rng.sample(range(len(w)), n))] for i, v in enumerate(w)]
+    texts = []
+    for n in (5, 9, 30, 120, 400):
+        for _ in range(8):
+            base = some_words(n)
+            texts += [base, *[changed(base, max(1, n * k // 200)) for k in (1, 3, 4, 5, 6)]]
+    family, passage = some_words(150), some_words(60)
+    texts += [changed(family, 1 + k % 2) for k in range(120)] + [some_words(12) + passage for _ in range(40)] + [["one"], ["ONE"], ["two"]]
+    rng.shuffle(texts)
+    docs = {i: " ".join(w) for i, w in enumerate(texts)}
+    kept, pairs = _jaccard_groups(docs)
+    assert pairs > 200
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(df).collect()) == sorted(kept)
