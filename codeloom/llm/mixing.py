@@ -32,8 +32,8 @@ POINTS, GOLDEN = 1 << 32, 2654435769
 BUCKET_BITS, KEY_BITS, RUN = 12, 60, 1 << 16
 
 
-def document_sizes(documents: DataFrame, text: str = "text") -> DataFrame:
-    return documents.select("doc_id", "source", F.size(words(text_of(text))).cast("long").alias("size"))
+def document_sizes(documents: DataFrame, text: str = "text", *more: str) -> DataFrame:
+    return documents.select("doc_id", "source", *more, F.size(words(text_of(text))).cast("long").alias("size"))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = MAX_REPEATS) -> DataFrame:
@@ -100,8 +100,8 @@ def schedule(spark, targets: DataFrame, block_words: int = BLOCK_WORDS, max_repe
     return kept.select("slot", "source", "rank", F.pmod("rank", "blocks").alias("block"))
 
 
-def _plan(documents: DataFrame, text: str, block_words: int):
-    sizes = checkpointed(document_sizes(documents, text))
+def _plan(documents: DataFrame, text: str, block_words: int, *more: str):
+    sizes = checkpointed(document_sizes(documents, text, *more))
     targets = checkpointed(source_targets(sizes))
     used = schedule(documents.sparkSession, targets, block_words).groupBy("source", "block").agg(F.count("*").alias("times"))
     return sizes, targets, used
@@ -128,17 +128,17 @@ def mixed_documents(documents: DataFrame, text: str = "text", block_words: int =
     Slots of a source take its blocks in order, so each pass but the last is whole, and the
     last pass ends inside one document at most, whose text is cut there.
     """
-    sizes, targets, used = _plan(documents, text, block_words)
+    row, own_row, part, n_words = (fresh(name, documents) for name in ("_row", "_own_row", "_spans", "_words"))
+    numbered = checkpointed(documents.withColumn(row, F.monotonically_increasing_id()))
+    sizes, targets, used = _plan(numbered, text, block_words, row)
     reach = used.withColumn("end", (F.col("block") + 1) * block_words).groupBy("source").agg(
         *[F.max(F.when(F.col("times") > p, F.col("end"))).alias(f"pass{p}") for p in range(MAX_REPEATS)]
     )
     other = reach.withColumnRenamed("source", "_source")
     laid = streams(sizes).join(other, F.col("source").eqNullSafe(F.col("_source")))
     spans = F.array(*[F.least(F.col("start") + F.col("size"), F.col(f"pass{p}")) - F.col("start") for p in range(MAX_REPEATS)])
-    spans = laid.select("doc_id", "size", F.filter(spans, lambda n: n > 0).alias("spans")).filter(F.size("spans") > 0)
-    doc_id, part, n_words = fresh("_doc_id", documents), fresh("_spans", documents), fresh("_words", documents)
-    spans = spans.groupBy(F.col("doc_id").alias(doc_id)).agg(F.min_by("spans", "size").alias(part))
-    taken = documents.join(spans, F.col("doc_id").eqNullSafe(F.col(doc_id))).select("*", F.explode(part).alias(n_words))
+    spans = laid.select(F.col(row).alias(own_row), F.filter(spans, lambda n: n > 0).alias(part)).filter(F.size(part) > 0)
+    taken = numbered.join(spans, F.col(row) == F.col(own_row)).select("*", F.explode(part).alias(n_words))
     own = words(text_of(text))
     cut = F.when(F.size(own) <= F.col(n_words), F.col(text)).otherwise(F.concat_ws(" ", F.slice(own, F.lit(1), F.col(n_words).cast("int"))))
     return taken.withColumn(text, cut).select(*documents.columns)

@@ -251,3 +251,15 @@ def test_near_copies_by_jaccard(spark):
     assert pairs > 200
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
     assert sorted(r["doc_id"] for r in simhash.one_of_each(df).collect()) == sorted(kept)
+
+
+def test_mixed_documents_keep_rows_without_an_id_apart(spark):
+    """Rows that share a doc_id, or have none, come in as often and as long as the mixture says of each."""
+    rows = [(None, "a b c", "s"), (None, " ".join(f"v{k}" for k in range(1000)), "s"), (None, " ".join(f"u{k}" for k in range(300)), "t"), (1, "x " * 50, "t"), (1, "y " * 200, "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted((r["source"], r["size"], r["taken"]) for r in mixing.mixture(df).collect())
+    firsts = {t.split()[0]: (s, len(t.split())) for _, t, s in rows}
+    got = dict.fromkeys(firsts, 0)
+    for r in mixing.mixed_documents(df).collect():
+        got[r["text"].split()[0]] += len(r["text"].split())
+    assert sorted((*firsts[w], n) for w, n in got.items()) == want
