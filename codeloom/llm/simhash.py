@@ -188,15 +188,22 @@ def near_duplicates(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def one_of_each(documents: DataFrame, text: str = "text") -> DataFrame:
-    """documents with the smallest doc_id of each component of near copies; rows without a doc_id pass.
+    """documents with one row of each component of near copies: the one with the smallest doc_id, null last, then by the hash of its text.
 
     Near copies here are texts whose sets of five-word shingles have a Jaccard similarity
-    of 0.8 or more (:mod:`.shingle_sets`), not those of :func:`near_duplicates`.
+    of 0.8 or more (:mod:`.shingle_sets`), not those of :func:`near_duplicates`. Texts
+    that share a doc_id and are no near copies all stay; rows of one text without a
+    doc_id are copies like any other. Rows with neither an id nor a word pass.
     """
-    key, kept_id = fresh("_key", documents), fresh("_kept", documents)
-    texts = documents.select(shingle_sets.text_key(text).alias("id"), shingle_hashes(text_of(text), shingle_sets.WORDS).alias("hashes"))
-    roots = shingle_sets.groups(texts, components)
-    ids = documents.groupBy(shingle_sets.text_key(text).alias(key)).agg(F.min("doc_id").alias(kept_id))
-    kept = ids.join(roots, F.col(key) == F.col("node"), "left").groupBy(F.coalesce("root", key)).agg(F.min(kept_id).alias(kept_id)).select(kept_id).distinct()
-    named = documents.filter(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col(kept_id), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(documents.filter(F.col("doc_id").isNull()))
+    key, own = fresh("_key", documents), fresh("_own", documents)
+    keyed = documents.withColumn(key, shingle_sets.text_key(text))
+    blank = F.col("doc_id").isNull() & (F.col(key) == F.xxhash64(F.lit("")))
+    texts = keyed.select(F.col(key).alias("id"), shingle_hashes(text_of(text), shingle_sets.WORDS).alias("hashes"))
+    roots = checkpointed(shingle_sets.groups(texts, components))
+    nodes = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
+    least = keyed.select(F.col("doc_id").alias("doc"), F.col(key).alias("node")).join(nodes, "node").groupBy("root", "node").agg(F.min("doc").alias("doc"))
+    first = least.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("last"), "doc", "node")).alias("first"))
+    gone = least.join(first, "root").filter(F.col("node") != F.col("first.node")).select(F.col("node").alias(key))
+    rows = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc"), F.struct(*documents.columns).alias("row"))
+    kept = keyed.filter(~blank).join(gone, key, "left_anti").groupBy(key).agg(F.min(rows).alias(own)).select(f"{own}.row.*")
+    return kept.unionByName(keyed.filter(blank).select(*documents.columns))

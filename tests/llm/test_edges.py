@@ -263,3 +263,11 @@ def test_mixed_documents_keep_rows_without_an_id_apart(spark):
     for r in mixing.mixed_documents(df).collect():
         got[r["text"].split()[0]] += len(r["text"].split())
     assert sorted((*firsts[w], n) for w, n in got.items()) == want
+
+
+def test_near_copies_keep_one_row_whatever_their_ids(spark):
+    """Unlike texts that share an id all stay; copies without an id, and with one, are one row."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    df = spark.createDataFrame([(1, a), (1, b), (None, c), (None, c), (None, c + " more"), (None, a), (2, "w " * 9)], "doc_id long, text string").repartition(3)
+    left = sorted((r["doc_id"] or 0, r["text"][:2]) for r in simhash.one_of_each(df).collect())
+    assert left == [(0, "c0"), (1, "a0"), (1, "b0"), (2, "w ")]
