@@ -2,7 +2,8 @@
 
 Lines with a word are trimmed and every run of three of them is hashed, in overlapping
 windows; a line of fifty words or more is a window by itself, as it is a passage without
-its neighbours. Windows that are found twice keep their first place, by (doc_id, line),
+its neighbours. Corpus stages (:func:`without_repeats`) add windows of two lines that reach
+fifty words together. Windows that are found twice keep their first place, by (doc_id, line),
 and at all later places the positions they cover are merged and removed.
 
 The whole job is DataFrame functions. The first place of a window is a partial
@@ -38,8 +39,8 @@ def _content(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), _trimmed), lambda x: x != "")
 
 
-def windows(documents: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, pos, span, h1, h2: every window of every document; pos counts lines with a word, from 0."""
+def windows(documents: DataFrame, text: str = "text", pairs: bool = False) -> DataFrame:
+    """doc_id, pos, span, h1, h2: every window of every document, of two long enough lines too with pairs; pos counts lines with a word, from 0."""
 
     def hashed(pos: Column, span: int, *lines: Column) -> Column:
         return F.struct(
@@ -57,15 +58,19 @@ def windows(documents: DataFrame, text: str = "text") -> DataFrame:
             F.transform(lines, lambda x, i: F.when(F.size(words(x)) >= LONG_LINE_WORDS, hashed(i, 1, x))),
             lambda w: w.isNotNull(),
         )
-        return F.concat(runs, long)
+        return F.concat(runs, long, let(F.transform(lines, lambda x: F.size(words(x))), lambda n: of_two(lines, n))) if pairs else F.concat(runs, long)
+
+    def of_two(lines: Column, sizes: Column) -> Column:
+        two = lambda x, i: F.when(F.get(sizes, i) + F.get(sizes, i + 1) >= LONG_LINE_WORDS, hashed(i, 2, x, F.get(lines, i + 1)))
+        return F.filter(F.transform(lines, two), lambda w: w.isNotNull())
 
     rows = documents.filter(F.col("doc_id").isNotNull()).select("doc_id", let(_content(text_of(text)), of).alias("w"))
     return rows.select("doc_id", F.explode("w").alias("w")).select("doc_id", "w.*")
 
 
-def removed_positions(documents: DataFrame, text: str = "text") -> DataFrame:
+def removed_positions(documents: DataFrame, text: str = "text", pairs: bool = False) -> DataFrame:
     """doc_id and the sorted positions that it loses, for documents that lose any."""
-    every = windows(documents, text)
+    every = windows(documents, text, pairs)
     place = F.struct("doc_id", "pos")
     firsts = every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last")
     later = every.join(firsts.select("h1", "h2", "first"), ["h1", "h2"]).filter(place > F.col("first"))
@@ -76,10 +81,10 @@ def removed_positions(documents: DataFrame, text: str = "text") -> DataFrame:
     return merged.select("doc_id", F.sort_array(covered).alias("positions"))
 
 
-def dedup_lines(documents: DataFrame, text: str = "text", n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
+def dedup_lines(documents: DataFrame, text: str = "text", n_lines: str = "n_lines", n_removed: str = "n_removed", pairs: bool = False) -> DataFrame:
     """All documents, with text without its removed lines, n_lines (lines with a word) and n_removed."""
     doc_id, positions = fresh("_doc_id", documents), fresh("_positions", documents)
-    lost = removed_positions(documents, text).select(F.col("doc_id").alias(doc_id), F.col("positions").alias(positions))
+    lost = removed_positions(documents, text, pairs).select(F.col("doc_id").alias(doc_id), F.col("positions").alias(positions))
 
     def rest(lines: Column) -> Column:
         marked = F.filter(F.transform(lines, lambda x, i: F.when(_trimmed(x) != "", i)), lambda i: i.isNotNull())
@@ -99,5 +104,5 @@ def dedup_lines(documents: DataFrame, text: str = "text", n_lines: str = "n_line
 def without_repeats(documents: DataFrame, text: str = "text") -> DataFrame:
     """documents, in their own columns, after line dedup; those of which nothing is left go."""
     lines, removed = fresh("_n_lines", documents), fresh("_n_removed", documents)
-    cleaned = dedup_lines(documents, text, lines, removed)
+    cleaned = dedup_lines(documents, text, lines, removed, pairs=True)
     return cleaned.filter((F.col(removed) == 0) | (F.col(removed) < F.col(lines))).select(*documents.columns)

@@ -271,3 +271,9 @@ def test_near_copies_keep_one_row_whatever_their_ids(spark):
     df = spark.createDataFrame([(1, a), (1, b), (None, c), (None, c), (None, c + " more"), (None, a), (2, "w " * 9)], "doc_id long, text string").repartition(3)
     left = sorted((r["doc_id"] or 0, r["text"][:2]) for r in simhash.one_of_each(df).collect())
     assert left == [(0, "c0"), (1, "a0"), (1, "b0"), (2, "w ")]
+
+
+def test_stage_finds_passages_of_two_lines(spark):
+    one, two = " ".join(f"p{k}" for k in range(30)), " ".join(f"q{k}" for k in range(25))
+    df = spark.createDataFrame([(1, f"{one}\n{two}"), (2, f"start\n{one}\n{two}\nend"), (3, f"start\n{one}\nend")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(df).collect()} == {1: f"{one}\n{two}", 2: "start\nend", 3: f"start\n{one}\nend"}
