@@ -2,8 +2,8 @@
 
 Documents are encoded whole, closed with an end id, and cut only where they are longer
 than a sequence. A shard of pieces is packed longest first: each piece goes to the open
-bin, or to a new one, after which the sum over residual gaps of the squared number of
-open bins with that gap is smallest; on a tie the tightest open bin wins. Shards are of
+bin with room after which the sum over residual gaps of the squared number of open bins
+with that gap is smallest, on a tie to the tightest; a new bin is opened only where none has room. Shards are of
 even size whatever the documents are, since rows are dealt by position, and a shard
 loses one or two unfilled sequences at most against packing everything at once.
 
@@ -67,7 +67,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
         grown[0] = 0
         change = np.where(count[size:capacity] > 0, grown[: capacity - size] - (2 * count[size:capacity] - 1), np.iinfo(np.int64).max)
         best = int(change.argmin()) if size < capacity else 0
-        if size < capacity and change[best] <= grown[capacity - size]:
+        if size < capacity and change[best] < np.iinfo(np.int64).max:
             gap = size + best
             own = open_bins[gap].pop()
             count[gap] -= 1

@@ -277,3 +277,19 @@ def test_stage_finds_passages_of_two_lines(spark):
     one, two = " ".join(f"p{k}" for k in range(30)), " ".join(f"q{k}" for k in range(25))
     df = spark.createDataFrame([(1, f"{one}\n{two}"), (2, f"start\n{one}\n{two}\nend"), (3, f"start\n{one}\nend")], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(df).collect()} == {1: f"{one}\n{two}", 2: "start\nend", 3: f"start\n{one}\nend"}
+
+
+def test_packer_opens_a_sequence_only_where_none_has_room():
+    import numpy as np
+
+    lengths = np.minimum(np.exp(np.random.default_rng(1).normal(6.2, 0.8, 8192)).astype(int) + 1, 4096)
+    bins, offsets = packing.sum_of_squares(lengths)
+    room = np.full(bins.max() + 1, 4096)
+    used = 0
+    for i in np.argsort(-lengths, kind="stable"):
+        if bins[i] == used:
+            assert (room[:used] < lengths[i]).all()
+            used += 1
+        assert offsets[i] == 4096 - room[bins[i]]
+        room[bins[i]] -= lengths[i]
+    assert room.min() >= 0
