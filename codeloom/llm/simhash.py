@@ -198,8 +198,8 @@ def one_of_each(documents: DataFrame, text: str = "text") -> DataFrame:
     key, own = fresh("_key", documents), fresh("_own", documents)
     keyed = documents.withColumn(key, shingle_sets.text_key(text))
     blank = F.col("doc_id").isNull() & (F.col(key) == F.xxhash64(F.lit("")))
-    texts = keyed.select(F.col(key).alias("id"), shingle_hashes(text_of(text), shingle_sets.WORDS).alias("hashes"))
-    roots = checkpointed(shingle_sets.groups(texts, components))
+    texts = keyed.select(F.col(key).alias("id"), text_of(text).alias("text"))
+    roots = checkpointed(shingle_sets.groups(texts, shingle_hashes(F.col("text"), shingle_sets.WORDS), components))
     nodes = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
     least = keyed.select(F.col("doc_id").alias("doc"), F.col(key).alias("node")).join(nodes, "node").groupBy("root", "node").agg(F.min("doc").alias("doc"))
     first = least.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("last"), "doc", "node")).alias("first"))
