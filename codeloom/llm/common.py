@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 SEPARATORS = r"[\x20\x09-\x0D]+"
 #: The same characters one by one, for translate().
 SEPARATOR_CHARS = " \t\n\x0b\x0c\r"
+#: Rows of keys that :func:`small` broadcasts: some tens of MB. Larger tables are joined by a shuffle.
+BROADCAST_ROWS = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,13 +80,29 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise df in the folder of spark.checkpoint.dir, which all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is unset, as in local tests, a temporary folder is taken.
+    Only a local session may leave it unset and gets a temporary folder; on a cluster that is an error,
+    as a folder of one machine is lost with it.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="codeloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df materialised in :func:`shared_folder` and read from there."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codeloom-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def small(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """keys, a materialised table of a few numbers a row, marked for broadcasting if it has at most so many rows."""
+    return F.broadcast(keys) if keys.limit(rows + 1).count() <= rows else keys

@@ -20,12 +20,11 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_of
+from .common import checkpointed, fresh, text_of
 from .tokens import default_path, word_tokens
 
 CAPACITY, END_ID = 4096, 1
@@ -85,14 +84,16 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_P
     parts = checkpointed(parts)
     shards = max(1, -(-parts.count() // shard_pieces))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema.fields) + ", sequence_id long, offset long"
+    shard = fresh("shard", parts)
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        bins, offsets = sum_of_squares(pdf["length"].to_numpy(), capacity)
-        return pdf.assign(sequence_id=pdf["shard"].to_numpy(dtype=np.int64) * 2**32 + bins, offset=offsets).drop(columns="shard")
+    def place(own: pa.Table) -> pa.Table:
+        own = own.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        bins, offsets = sum_of_squares(own.column("length").to_numpy(), capacity)
+        first = own.column(shard).to_numpy() * 2**32
+        return own.drop_columns([shard]).append_column("sequence_id", pa.array(first + bins)).append_column("offset", pa.array(offsets))
 
-    dealt = parts.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandas(place, schema)
+    dealt = parts.withColumn(shard, F.pmod(F.monotonically_increasing_id(), F.lit(shards)))
+    return dealt.groupBy(shard).applyInArrow(place, schema)
 
 
 def pack_documents(documents: DataFrame, text: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
