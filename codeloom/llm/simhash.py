@@ -1,26 +1,33 @@
 """SimHash near-duplicates: fingerprints linked by a self-join of binary tries.
 
-Fingerprints of shingle hashes are made distinct first, so exact copies cost one row.
-Five tries hold the same fingerprints with a different block of bits in front: two
-fingerprints within four differing bits agree in at least one whole block, so in one of
-the tries they share the front. From such a node the join traverses pairs of nodes
-together, adds up the bits in which their paths differ, and drops a pair when the sum
-exceeds the budget. Linked fingerprints leave a task as a star around the smallest one,
-never as all pairs, and the stars are joined into components by alternating large-star
-and small-star steps.
-
-A front that many fingerprints share is cut into chunks, and every pair of chunks is its
-own task, so no task grows with a group of near copies and no link is lost.
+Fingerprints of shingle hashes are made distinct first, so exact copies cost one row. The
+64 bits are cut into blocks, more of them the more fingerprints there are. Two
+fingerprints within four differing bits agree in all blocks but four at least, so for
+each choice of so many blocks a trie holds the fingerprints with these blocks in front,
+and a pair within the budget shares the whole front in one of them: the self-join of a
+trie begins at its pairs (front, front).
+
+A pair of trie nodes is a unit of work. Where a front holds more fingerprints than a task
+should take, its pairs of nodes are split before anything is shuffled: by four bits at a
+time, with the counts of the nodes only, dropping pairs of nodes whose paths differ in
+more bits than the budget has. Fingerprints go to the pairs that are left. In a task all
+pairs are traversed together, one bit after the other, again adding up differing bits and
+dropping pairs beyond the budget, until a handful of fingerprints is left on each side.
+Links leave a task as stars around one member of every local set, never as all pairs, and
+the stars are joined into components by alternating large-star and small-star steps.
 
 Defined results: a null or empty text has the fingerprint zero and is linked like any
 other; a text with fewer words than a shingle has its whole word sequence as the only
 shingle; repeated rows are copies of each other; rows with a null doc_id get the
 component of their text but are never its id (null where no member has an id); an empty
-table gives an empty table. Columns beyond doc_id and text are left alone.
+table gives an empty table. Columns beyond doc_id and text are left alone. Components
+that don't settle within the bound of their rounds are an error.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,16 +35,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingle_sets
-from .common import checkpointed, fresh, let, text_of, words
+from .common import checkpointed, fresh, let, small, text_of, words
 
 BITS, MAX_DIFFERENT, SHINGLE = 64, 4, 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: (bits to the right of the block, its width): one block more than bits may differ.
-BLOCKS = ((51, 13), (38, 13), (25, 13), (12, 13), (0, 12))
-#: Fingerprints of one front that a task takes at a time.
-CHUNK = 512
-#: Rows that are dealt to one task, in groups of whole chunks.
-TASK_ROWS = 8192
+#: Fingerprints that share a front by chance, on average: blocks are chosen so that there are no more.
+FRONT_ROWS = 64
+#: Fingerprints of a trie node beyond which its pairs are split before the shuffle, and rows that are dealt to one task.
+NODE_ROWS, TASK_ROWS = 4096, 8192
+#: A pair of nodes with at most so many pairs of fingerprints is compared outright.
+LEAF_PAIRS = 16
+#: Bits by which nodes are split before the shuffle.
+STEP = 4
 
 
 def shingle_hashes(text: Column, n: int = SHINGLE) -> Column:
@@ -72,93 +81,168 @@ def fingerprints(documents: DataFrame, text: str = "text") -> DataFrame:
     return hashed.mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 
-class _Sets:
-    """Disjoint sets over 0..n-1; the smallest member stands for a set."""
+def tries(fingerprints: int, budget: int = MAX_DIFFERENT) -> list[tuple[list[tuple[int, int]], int]]:
+    """For each trie: its blocks (bits to the right, width) in the order of its bits, and the width of its front.
+
+    One block more than the budget, or as many as keep the fingerprints of a front few.
+    """
+    for n in range(budget + 1, BITS + 1):
+        edges = [BITS * k // n for k in range(n + 1)]
+        blocks = [(BITS - b, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+        width = BITS * (n - budget) // n
+        if n == 2 * budget or fingerprints <= FRONT_ROWS << width:
+            break
+    out = []
+    for front in combinations(blocks, n - budget):
+        out.append(([*front, *[b for b in blocks if b not in front]], sum(w for _, w in front)))
+    return out
+
 
-    def __init__(self, n: int):
-        self.up = np.arange(n)
+def _rotated(fp: Column, blocks: list[tuple[int, int]]) -> Column:
+    """The bits of fp with the blocks in this order, from the left."""
+    out, place = F.lit(0).cast("long"), BITS
+    for low, width in blocks:
+        place -= width
+        part = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1)) if width < BITS else fp
+        out = out.bitwiseOR(F.shiftleft(part, place))
+    return out
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
 
-    def join(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
+def _first_bits(bits: Column, depth: Column) -> Column:
+    return F.call_function("shiftrightunsigned", bits, (F.lit(BITS) - depth).cast("int"))
 
 
-def _trie_links(left: np.ndarray, right: np.ndarray | None, budget: int, link) -> None:
-    """Calls link(i, j) for places in left and right (or left again) that differ in at most budget bits.
+def close_pairs(bits: np.ndarray, ranges: np.ndarray, same: np.ndarray, budget: int, leaf: int = LEAF_PAIRS):
+    """Places (i, j) whose bits differ in at most ``budget`` places, and how many pairs of nodes were visited.
 
-    left and right are sorted, so a node of the trie is a range of one of them. Pairs of
-    ranges are split at one bit after the other; small ones are compared outright.
+    A row (a, b, c, d) of ranges is a pair of trie nodes, bits[a:b] and bits[c:d], each
+    sorted; where same is set both are one node. All pairs go down together, bit by bit.
     """
-    other = left if right is None else right
-    todo = [(0, len(left), 0, len(other), BITS - 1, 0, right is None)]
-    while todo:
-        a, b, c, d, bit, different, same = todo.pop()
-        if different > budget or a == b or c == d:
-            continue
-        if (b - a) * (d - c) <= 4096 or bit < 0:
-            close = np.bitwise_count(left[a:b, None] ^ other[None, c:d]) <= budget
-            for i, j in zip(*np.nonzero(close), strict=True):
-                if not same or i < j:
-                    link(a + i, c + j)
-            continue
-        one = np.uint64(1) << np.uint64(bit)
-        m = a + int(np.count_nonzero((left[a:b] & one) == 0))
-        if same:
-            todo += [(a, m, a, m, bit - 1, different, True), (m, b, m, b, bit - 1, different, True), (a, m, m, b, bit - 1, different + 1, False)]
-        else:
-            n = c + int(np.count_nonzero((other[c:d] & one) == 0))
-            todo += [(a, m, c, n, bit - 1, different, False), (m, b, n, d, bit - 1, different, False)]
-            todo += [(a, m, n, d, bit - 1, different + 1, False), (m, b, c, n, bit - 1, different + 1, False)]
+    a, b, c, d = ranges.T
+    different, visited, left = np.zeros(len(a), dtype=np.int64), 0, []
+    for bit in range(BITS - 1, -2, -1):
+        open_ = (b > a) & (d > c) & (different <= budget) & ~(same & (b - a < 2))
+        a, b, c, d, different, same = (x[open_] for x in (a, b, c, d, different, same))
+        visited += len(a)
+        few = ((b - a) * (d - c) <= leaf) | (bit < 0)
+        left.append([x[few] for x in (a, b, c, d, same)])
+        a, b, c, d, different, same = (x[~few] for x in (a, b, c, d, different, same))
+        if not len(a):
+            break
+        zeros = np.concatenate([[0], np.cumsum((bits >> np.uint64(bit)) & np.uint64(1) == 0)])
+        m, n, two = a + zeros[b] - zeros[a], c + zeros[d] - zeros[c], ~same
+        a, b, c, d = (
+            np.concatenate([a, m, a, m[two]]),
+            np.concatenate([m, b, m, b[two]]),
+            np.concatenate([c, n, n, c[two]]),
+            np.concatenate([n, d, d, n[two]]),
+        )
+        different = np.concatenate([different, different, different + 1, different[two] + 1])
+        same = np.concatenate([same, same, np.zeros(len(same) + two.sum(), dtype=bool)])
+    a, b, c, d, same = (np.concatenate(x) for x in zip(*left, strict=True))
+    found = [np.zeros((2, 0), dtype=np.int64)]
+    cuts = np.flatnonzero(np.diff(np.cumsum((b - a) * (d - c)) // 1_000_000, prepend=0))
+    for at in np.split(np.arange(len(a)), cuts):  # about a million comparisons at a time
+        width = d[at] - c[at]
+        size = (b[at] - a[at]) * width
+        own = np.repeat(np.arange(len(at)), size)
+        k = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+        i, j = a[at][own] + k // width[own], c[at][own] + k % width[own]
+        near = (np.bitwise_count(bits[i] ^ bits[j]) <= budget) & ~(same[at][own] & (i >= j))
+        found.append(np.stack([i[near], j[near]]))
+    i, j = np.concatenate(found, axis=1)
+    return i, j, visited
+
+
+def local_sets(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n places the smallest one that links (i, j) lead to."""
+    low = np.arange(n)
+    while len(i):
+        x, y = low[i], low[j]
+        apart = x != y
+        i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while (low != low[low]).any():
+            low = low[low]
+    return low
+
+
+_NODE = ("nil", "id", "fp")
 
 
 def _stars(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
-    """Links of one task's groups, each a chunk of a front or two of them, to the smallest of every local set."""
-    keys = pdf[["trie", "front", "low", "high"]].to_numpy()
-    fp = pdf["fp"].to_numpy().view(np.uint64)
-    second = (pdf["chunk"] != pdf["low"]).to_numpy()
-    order = np.lexsort((fp, second, *keys.T))
-    keys, fp, second = keys[order], fp[order], second[order]
-    ends = [*(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(fp)] if len(fp) else []
-    sets, start = _Sets(len(fp)), 0
-    for end in ends:
-        mid = start + int(np.count_nonzero(~second[start:end]))
-        if keys[start, 2] == keys[start, 3]:
-            _trie_links(fp[start:end], None, budget, lambda i, j, k=start: sets.join(k + i, k + j))
-        else:
-            _trie_links(fp[start:mid], fp[mid:end], budget, lambda i, j, k=start, m=mid: sets.join(k + i, m + j))
-        start = end
-    roots = np.array([sets.root(i) for i in range(len(fp))], dtype=np.int64)
-    moved = np.flatnonzero(roots != np.arange(len(fp)))
-    return pd.DataFrame({"a": fp[moved].view(np.int64), "b": fp[roots[moved]].view(np.int64)})
-
-
-def links(distinct: DataFrame, budget: int = MAX_DIFFERENT, chunk: int = CHUNK) -> DataFrame:
-    """Links (a, b) that connect all fingerprints within the budget; distinct has one row for each fp."""
-    tasks = max(1, distinct.count() * len(BLOCKS) // TASK_ROWS)
-    fronts = F.array(*[F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1)) for low, width in BLOCKS])
-    placed = distinct.select("fp", F.posexplode(fronts).alias("trie", "front"))
-    sizes = placed.groupBy("trie", "front").agg(F.count("*").alias("n")).filter("n > 1")
-    chunks = F.ceil(F.col("n") / F.lit(chunk)).cast("int")
-    own = F.pmod(F.xxhash64("fp", "trie"), chunks).cast("int")
-    both = lambda c: F.struct(F.least(c, F.col("chunk")).alias("low"), F.greatest(c, F.col("chunk")).alias("high"))
-    dealt = (
-        placed.join(sizes, ["trie", "front"])
-        .select("trie", "front", "fp", chunks.alias("chunks"), own.alias("chunk"))
-        .select("trie", "front", "fp", "chunk", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), both)).alias("p"))
-        .select("trie", F.col("front").cast("long").alias("front"), "fp", "chunk", "p.low", "p.high")
-        .withColumn("task", F.pmod(F.xxhash64("trie", "front", "low", "high"), F.lit(tasks)).cast("int"))
-    )
-    return dealt.groupBy("task").applyInPandas(lambda pdf: _stars(pdf, budget), "a long, b long").distinct()
+    """Links of one task's pairs of nodes: every member of a local set to one of it."""
+    bits = pdf["bits"].to_numpy().view(np.uint64)
+    side = pdf["side"].to_numpy()
+    keys = pdf[["trie", "depth", "u", "v"]].to_numpy()
+    order = np.lexsort((bits, side, *keys.T))
+    pdf, bits, side, keys = pdf.iloc[order], bits[order], side[order], keys[order]
+    start = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+    end = np.append(start[1:], len(keys))
+    same = keys[start, 2] == keys[start, 3]
+    ones = np.concatenate([[0], np.cumsum(side)])
+    middle = np.where(same, start, end - (ones[end] - ones[start]))
+    i, j, _ = close_pairs(bits, np.stack([start, np.where(same, end, middle), middle, end], axis=1), same, budget)
+    low = local_sets(len(bits), i, j)
+    moved = np.flatnonzero(low != np.arange(len(bits)))
+    own, other = pdf.iloc[moved], pdf.iloc[low[moved]]
+    return pd.DataFrame({f"{end}_{c}": part[c].to_numpy() for end, part in (("a", own), ("b", other)) for c in _NODE})
+
+
+def node_pairs(placed: DataFrame, nodes: DataFrame, budget: int, node_rows: int = NODE_ROWS) -> DataFrame:
+    """Rows of placed for each pair of trie nodes they are needed in: trie, depth, u, v, side and the row.
+
+    placed: trie, width, bits and a fingerprint's node; nodes: trie, depth, path and n, the fronts with two rows or more.
+    """
+    path_at = lambda depth: _first_bits(F.col("bits"), depth)
+    columns = ["trie", "depth", "u", "v", "side", "bits", *_NODE]
+
+    def rows_of(rows: DataFrame, pairs: DataFrame, own: str, side: int) -> DataFrame:
+        return rows.join(pairs.withColumn("path", F.col(own)), ["trie", "path"]).withColumn("side", F.lit(side)).select(*columns)
+
+    pairs = nodes.select("trie", "depth", F.col("path").alias("u"), F.col("path").alias("v"), F.lit(0).alias("different"), "n", F.col("n").alias("m"))
+    rows = placed.withColumn("path", path_at(F.col("width")))
+    done = rows_of(rows, pairs.filter(F.col("n") <= node_rows), "u", 0)
+    pairs = checkpointed(pairs.filter(F.col("n") > node_rows))
+    while not pairs.isEmpty():  # ends at the depth of 64 bits at the latest
+        ends = pairs.select("trie", "depth", F.explode(F.array_distinct(F.array("u", "v"))).alias("path")).distinct()
+        down = F.least(F.col("depth") + STEP, F.lit(BITS))
+        rows = checkpointed(rows.select("trie", "width", "bits", *_NODE, "path").join(ends, ["trie", "path"]).withColumn("depth", down))
+        rows = rows.withColumnRenamed("path", "above").withColumn("path", path_at(F.col("depth")))
+        counts = checkpointed(rows.groupBy("trie", "depth", "above", "path").agg(F.count("*").alias("n")))
+        left = counts.select("trie", "depth", F.col("above").alias("u"), F.col("path").alias("to_u"), "n")
+        right = counts.select("trie", F.col("above").alias("v"), F.col("path").alias("to_v"), F.col("n").alias("m"))
+        split = pairs.select("trie", "u", "v", "different").join(left, ["trie", "u"]).join(right, ["trie", "v"])
+        added = F.bit_count(F.col("to_u").bitwiseXOR(F.col("to_v"))) - F.bit_count(F.col("u").bitwiseXOR(F.col("v")))
+        split = split.filter((F.col("u") != F.col("v")) | (F.col("to_u") <= F.col("to_v"))).withColumn("different", F.col("different") + added)
+        split = split.filter((F.col("different") <= budget) & ((F.col("to_u") != F.col("to_v")) | (F.col("n") > 1)))
+        split = checkpointed(split.select("trie", "depth", F.col("to_u").alias("u"), F.col("to_v").alias("v"), "different", "n", "m"))
+        few = (F.greatest("n", "m") <= node_rows) | (F.col("depth") == BITS)
+        ended = split.filter(few).select("trie", "depth", "u", "v")
+        rows = rows.drop("above", "depth")
+        done = done.unionByName(rows_of(rows, ended, "u", 0)).unionByName(rows_of(rows, ended.filter("u <> v"), "v", 1))
+        pairs = split.filter(~few)
+    return done
+
+
+def links(distinct: DataFrame, budget: int = MAX_DIFFERENT, node_rows: int = NODE_ROWS) -> DataFrame:
+    """Links (a, b) that connect all fingerprints within the budget; distinct has nil, id and fp, one row for each fp."""
+    count = distinct.count()
+    plan = tries(count, budget)
+    each = [F.struct(F.lit(t).alias("trie"), F.lit(width).alias("width"), _rotated(F.col("fp"), blocks).alias("bits")) for t, (blocks, width) in enumerate(plan)]
+    placed = distinct.select(*_NODE, F.explode(F.array(*each)).alias("p")).select("p.*", *_NODE)
+    fronts = placed.groupBy("trie", F.col("width").alias("depth"), _first_bits(F.col("bits"), F.col("width")).alias("path")).agg(F.count("*").alias("n"))
+    dealt = node_pairs(placed, checkpointed(fronts.filter("n > 1")), budget, node_rows)
+    tasks = max(1, count * len(plan) // TASK_ROWS)
+    schema = ", ".join(f"{end}_{c} {kind}" for end in "ab" for c, kind in zip(_NODE, ("boolean", "long", "long"), strict=True))
+    task = F.pmod(F.xxhash64("trie", "depth", "u", "v"), F.lit(tasks))
+    found = dealt.groupBy(task.alias("task")).applyInPandas(lambda pdf: _stars(pdf.drop(columns="task", errors="ignore"), budget), schema)
+    node = lambda end: F.struct(*[F.col(f"{end}_{c}").alias(c) for c in _NODE]).alias(end)
+    return found.select(node("a"), node("b")).distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of edges (a, b): large-star and small-star steps until nothing changes."""
+    """(node, root) for every node of edges (a, b), of any ordered type: large-star and small-star steps until nothing changes."""
     edges = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     state = None
     for _ in range(max_rounds):
@@ -171,39 +255,50 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges = checkpointed(small.filter("a <> b").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
-            break
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    raise RuntimeError(f"components have not settled within {max_rounds} rounds")
 
 
 def near_duplicates(documents: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id for every row of documents."""
+    """doc_id, fingerprint (16 hex digits), component_id for every row of documents.
+
+    Nodes are ordered by their smallest doc_id, so the smallest node of a component names it.
+    """
     rows = checkpointed(fingerprints(documents, text))
-    distinct = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = components(links(distinct.select("fp")))
-    labelled = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    ids = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    members = labelled.join(ids, "root").select("fp", "component_id")
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = checkpointed(least.select(F.col("least").isNull().alias("nil"), F.coalesce("least", F.lit(0)).alias("id"), "fp"))
+    roots = components(links(distinct)).select(F.col("node.fp").alias("fp"), F.when(~F.col("root.nil"), F.col("root.id")).alias("lowest"), F.lit(True).alias("linked"))
+    own = F.when(F.col("linked"), F.col("lowest")).when(~F.col("nil"), F.col("id"))
+    members = distinct.join(roots, "fp", "left").select("fp", own.alias("component_id"))
     return rows.join(members, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(documents: DataFrame, text: str = "text") -> DataFrame:
-    """documents with one row of each component of near copies: the one with the smallest doc_id, null last, then by the hash of its text.
+    """documents with one row of each component of near copies: the one with the smallest doc_id, null last, then by its other columns.
 
     Near copies here are texts whose sets of five-word shingles have a Jaccard similarity
     of 0.8 or more (:mod:`.shingle_sets`), not those of :func:`near_duplicates`. Texts
     that share a doc_id and are no near copies all stay; rows of one text without a
     doc_id are copies like any other. Rows with neither an id nor a word pass.
     """
-    key, own = fresh("_key", documents), fresh("_own", documents)
+    key, own, doc = fresh("_key", documents), fresh("_own", documents), F.col("doc_id")
     keyed = documents.withColumn(key, shingle_sets.text_key(text))
-    blank = F.col("doc_id").isNull() & (F.col(key) == F.xxhash64(F.lit("")))
+    blank = doc.isNull() & (F.col(key) == F.xxhash64(F.lit("")))
     texts = keyed.select(F.col(key).alias("id"), text_of(text).alias("text"))
-    roots = checkpointed(shingle_sets.groups(texts, shingle_hashes(F.col("text"), shingle_sets.WORDS), components))
-    nodes = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
-    least = keyed.select(F.col("doc_id").alias("doc"), F.col(key).alias("node")).join(nodes, "node").groupBy("root", "node").agg(F.min("doc").alias("doc"))
-    first = least.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("last"), "doc", "node")).alias("first"))
-    gone = least.join(first, "root").filter(F.col("node") != F.col("first.node")).select(F.col("node").alias(key))
-    rows = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc"), F.struct(*documents.columns).alias("row"))
-    kept = keyed.filter(~blank).join(gone, key, "left_anti").groupBy(key).agg(F.min(rows).alias(own)).select(f"{own}.row.*")
-    return kept.unionByName(keyed.filter(blank).select(*documents.columns))
+    roots = shingle_sets.groups(texts, shingle_hashes(F.col("text"), shingle_sets.WORDS), components)
+    nodes = checkpointed(roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct())
+
+    tables = keyed.filter(~blank).select(doc.alias("doc"), F.col(key).alias("node"))
+    least = tables.join(small(nodes), "node").groupBy("root", "node").agg(F.min("doc").alias("doc"))
+    first = F.min(F.struct(F.col("doc").isNull().alias("last"), "doc", "node")).alias("first")
+    kept = least.groupBy("root").agg(first).select(F.col("first.node").alias("node"))
+    gone = checkpointed(nodes.select("node").join(kept, "node", "left_anti").select(F.col("node").alias(key)))
+    copied = tables.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("node").alias(key))
+    copied = checkpointed(copied.join(gone, key, "left_anti"))
+
+    stay = keyed.join(small(gone), key, "left_anti")
+    alone = stay.join(small(copied), key, "left_anti").unionByName(stay.filter(blank).join(small(copied), key, "left_semi"))
+    rows = F.struct(doc.isNull().alias("last"), doc.alias("doc"), F.struct(*documents.columns).alias("row"))
+    one = stay.filter(~blank).join(small(copied), key, "left_semi").groupBy(key).agg(F.min(rows).alias(own)).select(f"{own}.row.*")
+    return alone.select(*documents.columns).unionByName(one)

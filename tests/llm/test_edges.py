@@ -103,13 +103,45 @@ def test_simhash_chains_and_hot_fronts(spark):
         for j in np.flatnonzero(np.bitwise_count(a[:i] ^ a[i]) <= 4):
             x, y = sorted((find(i), find(int(j))))
             root[y] = x
-    distinct = spark.createDataFrame([(x,) for x in signed], "fp long")
-    found = {r["node"]: r["root"] for r in simhash.components(simhash.links(distinct, chunk=64)).collect()}
-    groups, mine = {}, {}
+    distinct = spark.createDataFrame([(False, k, x) for k, x in enumerate(signed)], "nil boolean, id long, fp long")
+    groups = {}
     for i, x in enumerate(signed):
         groups.setdefault(find(i), set()).add(x)
-        mine.setdefault(found.get(x, x), set()).add(x)
-    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
+    for node_rows in (64, 4096):  # nodes split before the shuffle, and none of them
+        found = {r["node"]["fp"]: r["root"]["fp"] for r in simhash.components(simhash.links(distinct, node_rows=node_rows)).collect()}
+        mine = {}
+        for x in signed:
+            mine.setdefault(found.get(x, x), set()).add(x)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
+
+
+def test_simhash_traverses_pairs_of_nodes():
+    """A front's own pair of nodes is split many times, prunes most pairs, and finds all within the budget; more blocks change nothing."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 2**63, 3000, dtype=np.uint64))
+    near = [base[:600] ^ (np.uint64(1) << rng.integers(0, 63, 600, dtype=np.uint64)) for _ in range(2)]
+    bits = np.unique(np.concatenate([base, *near]))
+    n = len(bits)
+    i, j, visited = simhash.close_pairs(bits, np.array([[0, n, 0, n]]), np.array([True]), 4)
+    want = {(x, int(y)) for x in range(n) for y in x + 1 + np.flatnonzero(np.bitwise_count(bits[x + 1 :] ^ bits[x]) <= 4)}
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and len(want) >= 1200
+    assert n < visited < n * n / 20
+    for count in (10, 10**6, 10**10):
+        met = set()
+        for blocks, width in simhash.tries(count):
+            assert sorted(b for b, _ in blocks) == sorted({b for b, _ in blocks}) and sum(w for _, w in blocks) == 64
+            mask = sum(((1 << w) - 1) << low for low, w in blocks[: next(k for k in range(9) if sum(w for _, w in blocks[:k]) == width)])
+            met |= {(x, y) for x, y in want if (int(bits[x]) ^ int(bits[y])) & mask == 0}
+        assert met == want
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    assert {r["root"] for r in simhash.components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        simhash.components(chain, max_rounds=2)
 
 
 def test_packing(spark, docs):
@@ -119,6 +151,28 @@ def test_packing(spark, docs):
     assert packing.pack_documents(some(spark, docs)).count() == 0
 
 
+def test_packing_keeps_wide_and_missing_ids(spark):
+    """Ids above 2^53 beside a null one, and a repeated id with two texts, keep their own lengths and digests."""
+    rows = [(2**60 + 1, "one two three"), (2**60 + 3, "four five"), (None, "six " * 5000), (7, "seven"), (7, "eight nine ten"), (None, None)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    alone = [r for row in rows for r in packing.pack_documents(spark.createDataFrame([row], "doc_id long, text string")).collect()]
+    own = lambda found: sorted(((r["doc_id"] or -1, r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found))
+    assert own(got) == own(alone) and {2**60 + 1, 2**60 + 3} <= {r["doc_id"] for r in got}
+
+
+def test_ids_of_tokenizers_that_do_not_split_into_pieces(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from codeloom.llm.tokens import word_tokens
+
+    for name, in_pieces in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = public_tokenizers.path(name)
+        assert word_tokens(path).in_pieces == in_pieces
+        for text in ("Hello there, World 12!", "  it's\n\nfine ", "caf\u00e9 \u6771\u4eac <|endoftext|>", ""):
+            assert word_tokens(path)(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def test_packed_sequences_hold_the_documents(spark, docs):
     own = docs.filter("doc_id IN (1, 2, 5)")
     placed = packing.pack_documents(own)
