@@ -1,17 +1,24 @@
 """Exact top-k inner-product search: a KD-tree per shard, searched best first.
 
-Vectors are dealt to shards by a hash of their id. A first round searches each query in
-the shard it lives in; its k-th score there is a floor that the second round carries to
-all other shards, so that a shard whose bounding boxes promise less returns nothing.
-Shards and blocks of queries form a grid of tasks of bounded size, so neither the
-vectors nor the queries are ever broadcast.
+Vectors are dealt to shards by median splits learnt from a bounded sample, so a shard
+covers a part of the space; a part that holds more rows than a shard should, such as a
+vector that is often repeated, is spread over several shards by row. A first round
+searches each query in its own shard; its k-th score there is a floor for all others.
+Each shard's bounding box is a row of a small table, against which queries are held
+before anything is shuffled: a query goes only to shards whose box promises its floor
+or more, and a shard's rows only to the groups of queries that are left for it. Neither
+vectors nor queries are ever broadcast.
+
+The sample (about ``SAMPLE`` rows, by a hash) and the number of shards (``MAX_SHARDS`` at
+most, larger beyond) move cost only: every row is in one shard, whatever was sampled.
 
 Defined results: vectors that are null or hold a null or non-finite component, and rows
 without an id, take no part; components that a shorter vector lacks count as 0; rows
 with the query's id are never its candidates; ties go to the smaller id; fewer
-candidates than k give fewer rows; repeated rows each take a place; an empty table
-gives no rows. Scores that leave 64 bits are cut at that range. Columns beyond id and
-embedding are ignored, whatever their names.
+candidates than k give fewer rows; repeated rows each take a place as candidates, and a
+repeated query asks once; differing vectors of one query id share its k places; an
+empty table gives no rows. Scores that leave 64 bits are cut at that range. Columns
+beyond id and embedding are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,14 +26,18 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 LEAF = 64
-SHARD_ROWS = 4096
-QUERY_BLOCK = 4096
+SHARD_ROWS, MAX_SHARDS, SAMPLE = 4096, 4096, 8192
+#: Stands for no floor; also the edge of the range of scores.
+LIMIT = 2**63 - 1
 
 
 class KdTree:
@@ -83,29 +94,78 @@ class KdTree:
         return [(s, -i) for s, i in best]
 
 
-def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
-    out = np.zeros((len(vectors), width), dtype=np.int64)
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
+def _matrix(vectors, width: int) -> np.ndarray:
+    """Rows of a column of lists, shorter ones filled up with 0."""
+    flat, sizes = pc.list_flatten(vectors), pc.list_value_length(vectors).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
+    out = np.zeros((len(sizes), width), dtype=np.int64)
+    out[np.arange(width) < sizes[:, None]] = flat.to_numpy(zero_copy_only=False)
+    return out
+
+
+def _splits(sample: np.ndarray, parts: int) -> list[tuple[int, float, int, int]]:
+    """Median splits of the widest axis into so many parts: (axis, value, left, right); a negative place is part -place - 1."""
+    out, ended = [], 0
+
+    def split(rows: np.ndarray, n: int) -> int:
+        nonlocal ended
+        spread = np.ptp(rows, axis=0) if n > 1 and len(rows) > 1 and rows.shape[1] else np.zeros(1)
+        if not spread.any():
+            ended += 1
+            return -ended
+        axis, at = int(np.argmax(spread)), len(out)
+        value = np.quantile(rows[:, axis], (n // 2) / n, method="lower")
+        left = rows[:, axis] <= value
+        if left.all():
+            left = rows[:, axis] < value
+            value = rows[left, axis].max()
+        out.append(())
+        out[at] = (axis, value, split(rows[left], n // 2), split(rows[~left], n - n // 2))
+        return at
+
+    split(sample, parts)
     return out
 
 
-def _search_group(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Rows of one shard (role 0) and one block of queries (role 1), or both in one (role 2)."""
-    found = []
-    width = max(map(len, pdf["v"]))
-    pool, asked = pdf[pdf["role"] != 1], pdf[pdf["role"] != 0]
-    if len(pool) and len(asked):
-        rows, queries = _matrix(pool["v"], width), _matrix(asked["v"], width)
-        reach = float(np.abs(rows.astype(float)).max(initial=0)) * float(np.abs(queries.astype(float)).max(initial=0)) * max(width, 1)
-        kind = np.float64 if reach < 2**52 else object  # floats are exact up to there
+def _parts(rows: np.ndarray, splits: list) -> np.ndarray:
+    part = np.zeros(len(rows), dtype=np.int64)
+    todo = [(0, np.arange(len(rows)))] if splits else []
+    while todo:
+        at, own = todo.pop()
+        axis, value, left, right = splits[at]
+        low = rows[own, axis] <= value
+        for to, some in ((left, own[low]), (right, own[~low])):
+            if to < 0:
+                part[some] = -to - 1
+            elif len(some):
+                todo.append((to, some))
+    return part
+
+
+def _reach(rows: np.ndarray, queries: np.ndarray) -> float:
+    """A bound on the size of all scores."""
+    return float(np.abs(rows.astype(float)).max(initial=0)) * float(np.abs(queries.astype(float)).max(initial=0)) * max(rows.shape[1], 1)
+
+
+_HITS = "query_id long, q long, vec_id long, score long"
+
+
+def _search(own: pa.Table, k: int, width: int) -> pa.Table:
+    """Rows of one shard (role 0) and queries that come to it (role 1)."""
+    role = own.column("role").to_numpy()
+    pool, asked = own.filter(pa.array(role == 0)), own.filter(pa.array(role == 1))
+    found: list = []
+    if pool.num_rows and asked.num_rows:
+        rows, queries = _matrix(pool.column("v"), width), _matrix(asked.column("v"), width)
+        kind = np.float64 if _reach(rows, queries) < 2**52 else object  # floats are exact up to there
         rows, queries = rows.astype(kind), queries.astype(kind)
-        tree = KdTree(pool["vec_id"].to_numpy(), rows)
+        tree = KdTree(pool.column("vec_id").to_numpy(), rows)
         bounds = tree.bounds(queries)
-        limit = 2**63 - 1
-        for q, query, bound, floor in zip(asked["vec_id"], queries, bounds, asked["floor"].fillna(-np.inf), strict=True):
-            found += [(q, i, max(-limit, min(limit, s))) for s, i in tree.search(q, query, bound, k, floor)]
-    return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
+        for i, (query_id, q, floor) in enumerate(zip(*(asked.column(c).to_pylist() for c in ("vec_id", "q", "floor")), strict=True)):
+            floor = -np.inf if floor <= -LIMIT else floor
+            found += [(query_id, q, v, max(-LIMIT, min(LIMIT, s))) for s, v in tree.search(query_id, queries[i], bounds[i], k, floor)]
+    columns = list(zip(*found, strict=True)) or [()] * 4
+    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "q", "vec_id", "score"), columns, strict=True)})
 
 
 def quantised(embeddings: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 256) -> DataFrame:
@@ -116,32 +176,87 @@ def quantised(embeddings: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     )
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
+def _shards(rows: DataFrame, n: int, width: int, shard_rows: int) -> DataFrame:
+    """rows (rid, vec_id, v, asked) with the shard of each."""
+    wanted = min(MAX_SHARDS, -(-n // shard_rows))
+    shard_rows = max(shard_rows, -(-n // MAX_SHARDS))
+    sample = rows.filter(F.pmod(F.xxhash64("rid"), F.lit(max(1, n // SAMPLE))) == 0).select("v").toArrow() if wanted > 1 else None
+    splits = _splits(_matrix(sample.column("v"), width), wanted) if sample is not None and sample.num_rows else []
+
+    def place(batches):
+        for batch in batches:
+            part = pa.array(_parts(_matrix(batch.column("v"), width), splits), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, part], names=[*batch.schema.names, "part"])
+
+    placed = checkpointed(rows.mapInArrow(place, "rid long, vec_id long, v array<long>, asked boolean, part long"))
+    sizes = placed.groupBy("part").agg(F.ceil(F.count("*") / F.lit(shard_rows)).alias("pieces"))  # MAX_SHARDS rows at most
+    piece = F.pmod(F.xxhash64("rid", F.lit(1)), F.col("pieces"))
+    return placed.join(F.broadcast(sizes), "part").select("rid", "vec_id", "v", "asked", (F.col("part") * 2**32 + piece).alias("shard"))
+
+
+def _boxes(placed: DataFrame, width: int) -> DataFrame:
+    """shard, low and high: the bounding box of each shard's rows, from the boxes of its rows in each batch."""
+
+    def of_batch(batches):
+        for batch in batches:
+            rows, shard = _matrix(batch.column("v"), width), batch.column("shard").to_numpy()
+            order = np.argsort(shard, kind="stable")
+            at = np.flatnonzero(np.diff(shard[order], prepend=shard[order[0]] - 1)) if len(order) else []
+            low, high = (f.reduceat(rows[order], at, axis=0).tolist() if len(at) else [] for f in (np.minimum, np.maximum))
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((shard[order][at] if len(at) else [], low, high), kinds, strict=True)], names=["shard", "low", "high"])
+
+    parts = placed.select("shard", "v").mapInArrow(of_batch, "shard long, low array<long>, high array<long>")
+    sides = parts.select("shard", F.posexplode(F.arrays_zip("low", "high")).alias("axis", "x"))
+    boxes = sides.groupBy("shard", "axis").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"))
+    in_order = boxes.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("axis", "low", "high"))).alias("s"))
+    return in_order.select("shard", F.col("s.low").alias("low"), F.col("s.high").alias("high"))
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score over quantised vectors; ``is_query`` marks the rows to ask for."""
-    sizes = vectors.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
-    shards, blocks = max(1, -(-sizes["n"] // shard_rows)), max(1, -(-sizes["q"] // query_block))
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int"))
-    none = F.lit(None).cast("double")
-    schema = "query_id long, vec_id long, score long"
-
-    def search(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("shard", "block").applyInPandas(lambda pdf: _search_group(pdf, k), schema)
-
-    home = search(dealt.select("shard", F.lit(-1).alias("block"), F.when(is_query, 2).otherwise(0).alias("role"), "vec_id", "v", none.alias("floor")))
-    reached = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
-    asked = (
-        dealt.filter(is_query)
-        .withColumnRenamed("shard", "own")
-        .join(reached, F.col("vec_id") == F.col("query_id"), "left")
-        .withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int"))
-    )
-    every_shard = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("own"))
-    every_block = F.sequence(F.lit(0), F.lit(blocks - 1))
-    away = search(
-        asked.select(F.explode(every_shard).alias("shard"), "block", F.lit(1).alias("role"), "vec_id", "v", "floor").unionByName(
-            dealt.select("shard", F.explode(every_block).alias("block"), F.lit(0).alias("role"), "vec_id", "v", none.alias("floor"))
+    rows = checkpointed(vectors.select(F.monotonically_increasing_id().alias("rid"), "vec_id", "v", F.coalesce(is_query, F.lit(False)).alias("asked")))
+    told = rows.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("width")).first()
+    width = told["width"]
+    placed = checkpointed(_shards(rows, told["n"], width, shard_rows))
+    asked = checkpointed(placed.filter("asked").groupBy("vec_id", "v").agg(F.min("rid").alias("q"), F.min("shard").alias("home")))
+
+    def search(pool: DataFrame, queries: DataFrame) -> DataFrame:
+        """pool (shard, block, vec_id, v) and queries (and q, floor), met by shard and block."""
+        none = F.lit(0).cast("long")
+        both = pool.select("shard", "block", F.lit(0).alias("role"), "vec_id", "v", none.alias("q"), none.alias("floor"))
+        both = both.unionByName(queries.select("shard", "block", F.lit(1).alias("role"), "vec_id", "v", "q", "floor"))
+        return both.groupBy("shard", "block").applyInArrow(lambda own: _search(own, k, width), _HITS)
+
+    homes = asked.select(F.col("home").alias("shard")).distinct()
+    least = F.lit(-LIMIT)
+    home = checkpointed(
+        search(
+            placed.join(homes, "shard", "left_semi").withColumn("block", F.col("shard")),
+            asked.select(F.col("home").alias("shard"), F.col("home").alias("block"), "vec_id", "v", "q", least.alias("floor")),
         )
     )
+    reached = home.groupBy("q").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    floored = asked.join(reached, "q", "left").select("q", "vec_id", "v", "home", F.coalesce("floor", least).alias("floor"))
+
+    boxes = _boxes(placed, width).orderBy("shard").toArrow()  # a box a shard: pieces of full parts add twice MAX_SHARDS at most
+    shards, low, high = boxes.column("shard").to_numpy(), _matrix(boxes.column("low"), width), _matrix(boxes.column("high"), width)
+
+    def pruned(batches):
+        for batch in batches:
+            queries, floor, at_home = _matrix(batch.column("v"), width), batch.column("floor").to_numpy(), batch.column("home").to_numpy()
+            slack = 1e-9 * max(_reach(low, queries), _reach(high, queries))  # bounds of large numbers are rounded
+            for at in range(0, batch.num_rows, 256):
+                part = queries[at : at + 256].astype(float)
+                bound = np.maximum(part, 0) @ high.T.astype(float) + np.minimum(part, 0) @ low.T.astype(float)
+                goes = (bound + slack >= floor[at : at + 256, None]) & (shards != at_home[at : at + 256, None])
+                q, s = np.nonzero(goes)
+                some = batch.take(pa.array(at + q))
+                yield pa.RecordBatch.from_arrays([pa.array(shards[s], pa.int64()), *some.columns], names=["shard", *some.schema.names])
+
+    schema = "shard long, q long, vec_id long, v array<long>, home long, floor long"
+    left = checkpointed(floored.mapInArrow(pruned, schema).withColumnRenamed("home", "block"))
+    away = search(placed.join(left.select("shard", "block").distinct(), "shard"), left)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = home.unionByName(away).withColumn("rank", F.row_number().over(order))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

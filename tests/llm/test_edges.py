@@ -243,7 +243,7 @@ def test_top_k_over_many_shards(spark):
 
     v = np.random.default_rng(5).normal(size=(700, 8))
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
-    got = topk_search.top_k(topk_search.quantised(df), F.col("vec_id") % 7 == 0, k=3, shard_rows=90, query_block=40).collect()
+    got = topk_search.top_k(topk_search.quantised(df), F.col("vec_id") % 7 == 0, k=3, shard_rows=90).collect()
     q = np.floor(v * 256).astype(np.int64)
     s = q @ q.T
     for i in range(0, 700, 7):
@@ -251,6 +251,22 @@ def test_top_k_over_many_shards(spark):
         assert sorted((r["rank"], -r["score"], r["vec_id"]) for r in got if r["query_id"] == i) == [(k + 1, *b) for k, b in enumerate(best)]
 
 
+def test_top_k_with_repeated_queries_and_a_hot_vector(spark):
+    """A query row that is repeated asks once; a vector that a third of the rows share is spread over shards; shards far away are left out."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    v = np.concatenate([rng.normal(size=(300, 6)) + 9 * (np.arange(300) % 4)[:, None], np.ones((150, 6)), rng.normal(size=(50, 6))])
+    ids = [*range(450), *[k % 20 for k in range(50)]]
+    v[450:500] = v[[k % 20 for k in range(50)]]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<double>")
+    got = topk_search.top_k(topk_search.quantised(df), F.col("vec_id") % 10 == 0, k=4, shard_rows=40).collect()
+    q = np.floor(v * 256).astype(np.int64)
+    for i in range(0, 450, 10):
+        best = sorted((-int(q[i] @ q[j]), ids[j]) for j in range(500) if ids[j] != i)[:4]
+        assert sorted((r["rank"], -r["score"], r["vec_id"]) for r in got if r["query_id"] == i) == [(n + 1, *b) for n, b in enumerate(best)]
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     docs.select(*OWN).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
