@@ -2,18 +2,25 @@
 
 The lexicon is learnt from labelled training rows: word beginnings and whole words that
 occur in toxic documents more often than chance allows, given how many terms are tried. It is kept as a trie. Every
-word of a text is run through the trie: exactly, and for longer terms as the
-intersection of the trie with the Levenshtein automaton of the word (one edit, a swap of
-neighbours counts as one). Misspellings that clean training rows also use are exempt.
+word of a text is run through the trie: exactly, and against all whole words of the
+lexicon as the intersection of the trie with the Levenshtein automaton of the word (a
+swap of neighbours counts as one edit). A term may be ``EDITS`` away, but has one edit
+for each ``LETTERS_PER_EDIT`` letters only. Misspellings that clean training rows also
+use are exempt. Words that share no form with a term when as many letters as there are
+edits are left out of either can't be that near, and are told by a set of such forms.
 
 A hit counts less where its window of words reads as a quotation (it stands between
 quotation marks, or beside a word of reporting). A logistic regression over the summed
-hits turns them into a score. Whole texts are read, in one pass without a shuffle.
+hits turns them into a score; as training rows may hold few misspellings, the weight of
+a near hit is at least half of an exact one's, whatever the regression says of it. Whole
+texts are read, in one pass without a shuffle.
 
 Copies of a training text would count the words of one author many times, so terms are
-counted over texts that differ in their sketch, the smallest hash of a five-word shingle.
+counted over texts that differ in their sketch, the four smallest hashes of their
+five-word shingles; of texts with one sketch that with the smallest doc_id counts.
 
-Training takes at most ``SAMPLE_ROWS`` labelled rows, the first by a hash of doc_id.
+Training takes at most ``SAMPLE_ROWS`` labelled documents, the first by a hash of doc_id;
+where a labelled doc_id has several rows, its smallest text.
 
 Defined results: a null or empty text has no hits and gets the lowest score; rows without
 a doc_id are scored, in no fold and not learnt from; several labels of one document count
@@ -39,8 +46,9 @@ SAMPLE_ROWS = 12_000
 #: A term must occur in so many toxic training documents, and be this often right.
 LEAST_DOCUMENTS, LEAST_PRECISION = 3, 0.9
 PREFIXES = range(4, 11)
-#: Whole words are matched with an edit from this length on, and from this share of the toxic documents.
-FUZZY_FROM, FUZZY_SHARE = 5, 0.02
+#: Edits by which a word may differ from a whole-word term, and how many letters a term has for each of them.
+EDITS, LETTERS_PER_EDIT = 1, 5
+SKETCH = 4
 WINDOW, QUOTED_WEIGHT = 8, 0.3
 MEMO = 300_000
 
@@ -77,41 +85,37 @@ def candidate_terms(word: str) -> list[str]:
     return [word[:k] for k in PREFIXES if len(word) >= k] + ([word + "$"] if len(word) > 1 else [])
 
 
+def _shorter(word: str, n: int) -> set[str]:
+    """The word and what is left of it without up to n of its letters."""
+    found = last = {word}
+    for _ in range(n):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        found = found | last
+    return found
+
+
 class Lexicon:
     """Terms with weights in a trie; a term that ends in $ stands for the whole word."""
 
-    def __init__(self, terms: dict[str, float], common: frozenset[str] = frozenset(), exempt: frozenset[str] = frozenset()):
-        """common: the terms that are also matched with an edit; exempt: words that never match so."""
-        self.terms, self.common, self.exempt = terms, common, exempt
+    def __init__(self, terms: dict[str, float], exempt: frozenset[str] = frozenset(), edits: int = EDITS):
+        """exempt: words that never match with an edit; edits: the most that a word may differ by."""
+        self.terms, self.exempt, self.edits = terms, exempt, edits
         self.root: dict = {}
         self.fuzzy: dict = {}
-        self.halves: dict[int, dict[tuple[int, int], tuple[set, set]]] = {}
-        self.swapped: dict[str, float] = {}
+        self.forms: set[str] = set()
         for term, weight in terms.items():
             node = self.root
             for c in term:
                 node = node.setdefault(c, {})
             node["weight"] = weight
             word = term[:-1]
-            if term in common and term[-1] == "$" and len(word) >= FUZZY_FROM:
-                self._add(word, weight)
-
-    def _add(self, word: str, weight: float) -> None:
-        """Into the trie of terms that are matched with an edit, and into the filter before it.
-
-        One edit leaves one half of a term as it is, unless it swaps the letters where the
-        halves meet; that one form is kept by itself.
-        """
-        node = self.fuzzy
-        for c in word:
-            node = node.setdefault(c, {})
-        node["$"] = weight
-        size, half = len(word), len(word) // 2
-        for n in (size - 1, size, size + 1):
-            heads, tails = self.halves.setdefault(n, {}).setdefault((half, size - half), (set(), set()))
-            heads.add(word[:half])
-            tails.add(word[half:])
-        self.swapped[word[: half - 1] + word[half] + word[half - 1] + word[half + 1 :]] = weight
+            allowed = min(edits, len(word) // LETTERS_PER_EDIT)
+            if term[-1] == "$" and allowed:
+                node = self.fuzzy
+                for c in word:
+                    node = node.setdefault(c, {})
+                node["$"] = (weight, allowed)
+                self.forms |= _shorter(word, allowed)
 
     def exact(self, word: str) -> float:
         """The largest weight of a term that is a beginning of the word, or the word."""
@@ -124,18 +128,20 @@ class Lexicon:
         return max(best, node.get("$", {}).get("weight", 0.0))
 
     def near(self, word: str) -> float:
-        """The largest weight of a whole-word term that is one edit away."""
-        best = self.swapped.get(word, 0.0)
-        for (h, t), (heads, tails) in self.halves.get(len(word), {}).items():
-            if word[:h] in heads or word[-t:] in tails:
-                if word not in self.exempt:
-                    best = max(best, self._walk(self.fuzzy, word, list(range(len(word) + 1)), None, ""))
-                break
-        return 0.0 if word in self.exempt else best
+        """The largest weight of a whole-word term that is at most its number of edits away."""
+        if not self.forms or len(word) < LETTERS_PER_EDIT - 1 or word in self.exempt:
+            return 0.0
+        forms = self.forms
+        if word not in forms and all(word[:i] + word[i + 1 :] not in forms for i in range(len(word))):
+            if self.edits < 2 or forms.isdisjoint(_shorter(word, self.edits)):
+                return 0.0
+        return self._walk(self.fuzzy, word, list(range(len(word) + 1)), None, "")
 
     def _walk(self, node, word, row, before, last) -> float:
-        """Steps the automaton of ``word`` along every branch; row holds its edit counts, those above one are dead."""
-        best, n = node["$"] if "$" in node and row[-1] <= 1 else 0.0, len(word)
+        """Steps the automaton of ``word`` along every branch; row holds its edit counts, those above the budget are dead."""
+        best, n = 0.0, len(word)
+        if "$" in node and row[-1] <= node["$"][1]:
+            best = node["$"][0]
         for c, child in node.items():
             if c == "$":
                 continue
@@ -145,7 +151,7 @@ class Lexicon:
                 if before is not None and j > 1 and word[j - 1] == last and word[j - 2] == c:
                     cost = min(cost, before[j - 2] + 1)
                 new.append(cost)
-            if min(new) <= 1 or min(row) <= 0:  # a swap may yet save a branch whose letter before was right
+            if min(new) <= self.edits or min(row) < self.edits:  # a swap may yet save a branch whose letter before was right
                 best = max(best, self._walk(child, word, new, row, c))
         return best
 
@@ -249,21 +255,23 @@ _COUNTS = "key string, toxic long, clean long"
 
 
 def _sketch(text: Column, n: int = 5) -> Column:
-    """The smallest hash of an n-word shingle; near copies mostly share it, other texts don't."""
+    """The smallest hashes of n-word shingles; near copies mostly share them, other texts don't."""
 
     def of(w: Column) -> Column:
         hashes = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
-        return F.when(F.size(w) >= n, F.array_min(hashes)).otherwise(F.xxhash64(F.array_join(w, " ")))
+        return F.when(F.size(w) >= n, F.slice(F.array_sort(F.array_distinct(hashes)), 1, SKETCH)).otherwise(F.array(F.xxhash64(F.array_join(w, " "))))
 
     return let(words(text), of)
 
 
-def train(documents: DataFrame, labels: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
+def train(documents: DataFrame, labels: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS, edits: int = EDITS) -> Model:
     """A model from labels (doc_id, y) of at most sample_rows documents, the first by a hash of doc_id."""
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(text).alias("text"))
-    rows = own.join(F.broadcast(chosen), "doc_id").select("y", "text")  # at most sample_rows pairs of numbers
-    told = checkpointed(rows.withColumn("sketch", _sketch(F.col("text"))).dropDuplicates(["y", "sketch"]).select("y", "text"))
+    rows = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # at most sample_rows pairs of numbers
+    rows = checkpointed(rows)
+    differing = rows.withColumn("sketch", _sketch(F.col("text"))).groupBy("y", "sketch").agg(F.min(F.struct("doc_id", "text")).alias("first"))
+    told = checkpointed(differing.select("y", "first.text"))
     n = {r["y"]: r["count"] for r in told.groupBy("y").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
@@ -277,24 +285,21 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", sample_ro
     chance = 2 * math.log(20 * max(1, tried.count()))  # a ratio that one of so many terms reaches by chance in one of twenty trainings
     likely = tried.filter(F.col("a") >= LEAST_PRECISION * (F.col("a") + F.col("b"))).collect()
     kept: dict[str, float] = {}
-    common = set()
     for r in sorted(likely, key=lambda r: (len(r["key"]), r["key"])):
         key, a, b = r["key"], r["a"], r["b"]
         implied = key[-1] != "$" and any(key[:k] in kept for k in range(1, len(key)))
         if not implied and _log_ratio(a, b, n1, n0) >= chance:
             kept[key] = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
-            if a >= FUZZY_SHARE * n1:
-                common.add(key)
 
-    first = Lexicon(kept, frozenset(common))
+    first = Lexicon(kept, edits=edits)
 
     def misspelt(text):
         return {w for w in {normal(x) for x in set(text.lower().split())} if w and not first.exact(w) and first.near(w)}
 
     forms = told.mapInArrow(_counted(misspelt), _COUNTS).groupBy("key").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     exempt = forms.filter((F.col("b") > 0) & (F.col("a") < 0.8 * (F.col("a") + F.col("b")))).collect()
-    lexicon = Lexicon(kept, frozenset(common), frozenset(r["key"] for r in exempt))
-    fitted = _featured(rows, lexicon, "y").collect()
+    lexicon = Lexicon(kept, frozenset(r["key"] for r in exempt), edits)
+    fitted = _featured(rows, lexicon, "y").collect()  # at most sample_rows rows of five numbers
     x, y = np.array([r["x"] for r in fitted]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in fitted], dtype=float)
     weights = _logistic(x, y)
     if weights[FEATURES.index("near") + 1] < weights[1] / 2:  # misspellings seen too seldom to weigh: half an exact hit
