@@ -1,18 +1,20 @@
 """Line dedup: passages that occur again anywhere in the corpus lose their later occurrences.
 
 Lines with a word are trimmed and every run of three of them is hashed, in overlapping
-windows; a line of fifty words or more is a window by itself, as it is a passage without
-its neighbours. Corpus stages (:func:`without_repeats`) add windows of two lines that reach
-fifty words together. Windows that are found twice keep their first place, by (doc_id, line),
-and at all later places the positions they cover are merged and removed.
+windows. Windows that are found twice keep their first place, by (doc_id, line), and at
+all later places the positions they cover are merged and removed.
+
+A passage on fewer lines is no window. With ``passage_words``, which is off by default,
+one line or two lines that have so many words together are windows too;
+:func:`without_repeats`, for corpus stages, takes 50.
 
 The whole job is DataFrame functions. The first place of a window is a partial
 aggregation and comes back by a join, so a line that a third of the corpus shares is
 summed before it is shuffled and its rows can be split between tasks. Two 64-bit hashes
-stand for a window.
+stand for a window; windows are hashed once and set aside, as they are read twice.
 
 Defined results: a null or empty text has no windows and comes back as it is (null as
-null); documents of fewer than three lines have only their long lines to lose; lines
+null); documents of fewer than three lines have nothing to lose but with ``passage_words``; lines
 without a word are never removed; a window that overlaps its own first occurrence loses
 only what reaches beyond it; rows without a doc_id neither lose lines nor make others
 lose them; rows with the same doc_id are read as one document told twice and lose the
@@ -25,9 +27,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATOR_CHARS, fresh, let, text_of, words
+from .common import SEPARATOR_CHARS, checkpointed, fresh, let, text_of, words
 
-SPAN, LONG_LINE_WORDS = 3, 50
+SPAN, PASSAGE_WORDS = 3, 50
 
 
 def _trimmed(line: Column) -> Column:
@@ -39,8 +41,8 @@ def _content(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), _trimmed), lambda x: x != "")
 
 
-def windows(documents: DataFrame, text: str = "text", pairs: bool = False) -> DataFrame:
-    """doc_id, pos, span, h1, h2: every window of every document, of two long enough lines too with pairs; pos counts lines with a word, from 0."""
+def windows(documents: DataFrame, text: str = "text", passage_words: int | None = None) -> DataFrame:
+    """doc_id, pos, span, h1, h2: every window of every document; pos counts lines with a word, from 0."""
 
     def hashed(pos: Column, span: int, *lines: Column) -> Column:
         return F.struct(
@@ -54,23 +56,23 @@ def windows(documents: DataFrame, text: str = "text", pairs: bool = False) -> Da
         n = F.size(lines)
         starts = F.when(n >= SPAN, F.sequence(F.lit(0), n - SPAN)).otherwise(F.array().cast("array<int>"))
         runs = F.transform(starts, lambda i: hashed(i, SPAN, *[F.get(lines, i + k) for k in range(SPAN)]))
-        long = F.filter(
-            F.transform(lines, lambda x, i: F.when(F.size(words(x)) >= LONG_LINE_WORDS, hashed(i, 1, x))),
-            lambda w: w.isNotNull(),
-        )
-        return F.concat(runs, long, let(F.transform(lines, lambda x: F.size(words(x))), lambda n: of_two(lines, n))) if pairs else F.concat(runs, long)
+        if passage_words is None:
+            return runs
+        return F.concat(runs, let(F.transform(lines, lambda x: F.size(words(x))), lambda sizes: passages(lines, sizes)))
 
-    def of_two(lines: Column, sizes: Column) -> Column:
-        two = lambda x, i: F.when(F.get(sizes, i) + F.get(sizes, i + 1) >= LONG_LINE_WORDS, hashed(i, 2, x, F.get(lines, i + 1)))
-        return F.filter(F.transform(lines, two), lambda w: w.isNotNull())
+    def passages(lines: Column, sizes: Column) -> Column:
+        one = F.transform(lines, lambda x, i: F.when(F.get(sizes, i) >= passage_words, hashed(i, 1, x)))
+        enough = lambda i: F.get(sizes, i) + F.get(sizes, i + 1) >= passage_words
+        two = F.transform(lines, lambda x, i: F.when(enough(i), hashed(i, 2, x, F.get(lines, i + 1))))
+        return F.filter(F.concat(one, two), lambda w: w.isNotNull())
 
     rows = documents.filter(F.col("doc_id").isNotNull()).select("doc_id", let(_content(text_of(text)), of).alias("w"))
     return rows.select("doc_id", F.explode("w").alias("w")).select("doc_id", "w.*")
 
 
-def removed_positions(documents: DataFrame, text: str = "text", pairs: bool = False) -> DataFrame:
+def removed_positions(documents: DataFrame, text: str = "text", passage_words: int | None = None) -> DataFrame:
     """doc_id and the sorted positions that it loses, for documents that lose any."""
-    every = windows(documents, text, pairs)
+    every = checkpointed(windows(documents, text, passage_words))
     place = F.struct("doc_id", "pos")
     firsts = every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last")
     later = every.join(firsts.select("h1", "h2", "first"), ["h1", "h2"]).filter(place > F.col("first"))
@@ -81,10 +83,10 @@ def removed_positions(documents: DataFrame, text: str = "text", pairs: bool = Fa
     return merged.select("doc_id", F.sort_array(covered).alias("positions"))
 
 
-def dedup_lines(documents: DataFrame, text: str = "text", n_lines: str = "n_lines", n_removed: str = "n_removed", pairs: bool = False) -> DataFrame:
+def dedup_lines(documents: DataFrame, text: str = "text", n_lines: str = "n_lines", n_removed: str = "n_removed", passage_words: int | None = None) -> DataFrame:
     """All documents, with text without its removed lines, n_lines (lines with a word) and n_removed."""
     doc_id, positions = fresh("_doc_id", documents), fresh("_positions", documents)
-    lost = removed_positions(documents, text, pairs).select(F.col("doc_id").alias(doc_id), F.col("positions").alias(positions))
+    lost = removed_positions(documents, text, passage_words).select(F.col("doc_id").alias(doc_id), F.col("positions").alias(positions))
 
     def rest(lines: Column) -> Column:
         marked = F.filter(F.transform(lines, lambda x, i: F.when(_trimmed(x) != "", i)), lambda i: i.isNotNull())
@@ -101,8 +103,8 @@ def dedup_lines(documents: DataFrame, text: str = "text", n_lines: str = "n_line
     )
 
 
-def without_repeats(documents: DataFrame, text: str = "text") -> DataFrame:
+def without_repeats(documents: DataFrame, text: str = "text", passage_words: int | None = PASSAGE_WORDS) -> DataFrame:
     """documents, in their own columns, after line dedup; those of which nothing is left go."""
     lines, removed = fresh("_n_lines", documents), fresh("_n_removed", documents)
-    cleaned = dedup_lines(documents, text, lines, removed, pairs=True)
+    cleaned = dedup_lines(documents, text, lines, removed, passage_words)
     return cleaned.filter((F.col(removed) == 0) | (F.col(removed) < F.col(lines))).select(*documents.columns)

@@ -110,9 +110,7 @@ content AS (
          lead(t, 1) OVER (PARTITION BY doc_id ORDER BY pos) AS t1, lead(t, 2) OVER (PARTITION BY doc_id ORDER BY pos) AS t2
   FROM lines WHERE t <> ''),
 windows AS (
-  SELECT doc_id, k, {line_dedup.SPAN} AS span, t, t1, t2 FROM content WHERE t2 IS NOT NULL
-  UNION ALL
-  SELECT doc_id, k, 1, t, NULL, NULL FROM content WHERE len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) >= {line_dedup.LONG_LINE_WORDS}),
+  SELECT doc_id, k, {line_dedup.SPAN} AS span, t, t1, t2 FROM content WHERE t2 IS NOT NULL),
 firsts AS (SELECT *, first_value((doc_id, k)) OVER (PARTITION BY span, t, t1, t2 ORDER BY doc_id, k) AS f FROM windows),
 covered AS (
   SELECT DISTINCT doc_id, k + d AS k

@@ -57,7 +57,8 @@ def test_line_dedup_within_a_document_and_of_long_lines(spark):
     block = "a b\nc d\ne f"
     df = spark.createDataFrame([(1, f"{block}\nx\n{block}"), (2, f"intro\n{long}"), (3, f"{long}\noutro"), (4, "a b\nc d\nother")], "doc_id long, text string")
     rows = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
-    assert rows == {1: f"{block}\nx", 2: f"intro\n{long}", 3: "outro", 4: "a b\nc d\nother"}
+    assert rows == {1: f"{block}\nx", 2: f"intro\n{long}", 3: f"{long}\noutro", 4: "a b\nc d\nother"}
+    assert {r["text"] for r in line_dedup.dedup_lines(df, passage_words=50).collect()} == {f"{block}\nx", f"intro\n{long}", "outro", "a b\nc d\nother"}
 
 
 def test_mixing(spark, docs):
@@ -202,11 +203,12 @@ def test_classifiers(spark, docs, labels, fold):
 
 
 def test_misspellings_and_quotation():
-    lexicon = toxicity.Lexicon({"zorgface$": 3.0, "blarg": 2.0}, frozenset({"zorgface$"}), frozenset({"zorgfacet"}))
+    lexicon = toxicity.Lexicon({"zorgface$": 3.0, "blarg": 2.0, "blarg$": 2.0}, frozenset({"zorgfacet"}))
     assert lexicon.exact("zorgface") == 3.0 and lexicon.exact("blargish") == 2.0 and lexicon.exact("bla") == 0
     for near in ("zorgfase", "zogrface", "zorgfce", "zorgfacce", "orgface", "ozrgface"):
         assert lexicon.near(near) == 3.0, near
-    assert lexicon.near("zorgfacet") == lexicon.near("zorgfxyz") == 0
+    assert lexicon.near("zorgfacet") == lexicon.near("zorgfxyz") == lexicon.near("zogrfase") == lexicon.near("") == 0
+    assert toxicity.Lexicon(lexicon.terms, edits=2).near("zogrfase") == 0 and toxicity.Lexicon({"zorgfacers$": 3.0}, edits=2).near("zogrfasers") == 3.0
     memo = toxicity._Memo(lexicon)
     abuse, quoted = toxicity.features(memo, "you are a z0rgface and that is it"), toxicity.features(memo, 'he said "zorgface" to the clerk')
     assert abuse[0] > quoted[0] > 0 and quoted[3] > 0 and abuse[3] == 0
