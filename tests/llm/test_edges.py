@@ -278,6 +278,11 @@ def test_pipeline_stages(spark, docs, tmp_path):
         assert now.columns == docs.columns, name
     assert corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).count() > 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    first = sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path), f"{tmp_path}/kept").collect()), key=repr)
+    (tmp_path / "kept/line_dedup/_SUCCESS").unlink()  # as if that stage had been cut off
+    when = (tmp_path / "kept/toxicity/_SUCCESS").stat().st_mtime_ns
+    assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path), f"{tmp_path}/kept").collect()), key=repr) == first
+    assert (tmp_path / "kept/toxicity/_SUCCESS").stat().st_mtime_ns == when
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.filter("false"), str(tmp_path)).count() == 0
 
