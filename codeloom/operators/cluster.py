@@ -8,9 +8,10 @@ so no round depends on the order of nodes and no group is ever gathered in a tas
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codeloom.functions.materialize import cut
+from codeloom.functions.materialize import Unsettled, cut, union
 
 #: Edges through which a service owns what it uses.
 OWNERSHIP = ("registers", "binds", "provides", "injects", "owns", "aliases", "instantiates")
@@ -19,15 +20,14 @@ OWNERSHIP = ("registers", "binds", "provides", "injects", "owns", "aliases", "in
 def owned(seeds: DataFrame, edges: DataFrame, max_depth: int = 1_000) -> DataFrame:
     """(id, owner, distance): every node goes to the nearest seed (id) along edges, the smaller id where two are as near."""
     steps = cut(edges.select("source", "target").distinct())
-    known = cut(seeds.select("id").distinct().select("id", F.col("id").alias("owner"), F.lit(0).alias("distance")))
-    front = known
+    levels = [cut(seeds.select("id").distinct().select("id", F.col("id").alias("owner"), F.lit(0).alias("distance")))]
     for depth in range(1, max_depth + 1):
-        met = front.join(steps, F.col("id") == F.col("source")).groupBy(F.col("target").alias("id")).agg(F.min("owner").alias("owner"))
-        front = cut(met.join(known.select("id"), "id", "left_anti").withColumn("distance", F.lit(depth)))
+        met = levels[-1].join(steps, F.col("id") == F.col("source")).groupBy(F.col("target").alias("id")).agg(F.min("owner").alias("owner"))
+        front = cut(met.join(union(levels).select("id"), "id", "left_anti").withColumn("distance", F.lit(depth)))
         if front.isEmpty():
-            break
-        known = cut(known.unionByName(front))
-    return known
+            return union(levels)
+        levels.append(front)
+    raise Unsettled(f"ownership reaches further than {max_depth} steps")
 
 
 def seeds(units: DataFrame, degrees: DataFrame, named: Column, share: int = 10) -> DataFrame:
@@ -95,8 +95,10 @@ def local_moves(nodes: DataFrame, edges: DataFrame, gain, rounds: int = 12, most
     """(id, group): from single nodes, rounds of moves to the neighbouring group with the largest gain.
 
     ``gain(w, n, d, dg)`` rates a group from the weight between node and group, the
-    group's size and degree without the node, and the node's degree. Groups of ``most``
-    members take no more in the next round.
+    group's size and degree without the node, and the node's degree. No group ever has
+    more than ``most`` members: of those that want to join one, the ones that gain most
+    get its free places, the others stay. ``rounds`` is how often nodes move at most; what
+    comes out is a partition whose quality is to be measured, not a fixpoint.
     """
     ends = edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     near = cut(ends.filter("a <> b").groupBy(F.col("a").alias("id"), F.col("b").alias("other")).agg(F.sum("weight").alias("weight")))
@@ -114,9 +116,14 @@ def local_moves(nodes: DataFrame, edges: DataFrame, gain, rounds: int = 12, most
         if most is not None:
             rated = rated.filter(mine | (F.col("n") < most))
         rated = rated.withColumn("g", gain(F.col("w"), without("n", F.lit(1)), F.col("d"), without("dg", F.col("d"))))
-        best = rated.groupBy("id").agg(F.max_by("group", F.struct("g", mine.cast("int"), "group")).alias("best"), F.min("now").alias("now"))
-        turn = F.pmod(F.xxhash64("id", F.lit(number)), F.lit(2)) == 0
-        moved = cut(best.select("id", F.when(turn, F.col("best")).otherwise(F.col("now")).alias("group"), (F.col("best") != F.col("now")).alias("wants")))
+        top = F.max(F.struct("g", mine.cast("int").alias("own"), "group", "n")).alias("top")
+        best = rated.groupBy("id").agg(top, F.min("now").alias("now")).select("id", "now", F.col("top.group").alias("best"), "top.g", "top.n")
+        turn = (F.pmod(F.xxhash64("id", F.lit(number)), F.lit(2)) == 0) & (F.col("best") != F.col("now"))
+        chosen = best.withColumn("turn", turn)
+        if most is not None:  # the free places of a group, as it was before the round
+            place = F.row_number().over(W.partitionBy("best", "turn").orderBy(F.desc("g"), "id"))
+            chosen = chosen.withColumn("turn", F.col("turn") & (place <= most - F.col("n")))
+        moved = cut(chosen.select("id", F.when(F.col("turn"), F.col("best")).otherwise(F.col("now")).alias("group"), (F.col("best") != F.col("now")).alias("wants")))
         groups = moved.select("id", "group")
         if not moved.filter("wants").limit(1).count():
             break

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codeloom.functions.materialize import cut
+from codeloom.functions.materialize import Unsettled, cut, union
 
 from .tree import first_of
 
@@ -77,7 +77,7 @@ def branch_evidence(arms: DataFrame, counters: DataFrame) -> DataFrame:
     return met.select("arm", hits.alias("hits"), state.alias("state"))
 
 
-def resolved_imports(pending: DataFrame, files: DataFrame, exports: DataFrame, reexports: DataFrame, endings=("", ".ts", ".tsx", "/index.ts"), max_depth: int = 16) -> DataFrame:
+def resolved_imports(pending: DataFrame, files: DataFrame, exports: DataFrame, reexports: DataFrame, endings=("", ".ts", ".tsx", "/index.ts"), max_depth: int = 1_000) -> DataFrame:
     """(id, file, name) of pending imports (id, subpath, name): the file that at last defines the name.
 
     A subpath is tried with each ending in turn against files (file); exports (file,
@@ -88,10 +88,11 @@ def resolved_imports(pending: DataFrame, files: DataFrame, exports: DataFrame, r
     at = cut(first_of(tried.join(files.select("file").distinct(), "file", "left_semi"), ["id"], [F.asc("rank")]).select("id", "name", "file"))
     defined = cut(exports.select("file", "name").distinct())
     passed = cut(reexports.select("file", "name", "from_file").distinct())
-    found = at.join(defined, ["file", "name"], "left_semi")
+    hops = [at]
     for _ in range(max_depth):
-        at = cut(at.join(defined, ["file", "name"], "left_anti").join(passed, ["file", "name"]).select("id", "name", F.col("from_file").alias("file")).distinct())
+        onward = at.join(defined, ["file", "name"], "left_anti").join(passed, ["file", "name"]).select("id", "name", F.col("from_file").alias("file")).distinct()
+        at = cut(onward.join(union(hops), ["id", "name", "file"], "left_anti"))
         if at.isEmpty():
-            break
-        found = found.unionByName(at.join(defined, ["file", "name"], "left_semi"))
-    return found.distinct().select("id", "file", "name")
+            return union(hops).join(defined, ["file", "name"], "left_semi").distinct().select("id", "file", "name")
+        hops.append(at)
+    raise Unsettled(f"re-exports in more than {max_depth} hops")

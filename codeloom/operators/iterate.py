@@ -1,7 +1,9 @@
 """Driver loops over DataFrames: breadth-first search, components, fixpoints.
 
 A round is one or two joins; its result is cut from its lineage, and the loop ends when
-a round adds nothing. Adjacency is never collected.
+a round adds nothing. Adjacency is never collected, and what earlier rounds have found is
+read where they left it and not written again. A loop that doesn't end within its bound
+is an error.
 """
 
 from __future__ import annotations
@@ -9,27 +11,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.materialize import cut
+from codeloom.functions.materialize import Unsettled, cut, union
 
 
-def bfs(seeds: DataFrame, edges: DataFrame, blocked: DataFrame | None = None, max_depth: int = 1_000) -> DataFrame:
+def bfs(seeds: DataFrame, edges: DataFrame, blocked: DataFrame | None = None, max_depth: int | None = None, max_rounds: int = 1_000) -> DataFrame:
     """(id, distance) of all that seeds (id) reach along edges (source, target), at distance 0 the seeds themselves.
 
-    Nodes of blocked (id) are never entered.
+    Nodes of blocked (id) are never entered; max_depth, where given, is how far to go.
     """
     steps = edges.select("source", "target").distinct()
     if blocked is not None:
         steps = steps.join(blocked.select(F.col("id").alias("target")), "target", "left_anti")
     steps = cut(steps)
-    reached = cut(seeds.select("id").distinct().withColumn("distance", F.lit(0)))
-    front = reached
-    for depth in range(1, max_depth + 1):
+    levels = [cut(seeds.select("id").distinct().withColumn("distance", F.lit(0)))]
+    for depth in range(1, (max_rounds if max_depth is None else max_depth) + 1):
+        front = levels[-1]
         found = front.join(steps, front["id"] == steps["source"]).select(F.col("target").alias("id")).distinct()
-        front = cut(found.join(reached.select("id"), "id", "left_anti").withColumn("distance", F.lit(depth)))
-        if front.isEmpty():
-            break
-        reached = cut(reached.unionByName(front))
-    return reached
+        level = cut(found.join(union(levels).select("id"), "id", "left_anti").withColumn("distance", F.lit(depth)))
+        if level.isEmpty():
+            return union(levels)
+        levels.append(level)
+    if max_depth is None:
+        raise Unsettled(f"the search has not ended within {max_rounds} steps")
+    return union(levels)
 
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -45,8 +49,7 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> Dat
         lower = labels.join(near, "id", "left").select("id", "root", F.least("root", F.coalesce("seen", "root")).alias("low"))
         jump = lower.select(F.col("id").alias("low"), F.col("low").alias("lowest"))
         new = cut(lower.join(jump, "low", "left").select("id", "root", F.least("low", F.coalesce("lowest", "low")).alias("next")))
-        changed = new.filter("next <> root").limit(1).count()
         labels = new.select("id", F.col("next").alias("root"))
-        if not changed:
-            break
-    return labels
+        if not new.filter("next <> root").limit(1).count():
+            return labels
+    raise Unsettled(f"components have not settled within {max_rounds} rounds")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codeloom.functions.materialize import cut
+from codeloom.functions.materialize import Unsettled, cut, union
 
 from .iterate import bfs
 
@@ -54,18 +54,17 @@ def to_constructors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return met.select("kind", "source", F.coalesce("constructor", "target").alias("target"))
 
 
-def supertypes(edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def supertypes(edges: DataFrame, max_depth: int = 1_000) -> DataFrame:
     """(id, super, depth): all that a type extends or implements, by the shortest way."""
     step = cut(edges.filter("kind IN ('extends', 'implements') AND source <> target").select("source", "target").distinct())
-    known = cut(step.select(F.col("source").alias("id"), F.col("target").alias("super"), F.lit(1).alias("depth")))
-    front = known
+    levels = [step.select(F.col("source").alias("id"), F.col("target").alias("super"), F.lit(1).alias("depth"))]
     for depth in range(2, max_depth + 1):
-        more = front.join(step, F.col("super") == F.col("source")).select("id", F.col("target").alias("super")).filter("id <> super").distinct()
-        front = cut(more.join(known.select("id", "super"), ["id", "super"], "left_anti").withColumn("depth", F.lit(depth)))
+        more = levels[-1].join(step, F.col("super") == F.col("source")).select("id", F.col("target").alias("super")).filter("id <> super").distinct()
+        front = cut(more.join(union(levels).select("id", "super"), ["id", "super"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
-            break
-        known = cut(known.unionByName(front))
-    return known
+            return union(levels)
+        levels.append(front)
+    raise Unsettled(f"types above each other in more than {max_depth} steps")
 
 
 def implementations(members: DataFrame, interfaces: DataFrame, above: DataFrame) -> DataFrame:

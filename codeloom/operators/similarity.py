@@ -100,10 +100,8 @@ def normal_affinities(pairs: DataFrame) -> DataFrame:
 
 
 def directed_affinities(edges: DataFrame) -> DataFrame:
-    """(source, target, weight) by the sum of kind weights, shares of the source's whole outflow."""
-    pairs = edges.filter("source <> target").groupBy("source", "target").agg(F.sum(kind_weight(F.col("kind"))).alias("weight"))
-    out = pairs.groupBy("source").agg(F.sum("weight").alias("all"))
-    return pairs.join(out, "source").select("source", "target", (F.col("weight") / F.col("all")).alias("weight"))
+    """(source, target, weight) by the sum of kind weights."""
+    return edges.filter("source <> target").groupBy("source", "target").agg(F.sum(kind_weight(F.col("kind"))).alias("weight"))
 
 
 def folder_affinities(nodes: DataFrame, reach: int = 3) -> DataFrame:

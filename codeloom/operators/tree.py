@@ -6,26 +6,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codeloom.functions.materialize import cut
+from codeloom.functions.materialize import Unsettled, cut, union
 
 
-def ancestors(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(id, anc_id, depth), each node its own ancestor at depth 0; a cycle ends at the depth bound or where it closes."""
+#: Chains of parents that are longer than this are looked at for circles.
+LONG_CHAIN = 16
+
+
+def ancestors(nodes: DataFrame, max_depth: int = 10_000) -> DataFrame:
+    """(id, anc_id, depth), each node its own ancestor at depth 0; a chain of parents that runs into a circle ends where it closes."""
     parents = cut(nodes.select("id", "parent_id"))
     known = parents.select(F.col("id").alias("_p"))
-    links = parents.join(known, F.col("parent_id") == F.col("_p"), "left_semi")
-    level = parents.select("id", F.col("id").alias("anc_id"), F.lit(0).alias("depth"))
-    levels = [level]
-    up = links.select(F.col("id").alias("anc_id"), F.col("parent_id").alias("next"))
+    links = parents.join(known, F.col("parent_id") == F.col("_p"), "left_semi").filter("parent_id <> id")
+    up = cut(links.select(F.col("id").alias("anc_id"), F.col("parent_id").alias("next")))
+    levels = [parents.select("id", F.col("id").alias("anc_id"), F.lit(0).alias("depth"))]
+    closed = None
     for depth in range(1, max_depth + 1):
-        level = cut(levels[-1].join(up, "anc_id").filter("next <> id").select("id", F.col("next").alias("anc_id"), F.lit(depth).alias("depth")))
+        level = levels[-1].join(up, "anc_id").select("id", F.col("next").alias("anc_id"), F.lit(depth).alias("depth"))
+        if closed is not None:
+            level = level.join(union(levels[closed:]).select("id", "anc_id"), ["id", "anc_id"], "left_anti")
+        level = cut(level)
         if level.isEmpty():
-            break
+            return union(levels)
         levels.append(level)
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.unionByName(level)
-    return every
+        if depth == LONG_CHAIN:  # only what still goes on can be in a circle: its ancestors count once, at their first depth
+            going, every = level.select("id").distinct(), union(levels)
+            ended = every.join(going, "id", "left_anti")
+            first = cut(every.join(going, "id", "left_semi").groupBy("id", "anc_id").agg(F.min("depth").alias("depth")))
+            levels, closed = [ended, first.filter(F.col("depth") < depth), first.filter(F.col("depth") == depth)], 1
+    raise Unsettled(f"chains of more than {max_depth} parents")
 
 
 def nearest(closure: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -48,22 +57,23 @@ def common_ancestor(closure: DataFrame, chosen: DataFrame) -> DataFrame:
     return met.join(F.broadcast(size), F.col("n") == F.col("size")).orderBy("depth_sum", "anc_id").limit(1).select(F.col("anc_id").alias("id"), "depth_sum")
 
 
-def closed_tests(nodes: DataFrame, seeds: DataFrame, max_rounds: int = 64) -> DataFrame:
+def closed_tests(nodes: DataFrame, seeds: DataFrame, closure: DataFrame | None = None, max_rounds: int = 1_000) -> DataFrame:
     """(id): seeds, all below them, and parents all of whose children are tests, until nothing is added."""
-    closure = cut(ancestors(nodes))
-    tests = cut(closure.join(seeds.select(F.col("id").alias("anc_id")), "anc_id").select("id").distinct())
+    closure = ancestors(nodes) if closure is None else closure
+    found = [cut(closure.join(seeds.select(F.col("id").alias("anc_id")), "anc_id", "left_semi").select("id").distinct())]
     children = nodes.filter("parent_id IS NOT NULL").select("id", "parent_id")
     for _ in range(max_rounds):
+        tests = union(found)
         marked = children.join(tests.withColumn("t", F.lit(True)), "id", "left")
         full = marked.groupBy("parent_id").agg(F.min(F.coalesce("t", F.lit(False))).alias("all")).filter("all").select(F.col("parent_id").alias("id"))
-        new = cut(full.join(tests, "id", "left_anti"))
+        new = cut(full.join(nodes.select("id"), "id", "left_semi").join(tests, "id", "left_anti"))
         if new.isEmpty():
-            break
-        tests = cut(tests.unionByName(new))
-    return tests
+            return tests
+        found.append(new)
+    raise Unsettled(f"tests are nested deeper than {max_rounds}")
 
 
-def preorder(nodes: DataFrame, order: list[Column], max_depth: int = 64) -> DataFrame:
+def preorder(nodes: DataFrame, order: list[Column], max_depth: int = 1_000) -> DataFrame:
     """(id, depth, path) of nodes (id, parent_id): paths of sibling places sort as the tree is read from the top.
 
     Roots are nodes without a parent among the nodes; what hangs below a cycle has no path.
@@ -79,9 +89,9 @@ def preorder(nodes: DataFrame, order: list[Column], max_depth: int = 64) -> Data
         above = level.select(F.col("id").alias("parent_id"), F.col("path").alias("_above"))
         level = cut(children.join(above, "parent_id").select("id", F.lit(depth).alias("depth"), F.concat("_above", F.lit("/"), "_place").alias("path")))
         if level.isEmpty():
-            break
+            return levels
         levels = levels.unionByName(level)
-    return levels
+    raise Unsettled(f"a tree deeper than {max_depth}")
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:

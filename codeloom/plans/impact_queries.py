@@ -43,7 +43,7 @@ def interval_union(intervals):
     return C.union_length(intervals.select("owner", "a", "b"), "owner")
 
 
-@query("intervals orders", f"""WITH {HUNKS}, {ISLANDS} SELECT owner, a, b FROM hunks h WHERE NOT EXISTS (SELECT 1 FROM islands i WHERE i.owner = h.owner AND i.a <= h.a AND h.b <= i.b)""")
+@query("intervals orders", f"""WITH {HUNKS}, {ISLANDS} SELECT owner, a, b FROM hunks h WHERE NOT EXISTS (SELECT 1 FROM islands i WHERE i.owner = h.owner AND i.a <= h.a AND h.b <= i.b)""".replace("a > coalesce(max(b)", "a > 1 + coalesce(max(b)").replace("a - 1) THEN 1", "a - 2) THEN 1"))
 def own_lines_changed(intervals, orders):
     """Hunks that no merged span of the same owner covers."""
     return C.not_covered(_hunks(orders), intervals.select("owner", "a", "b"), "owner")
@@ -62,6 +62,65 @@ def _changed(nodes):
     return nodes.filter("kind = 'function' AND (length(id) + ascii(right(id, 1))) % 4 = 0").select("id")
 
 
+LOCATED = """files AS (SELECT concat(module, '.ts') AS file, CASE WHEN n_nationkey % 2 = 0 THEN 'added' ELSE 'modified' END AS status, n_nationkey % 6 <> 0 AS has_hunks, n_nationkey FROM nation JOIN nation_module USING (n_nationkey) WHERE n_nationkey % 4 <> 3),
+hunks AS (SELECT file, 13 * (s_suppkey % 160)::INTEGER + 2 AS a, 13 * (s_suppkey % 160)::INTEGER + 2 + (s_suppkey % 4)::INTEGER AS b, CASE s_suppkey % 3 WHEN 0 THEN 'added' WHEN 1 THEN 'modified' ELSE 'deleted' END AS kind
+          FROM supplier JOIN files ON s_nationkey = n_nationkey WHERE has_hunks)"""
+
+
+def _change(nation, supplier):
+    """Changed files of nations and hunks in them."""
+    k = F.col("n_nationkey")
+    named = nation.filter(k % 4 != 3).select("n_nationkey", F.concat(F.lit("tp:r"), "n_regionkey", F.lit("/n"), "n_nationkey", F.lit(".ts")).alias("file"))
+    files = named.select("file", F.when(k % 2 == 0, "added").otherwise("modified").alias("status"), (k % 6 != 0).alias("has_hunks"))
+    s, at = F.col("s_suppkey"), (13 * (F.col("s_suppkey") % 160) + 2).cast("int")
+    kind = F.when(s % 3 == 0, "added").when(s % 3 == 1, "modified").otherwise("deleted")
+    hunks = supplier.join(named.filter(k % 6 != 0), F.col("s_nationkey") == k).select("file", at.alias("a"), (at + s % 4).cast("int").alias("b"), kind.alias("kind"))
+    return files, hunks
+
+
+TOUCHED_NODES = f"""{LOCATED}, placed AS (SELECT l.*, f.status, f.has_hunks FROM located l JOIN files f USING (file)),
+met AS (SELECT p.id, p.file, p.status, greatest(p.a, h.a) AS a, least(p.b, h.b) AS b FROM placed p JOIN hunks h ON h.file = p.file AND p.a <= h.b AND h.a <= p.b WHERE p.kind NOT IN ('package', 'module')),
+lines AS (SELECT id, file, status, unnest(range(a, b + 1)) AS line FROM met),
+hit AS (SELECT DISTINCT id, file, status FROM lines l WHERE NOT EXISTS (SELECT 1 FROM located c WHERE c.parent_id = l.id AND c.a <= l.line AND l.line <= c.b)),
+affected AS (SELECT id, file, status, true AS by_hunk FROM hit UNION ALL SELECT id, file, status, false FROM placed WHERE kind = 'module' AND file NOT IN (SELECT file FROM hit))"""
+
+
+@query("located nation supplier", f"WITH {TOUCHED_NODES} SELECT * FROM affected", needs="located nation_module")
+def changed_blocks(located, nation, supplier):
+    """Nodes that hunks touch on their own lines, and modules that stand for their file."""
+    files, hunks = _change(nation, supplier)
+    return C.affected_nodes(located, files, hunks)
+
+
+@query("located nation supplier", f"""WITH {LOCATED}, met AS (SELECT DISTINCT l.id, l.file FROM located l JOIN hunks h ON h.file = l.file AND l.a <= h.b AND h.a <= l.b WHERE l.kind NOT IN ('package', 'module'))
+SELECT id, kind, id IN (SELECT id FROM met) OR kind = 'module' AND file IN (SELECT file FROM hunks) AND file NOT IN (SELECT file FROM met) AS is_changed FROM located""", needs="located nation_module")
+def changed_tags(located, nation, supplier):
+    return C.changed_tags(located, _change(nation, supplier)[1]).select("id", "kind", "is_changed")
+
+
+@query("located nation supplier", f"""WITH {LOCATED}, l AS (SELECT n.id, unnest(range(greatest(n.a, h.a), least(n.b, h.b) + 1))::INTEGER AS line, CASE h.kind WHEN 'deleted' THEN 2 WHEN 'modified' THEN 1 ELSE 0 END AS r
+FROM located n JOIN hunks h ON h.file = n.file AND n.a <= h.b AND h.a <= n.b) SELECT id, line, CASE max(r) WHEN 2 THEN 'deleted' WHEN 1 THEN 'modified' ELSE 'added' END AS kind FROM l GROUP BY ALL""", needs="located nation_module")
+def changed_lines(located, nation, supplier):
+    return C.changed_lines(located, _change(nation, supplier)[1])
+
+
+@query("located nation supplier", f"""WITH {TOUCHED_NODES},
+known AS (SELECT id AS flow FROM located WHERE kind = 'class'),
+targets AS (SELECT k.flow, o.id AS target, o.file FROM known k JOIN located o ON o.kind = 'method' AND o.a % 50 = length(k.flow) % 50 AND right(o.id, 1) = right(k.flow, 1)),
+hits AS (SELECT DISTINCT flow, file FROM targets WHERE target IN (SELECT id FROM affected)), h AS (SELECT flow, string_agg(file, ' ' ORDER BY file) AS files_hit FROM hits GROUP BY flow)
+SELECT k.flow, l.file AS owner_file, k.flow IN (SELECT id FROM affected) AS owner_changed, coalesce(files_hit, '') AS files_hit FROM known k JOIN located l ON l.id = k.flow LEFT JOIN h USING (flow)
+WHERE k.flow IN (SELECT id FROM affected) OR files_hit IS NOT NULL""", needs="located nation_module")
+def flow_impact(located, nation, supplier):
+    """Classes as flows that call methods of like names."""
+    files, hunks = _change(nation, supplier)
+    flows = located.filter("kind = 'class'").select(F.col("id").alias("flow"))
+    own = flows.withColumn("m", F.length("flow") % 50).withColumn("e", F.substring("flow", -1, 1))
+    methods = located.filter("kind = 'method'").select(F.col("id").alias("target"), (F.col("a") % 50).alias("m"), F.substring("id", -1, 1).alias("e"))
+    calls = own.join(methods, ["m", "e"]).select("flow", "target", F.lit("resolved").alias("resolution"))
+    told = C.flow_impact(flows, calls, located, C.affected_nodes(located, files, hunks))
+    return told.withColumn("files_hit", F.array_join("files_hit", " "))
+
+
 @query("nodes edges", f"WITH {CHANGED} SELECT source AS flow, count(DISTINCT target)::BIGINT AS changed_targets FROM edges WHERE target IN (SELECT id FROM changed) GROUP BY source")
 def affected_flows(nodes, edges):
     return C.affected_flows(edges.select(F.col("source").alias("flow"), "target"), _changed(nodes))
@@ -75,18 +134,23 @@ def change_groups(nodes, edges):
     return C.change_groups(_changed(nodes), edges)
 
 
-MODS = "mods AS (SELECT DISTINCT concat('root/', path) AS module FROM paths WHERE p_partkey % 2 = 0 UNION SELECT DISTINCT path FROM paths WHERE p_partkey % 3 = 0)"
+MODS = """mods AS (SELECT path AS module, 0 AS k FROM paths WHERE p_partkey % 2 = 0 UNION SELECT regexp_replace(path, '^src/', ''), 1 FROM paths WHERE p_partkey % 6 = 0
+UNION SELECT path, 2 FROM paths WHERE p_partkey % 10 = 0 UNION SELECT concat('./', path), 3 FROM paths WHERE p_partkey % 9 = 1)"""
 
 
-@query("part supplier", f"""WITH {PATHS}, {MODS}, files AS (SELECT DISTINCT concat(CASE WHEN p_partkey % 5 = 0 THEN './' ELSE '' END, path) AS file, path FROM paths),
-met AS (SELECT f.file, f.path, m.module FROM files f LEFT JOIN mods m ON m.module = f.path OR ends_with(m.module, concat('/', f.path))),
-best AS (SELECT file, max(CASE WHEN module = path THEN module END) AS same, count(DISTINCT module) AS n, min(module) AS first FROM met GROUP BY file)
-SELECT file, CASE WHEN same IS NOT NULL OR n = 1 THEN 'matched' WHEN n > 1 THEN 'ambiguous' ELSE 'unmatched' END AS status, coalesce(same, CASE WHEN n = 1 THEN first END) AS module FROM best""")
+@query("part supplier", f"""WITH {PATHS}, {MODS}, files AS (SELECT DISTINCT file, regexp_replace(file, '^([.]/)+', '') AS path FROM (SELECT concat(CASE WHEN p_partkey % 5 = 0 THEN './' WHEN p_partkey % 4 = 0 THEN 'repo/' ELSE '' END, path) AS file FROM paths)),
+m AS (SELECT concat(module, '@', k) AS id, module AS raw, regexp_replace(module, '^([.]/)+', '') AS path FROM mods),
+met AS (SELECT f.file, m.id, CASE WHEN m.raw = f.path THEN 1000000 WHEN m.path = f.path THEN 500000 ELSE length(m.path) END AS fit FROM files f JOIN m ON m.path = f.path OR ends_with(f.path, concat('/', m.path))),
+best AS (SELECT file, id, rank() OVER (PARTITION BY file ORDER BY fit DESC) AS r FROM met), won AS (SELECT file, count(DISTINCT id) AS n, min(id) AS id FROM best WHERE r = 1 GROUP BY file)
+SELECT f.file, CASE WHEN n = 1 THEN 'matched' WHEN n > 1 THEN 'ambiguous' ELSE 'unmatched' END AS status, CASE WHEN n = 1 THEN id END AS module FROM (SELECT DISTINCT file FROM files) f LEFT JOIN won USING (file)""")
 def file_suffix_match(part, supplier):
+    """Files of a larger tree against modules told by their path or a part of it, some of them twice."""
     paths = _paths(part, supplier)
-    modules = paths.filter("p_partkey % 2 = 0").select(F.concat(F.lit("root/"), "path").alias("module")).union(paths.filter("p_partkey % 3 = 0").select("path")).distinct()
-    files = paths.select(F.concat(F.when(F.col("p_partkey") % 5 == 0, "./").otherwise(""), "path").alias("file")).distinct()
-    return C.suffix_match(files, modules)
+    own = paths.filter("p_partkey % 2 = 0").select("path", F.lit(0)).union(paths.filter("p_partkey % 6 = 0").select(F.regexp_replace("path", "^src/", ""), F.lit(1)))
+    own = own.union(paths.filter("p_partkey % 10 = 0").select("path", F.lit(2))).union(paths.filter("p_partkey % 9 = 1").select(F.concat(F.lit("./"), "path"), F.lit(3)))
+    modules = own.toDF("module", "k").distinct().select("module", F.concat("module", F.lit("@"), F.col("k").cast("string")).alias("id"))
+    lead = F.when(F.col("p_partkey") % 5 == 0, "./").when(F.col("p_partkey") % 4 == 0, "repo/").otherwise("")
+    return C.suffix_match(paths.select(F.concat(lead, "path").alias("file")).distinct(), modules)
 
 
 TOUCHED = "touched AS (SELECT DISTINCT regexp_replace(id, '#.*$', '') AS file FROM nodes WHERE kind = 'function' AND (starts_with(id, 'tp:Brand1/') OR starts_with(id, 'tp:r1/')))"

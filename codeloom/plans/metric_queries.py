@@ -40,47 +40,49 @@ def lcom4(members, member_calls):
 
 
 METRICS = f"""WITH RECURSIVE {CE}, {LCOM},
-coh AS (SELECT u.id, l.members, l.components FROM units u JOIN lcom l ON l.unit = concat('Brand', split_part(u.id, '/n', 2))),
-raw AS (SELECT id, ce, ca, coalesce(members, 0)::BIGINT AS members, CASE WHEN ce + ca > 0 THEN ce::DOUBLE / (ce + ca) ELSE 0.0::DOUBLE END AS i,
-        CASE WHEN kind = 'interface' OR is_abstract THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS a,
+shares AS (SELECT unit AS id, avg(is_abstract::INTEGER)::DOUBLE AS share FROM members GROUP BY unit),
+ext AS (SELECT source AS id, count(DISTINCT target)::BIGINT AS external FROM outside GROUP BY source),
+raw AS (SELECT id, ce, ca, coalesce(members, 0)::BIGINT AS members, coalesce(components, 0)::BIGINT AS components, coalesce(external, 0)::BIGINT AS external,
+        CASE WHEN ce + ca > 0 THEN ce::DOUBLE / (ce + ca) ELSE 0.0::DOUBLE END AS i, CASE WHEN kind = 'interface' THEN 1.0::DOUBLE ELSE coalesce(share, 0) END AS a,
         CASE WHEN coalesce(members, 0) > 1 THEN 1.0::DOUBLE - (components - 1.0::DOUBLE) / (members - 1.0::DOUBLE) ELSE 1.0::DOUBLE END AS c
-        FROM cc JOIN units USING (id) LEFT JOIN coh USING (id)),
+        FROM cc JOIN units USING (id) LEFT JOIN (SELECT unit AS id, members, components FROM lcom) l USING (id) LEFT JOIN shares USING (id) LEFT JOIN ext USING (id)),
 d AS (SELECT *, abs(a + i - 1) AS d, concat_ws(',', CASE WHEN ca >= 5 AND ce >= 5 THEN 'god-module' END, CASE WHEN a <= 0.3 AND i <= 0.3 AND ca >= 3 THEN 'zone-of-pain' END,
       CASE WHEN a >= 0.7 AND i >= 0.7 THEN 'zone-of-uselessness' END, CASE WHEN members >= 4 AND c <= 0.34 THEN 'low-cohesion' END) AS smells FROM raw),
-metrics AS (SELECT id, ce, ca, members, floor(i * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS instability, floor(a * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS abstractness,
+metrics AS (SELECT id, ce, ca, members, components, external, floor(i * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS instability, floor(a * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS abstractness,
             floor(d * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS distance, floor(c * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS cohesion, smells FROM d)"""
-METRIC_VIEWS = "units unit_edges members member_calls"
-SEVERITY = """(CASE WHEN contains(smells, 'god-module') THEN 4 ELSE 0 END + CASE WHEN contains(smells, 'zone-of-pain') THEN 3 ELSE 0 END
-+ CASE WHEN contains(smells, 'zone-of-uselessness') THEN 3 ELSE 0 END + CASE WHEN contains(smells, 'low-cohesion') THEN 2 ELSE 0 END)"""
-
-
-def _metrics(units, unit_edges, members, member_calls):
-    """Nations as units, with the cohesion of the brand of the same number."""
-    named = units.withColumn("unit", F.concat(F.lit("Brand"), F.substring_index("id", "/n", -1)))
-    cohesion = M.lcom4(members, member_calls).join(named.select("id", "unit"), "unit").select("id", "members", "components")
-    return M.unit_metrics(units, unit_edges, cohesion)
+METRIC_VIEWS = "units unit_edges members member_calls outside"
+SEVERITY = """(CASE WHEN contains(smells, 'god-module') THEN 4 ELSE 0 END + CASE WHEN contains(smells, 'low-cohesion') THEN 3 ELSE 0 END
++ CASE WHEN contains(smells, 'zone-of-pain') THEN 3 ELSE 0 END + CASE WHEN contains(smells, 'zone-of-uselessness') THEN 2 ELSE 0 END)"""
 
 
 @query(METRIC_VIEWS, METRICS + " SELECT * FROM metrics")
 def unit_metrics(*views):
-    return _metrics(*views)
+    """Nations as units; the parts of the brand with a nation's number are its members."""
+    return M.unit_metrics(*views)
 
 
 @query(METRIC_VIEWS, METRICS + " SELECT id, unnest(string_split(smells, ',')) AS smell FROM metrics WHERE smells <> ''")
 def smells(*views):
-    return _metrics(*views).filter("smells <> ''").select("id", F.explode(F.split("smells", ",")).alias("smell"))
+    return M.unit_metrics(*views).filter("smells <> ''").select("id", F.explode(F.split("smells", ",")).alias("smell"))
 
 
-@query(METRIC_VIEWS, METRICS + f" SELECT id, {SEVERITY} AS severity, distance, members FROM metrics WHERE {SEVERITY} > 0 ORDER BY severity DESC, distance DESC, members DESC, id LIMIT 20")
+@query(METRIC_VIEWS, METRICS + f" SELECT id, {SEVERITY} AS severity, distance, members FROM metrics")
 def refactor_rank(*views):
-    return M.refactor_rank(_metrics(*views))
-
-
-@query(METRIC_VIEWS, METRICS + """ SELECT id, CASE WHEN smells <> '' THEN 'refactor' WHEN distance <= 0.2 THEN 'healthy' ELSE 'watch' END AS verdict,
-CASE WHEN contains(smells, 'god-module') THEN 'god-module' WHEN contains(smells, 'zone-of-pain') THEN 'zone-of-pain' WHEN contains(smells, 'zone-of-uselessness') THEN 'zone-of-uselessness'
-WHEN contains(smells, 'low-cohesion') THEN 'low-cohesion' END AS worst FROM metrics""")
+    return M.refactor_rank(M.unit_metrics(*views))
+
+
+@query(METRIC_VIEWS, METRICS + f""", told AS (SELECT *, CASE WHEN contains(smells, 'god-module') THEN 'god-module' WHEN contains(smells, 'low-cohesion') THEN 'low-cohesion'
+WHEN contains(smells, 'zone-of-pain') THEN 'zone-of-pain' WHEN contains(smells, 'zone-of-uselessness') THEN 'zone-of-uselessness' END AS worst FROM metrics)
+SELECT id, CASE WHEN contains(smells, 'god-module') OR contains(smells, 'zone-of-pain') THEN 'bad' WHEN worst IS NOT NULL OR distance > {M.BALANCED} THEN 'warn' ELSE 'good' END AS tone, worst,
+CASE WHEN worst IS NULL THEN concat('distance ', distance, ', cohesion ', cohesion, ' over ', members, ' members') ELSE concat_ws('; ',
+  CASE WHEN contains(smells, 'god-module') THEN concat(ca, ' units use it and it uses ', ce) END,
+  CASE WHEN contains(smells, 'low-cohesion') THEN concat(members, ' members in ', components, ' groups that don''t call each other') END,
+  CASE WHEN contains(smells, 'zone-of-pain') THEN concat('concrete (', abstractness, '), stable (', instability, ') and used by ', ca, ' units') END,
+  CASE WHEN contains(smells, 'zone-of-uselessness') THEN concat('abstract (', abstractness, ') and unstable (', instability, '), used by ', ca, ' units') END) END AS findings,
+(contains(smells, 'god-module')::INTEGER + contains(smells, 'low-cohesion')::INTEGER + contains(smells, 'zone-of-pain')::INTEGER + contains(smells, 'zone-of-uselessness')::INTEGER) AS n_suggestions FROM told""")
 def diagnosis(*views):
-    return M.diagnosis(_metrics(*views))
+    told = M.diagnosis(M.unit_metrics(*views))
+    return told.select("id", "tone", "worst", F.array_join("findings", "; ").alias("findings"), F.size("suggestions").alias("n_suggestions"))
 
 
 @query("unit_edges", """WITH peers AS (SELECT count(*) AS n FROM (SELECT source FROM unit_edges UNION SELECT target FROM unit_edges)),

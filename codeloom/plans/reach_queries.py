@@ -18,14 +18,18 @@ closed AS (SELECT DISTINCT a.id FROM anc a JOIN nodes t ON t.id = a.anc_id AND t
 classes AS (SELECT parent_id AS id FROM nodes n WHERE parent_id IS NOT NULL GROUP BY parent_id HAVING bool_and(EXISTS (SELECT 1 FROM closed c WHERE c.id = n.id))),
 tests AS (SELECT id FROM closed UNION SELECT id FROM classes)"""
 LEAVES = f"""WITH RECURSIVE {ANC}, {TESTS},
-steps AS (SELECT DISTINCT source, target FROM edges WHERE target NOT IN (SELECT id FROM tests)),
+run AS (SELECT DISTINCT source, target FROM edges WHERE kind IN ('calls', 'instantiates', 'renders') AND coalesce(resolution, 'resolved') = 'resolved'),
+steps AS (SELECT source, target FROM run WHERE target NOT IN (SELECT id FROM tests)),
 hop AS (SELECT DISTINCT target AS id, 1 AS distance FROM steps WHERE source IN (SELECT id FROM tests)
         UNION SELECT s.target, h.distance + 1 FROM hop h JOIN steps s ON s.source = h.id WHERE h.distance < 12),
 best AS (SELECT id, min(distance) AS distance FROM hop GROUP BY id),
-callers AS (SELECT target AS id, count(*) AS n FROM edges WHERE source NOT IN (SELECT id FROM tests) GROUP BY target),
+firsts AS (SELECT target AS id, source, source IN (SELECT id FROM tests) AS by_test,
+           row_number() OVER (PARTITION BY target, source IN (SELECT id FROM tests) ORDER BY source) AS rn FROM run),
+callers AS (SELECT id, list(source ORDER BY source) FILTER (WHERE by_test) AS tests, list(source ORDER BY source) FILTER (WHERE NOT by_test) AS code FROM firsts WHERE rn <= 8 GROUP BY id),
 leaves AS (
-  SELECT n.id, CASE WHEN b.distance = 1 THEN 'covered' WHEN b.distance > 1 THEN 'indirect' WHEN c.n > 0 THEN 'uncovered' ELSE 'never-called' END AS status,
-         coalesce(b.distance, -1)::INTEGER AS distance
+  SELECT n.id, CASE WHEN b.distance = 1 THEN 'covered' WHEN b.distance > 1 THEN 'indirect' ELSE 'uncovered' END AS status, coalesce(b.distance, -1)::INTEGER AS distance,
+         CASE WHEN b.distance IS NULL THEN CASE WHEN c.code IS NULL THEN 'never-called' ELSE 'only-uncovered-callers' END END AS reason,
+         coalesce(CASE WHEN b.distance = 1 THEN c.tests WHEN b.distance IS NULL THEN c.code END, []::VARCHAR[]) AS callers
   FROM nodes n LEFT JOIN best b USING (id) LEFT JOIN callers c USING (id)
   WHERE n.kind IN ('function', 'method') AND n.id NOT IN (SELECT id FROM tests))"""
 
@@ -40,38 +44,48 @@ def tests_closure(nodes):
     return tree.closed_tests(nodes, nodes.filter("is_test").select("id"))
 
 
-@query("nodes edges", LEAVES + " SELECT * FROM leaves")
+def _kept(nodes):
+    """Nodes and their ancestors, made once for all that a query asks of them."""
+    nodes = cut(nodes)
+    return nodes, cut(tree.ancestors(nodes))
+
+
+@query("nodes edges", LEAVES + " SELECT id, status, distance, reason, array_to_string(callers, ' ') AS callers FROM leaves")
 def coverage_leaf(nodes, edges):
-    return reach.leaf_coverage(nodes, edges)
+    return reach.leaf_coverage(nodes, edges).withColumn("callers", F.array_join("callers", " "))
 
 
 @query("nodes edges", LEAVES + """
-, rolled AS (SELECT a.anc_id AS id, count_if(status IN ('covered', 'indirect'))::BIGINT AS covered, count(*)::BIGINT AS total
-             FROM leaves l JOIN anc a ON a.id = l.id AND a.depth > 0 GROUP BY a.anc_id)
-SELECT id, covered, total, floor(covered * 100.0::DOUBLE / total + 0.5::DOUBLE)::BIGINT AS percent,
-       CASE WHEN covered = 0 THEN 'uncovered' WHEN covered = total THEN 'covered' ELSE 'partial' END AS status FROM rolled""")
+, rolled AS (SELECT a.anc_id AS id, count_if(status <> 'uncovered')::BIGINT AS covered, count(*)::BIGINT AS total
+             FROM leaves l JOIN anc a ON a.id = l.id AND a.depth > 0 GROUP BY a.anc_id),
+holders AS (SELECT id, coalesce(covered, 0) AS covered, coalesce(total, 0) AS total FROM nodes n LEFT JOIN rolled USING (id)
+            WHERE id IN (SELECT parent_id FROM nodes) AND id NOT IN (SELECT id FROM tests))
+SELECT id, covered, total, CASE WHEN total = 0 THEN 0 ELSE floor(covered * 100.0::DOUBLE / total + 0.5::DOUBLE)::BIGINT END AS percent,
+       CASE WHEN total = 0 THEN 'no-callables' WHEN covered = 0 THEN 'uncovered' WHEN covered = total THEN 'covered' ELSE 'partial' END AS status FROM holders""")
 def coverage_container(nodes, edges):
-    return reach.container_coverage(nodes, reach.leaf_coverage(nodes, edges))
+    nodes, closure = _kept(nodes)
+    return reach.container_coverage(nodes, reach.leaf_coverage(nodes, edges, closure), closure)
 
 
 @query("nodes edges", LEAVES + """
 SELECT count(*)::BIGINT AS callables, count_if(status = 'covered')::BIGINT AS covered, count_if(status = 'indirect')::BIGINT AS indirect,
-       count_if(status IN ('uncovered', 'never-called'))::BIGINT AS uncovered,
-       floor(count_if(status IN ('covered', 'indirect')) * 100.0::DOUBLE / count(*) + 0.5::DOUBLE)::BIGINT AS percent FROM leaves""")
+       count_if(status = 'uncovered')::BIGINT AS uncovered, floor(count_if(status <> 'uncovered') * 100.0::DOUBLE / count(*) + 0.5::DOUBLE)::BIGINT AS percent,
+       (SELECT count(*) FROM tests)::BIGINT AS test_nodes, (SELECT count(*) FROM edges WHERE resolution = 'unresolved' AND source IN (SELECT id FROM tests))::BIGINT AS unresolved_from_tests FROM leaves""")
 def coverage_summary(nodes, edges):
-    return reach.coverage_summary(reach.leaf_coverage(nodes, edges))
+    nodes, closure = _kept(nodes)
+    return reach.coverage_summary(nodes, edges, reach.leaf_coverage(nodes, edges, closure), closure)
 
 
 @query("nodes edges", LEAVES + """
-SELECT n.parent_id AS id, count(*)::BIGINT AS total, count_if(status IN ('uncovered', 'never-called'))::BIGINT AS missing,
-       floor(count_if(status IN ('covered', 'indirect')) * 100.0::DOUBLE / count(*) + 0.5::DOUBLE)::BIGINT AS percent
+SELECT n.parent_id AS id, count(*)::BIGINT AS total, count_if(status = 'uncovered')::BIGINT AS missing,
+       floor(count_if(status <> 'uncovered') * 100.0::DOUBLE / count(*) + 0.5::DOUBLE)::BIGINT AS percent,
+       coalesce(string_agg(concat(l.id, ':', reason), ' ' ORDER BY l.id) FILTER (WHERE status = 'uncovered'), '') AS uncovered
 FROM leaves l JOIN nodes n USING (id) GROUP BY n.parent_id""")
 def coverage_rows(nodes, edges):
     """Callables by direct parent, the worst first when shown."""
-    leaves = reach.leaf_coverage(nodes, edges).join(nodes.select("id", "parent_id"), "id")
-    good = F.count_if(F.col("status").isin("covered", "indirect"))
-    rows = leaves.groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("total"), (F.count("*") - good).alias("missing"), reach.percent(good, F.count("*")).alias("percent"))
-    return rows.orderBy("percent", F.desc("total"))
+    rows = reach.coverage_rows(nodes, reach.leaf_coverage(nodes, edges))
+    told = F.array_join(F.transform("uncovered", lambda x: F.concat(x["id"], F.lit(":"), x["reason"])), " ")
+    return rows.withColumn("uncovered", told).orderBy("percent", F.desc("total"))
 
 
 @query("nodes edges", f"""WITH RECURSIVE {ANC}

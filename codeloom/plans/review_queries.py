@@ -232,7 +232,8 @@ def seed_rollup(nodes, edges):
 
 CAUSAL = """e AS (SELECT CASE WHEN right(target, 1) = '4' THEN 'handles' ELSE kind END AS kind, source, target FROM edges),
 a AS (SELECT kind, CASE WHEN kind = 'handles' THEN target ELSE source END AS source, CASE WHEN kind = 'handles' THEN source ELSE target END AS target FROM e),
-arcs AS (SELECT * FROM a WHERE kind = 'handles' OR target NOT IN (SELECT target FROM a WHERE kind = 'handles'))"""
+handled AS (SELECT DISTINCT target FROM a WHERE kind = 'handles'),
+arcs AS (SELECT * FROM a WHERE kind = 'handles' UNION ALL SELECT a.* FROM a ANTI JOIN handled USING (target) WHERE kind <> 'handles')"""
 
 
 def _arcs(edges):

@@ -63,7 +63,7 @@ def norm_affinity(unit_edges):
     return S.normal_affinities(S.pair_affinities(unit_edges)).select("a", "b", _six("weight"))
 
 
-@query("unit_edges", f"WITH {PAIRS}, p AS (SELECT source, target, sum(w) AS p FROM w WHERE source <> target GROUP BY ALL), n AS (SELECT source, target, p / sum(p) OVER (PARTITION BY source) AS weight FROM p) SELECT source, target, {SIX.format('weight')} FROM n")
+@query("unit_edges", f"WITH {PAIRS}, n AS (SELECT source, target, sum(w) AS weight FROM w WHERE source <> target GROUP BY ALL) SELECT source, target, {SIX.format('weight')} FROM n")
 def directed_affinity(unit_edges):
     return S.directed_affinities(unit_edges).select("source", "target", _six("weight"))
 

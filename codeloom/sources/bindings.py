@@ -31,16 +31,24 @@ VIEWS = {
         UNION ALL SELECT concat(module, '#C', c_custkey), 'class', c_name, module, false FROM {customer} JOIN {nation_module} ON c_nationkey = n_nationkey
         UNION ALL SELECT concat(module, '#C', c_custkey, '.O', o_orderkey), 'method', concat('order ', o_orderkey), concat(module, '#C', c_custkey), true
           FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation_module} ON c_nationkey = n_nationkey WHERE c_mktsegment = 'MACHINERY'""",
+    # the same with files and lines: classes of eight lines in their nation's file, methods inside them
+    "located": """
+        SELECT module AS id, 'module' AS kind, CAST(NULL AS STRING) AS parent_id, concat(module, '.ts') AS file, 1 AS a, 5000 AS b FROM {nation_module}
+        UNION ALL SELECT concat(module, '#C', c_custkey), 'class', module, concat(module, '.ts'), CAST(10 * (c_custkey % 211) + 1 AS INT), CAST(10 * (c_custkey % 211) + 8 AS INT) FROM {customer} JOIN {nation_module} ON c_nationkey = n_nationkey
+        UNION ALL SELECT concat(module, '#C', c_custkey, '.O', o_orderkey), 'method', concat(module, '#C', c_custkey), concat(module, '.ts'),
+               CAST(10 * (c_custkey % 211) + 1 + o_orderkey % 7 AS INT), CAST(10 * (c_custkey % 211) + 1 + o_orderkey % 7 + o_orderkey % 2 AS INT)
+          FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation_module} ON c_nationkey = n_nationkey WHERE o_orderkey % 3 = 0""",
     "line_ends": """
         SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_returnflag, l_linestatus,
                concat(pm.module, '#P', l_partkey) AS part_id, concat(nm.module, '#S', l_suppkey) AS supplier_id, pm.module AS part_module, nm.module AS supplier_module
         FROM {lineitem} JOIN {part_module} pm ON l_partkey = p_partkey JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation_module} nm ON s_nationkey = n_nationkey""",
     "edges": """
-        SELECT DISTINCT 'calls' AS kind, concat(module, '#C', c_custkey, '.O', o_orderkey) AS source, part_id AS target
+        SELECT DISTINCT 'calls' AS kind, concat(module, '#C', c_custkey, '.O', o_orderkey) AS source, part_id AS target,
+               CASE WHEN l_partkey % 9 = 4 THEN 'unresolved' ELSE 'resolved' END AS resolution
           FROM {line_ends} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation_module} ON c_nationkey = n_nationkey
           WHERE c_mktsegment = 'MACHINERY' AND l_returnflag = 'A' AND l_linestatus = 'F' AND l_linenumber = 1
-        UNION ALL SELECT DISTINCT 'calls', part_id, supplier_id FROM {line_ends} WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_linenumber = 2
-        UNION ALL SELECT DISTINCT 'calls', supplier_id, part_id FROM {line_ends} WHERE l_returnflag = 'N' AND l_linestatus = 'F' AND l_linenumber = 3 AND l_quantity < 5""",
+        UNION ALL SELECT DISTINCT 'calls', part_id, supplier_id, CASE WHEN l_suppkey % 5 = 3 THEN 'unresolved' END FROM {line_ends} WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_linenumber = 2
+        UNION ALL SELECT DISTINCT CASE WHEN l_suppkey % 4 = 1 THEN 'references' ELSE 'calls' END, supplier_id, part_id, 'resolved' FROM {line_ends} WHERE l_returnflag = 'N' AND l_linestatus = 'F' AND l_linenumber = 3 AND l_quantity < 5""",
     # one occurrence for each line item, from supplier to part
     "occurrences": """
         SELECT CASE l_returnflag WHEN 'A' THEN 'calls' WHEN 'R' THEN 'instantiates' ELSE 'references' END AS kind, supplier_id AS source,
@@ -58,8 +66,11 @@ VIEWS = {
           JOIN {nation_module} a ON c_nationkey = a.n_nationkey JOIN {nation_module} b ON s_nationkey = b.n_nationkey
           WHERE l_returnflag = 'A' AND l_linestatus = 'F' AND l_linenumber = 1 AND l_quantity <= 3 AND c_nationkey <> s_nationkey) x
         GROUP BY kind, source, target""",
-    "units": "SELECT module AS id, CASE WHEN n_nationkey % 5 = 0 THEN 'interface' ELSE 'class' END AS kind, n_nationkey % 3 = 0 AS is_abstract, concat('tp:r', n_regionkey) AS package FROM {nation} JOIN {nation_module} USING (n_nationkey)",
-    "members": "SELECT concat('P', p_partkey) AS id, replace(p_brand, '#', '') AS unit FROM {part}",
+    "units": "SELECT module AS id, CASE WHEN n_nationkey % 5 = 0 THEN 'interface' ELSE 'class' END AS kind, concat('tp:r', n_regionkey) AS package FROM {nation} JOIN {nation_module} USING (n_nationkey)",
+    # parts as members of the nation with the number of their brand
+    "members": "SELECT concat('P', p_partkey) AS id, module AS unit, p_size % 3 = 0 OR n_nationkey % 7 = 2 AS is_abstract FROM {part} JOIN {nation_module} ON concat('Brand#', n_nationkey) = p_brand",
+    # what units depend on outside the graph
+    "outside": "SELECT DISTINCT module AS source, concat('ext:npm/p', l_partkey % 97) AS target FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation_module} ON s_nationkey = n_nationkey WHERE l_partkey % 50 = 0",
     "member_calls": """
         SELECT DISTINCT concat('P', a.l_partkey) AS source, concat('P', b.l_partkey) AS target
         FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey

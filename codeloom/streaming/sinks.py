@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions.materialize import shared_folder
+
 
 def drained(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
     """All that a stream has to say of the files present, as a batch DataFrame.
@@ -17,8 +18,7 @@ def drained(stream: DataFrame, mode: str, keys: list[str] | None = None) -> Data
     in complete mode the last batch.
     """
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codeloom-")
-    base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
