@@ -136,3 +136,74 @@ def potts_gain(resolution: float):
 
 def modular_gain(total: float, resolution: float = 1.0):
     return lambda w, n, d, dg: w - resolution * d * dg / (2 * total)
+
+
+def neighbourhood(owning: DataFrame, edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """("group"): owning ("group") and all groups that an edge of theirs leads to or comes from; one step, not further."""
+    pairs = lifted_pairs(edges, groups).select("source", "target")
+    out = pairs.join(owning.select(F.col("group").alias("source")), "source", "left_semi").select(F.col("target").alias("group"))
+    back = pairs.join(owning.select(F.col("group").alias("target")), "target", "left_semi").select(F.col("source").alias("group"))
+    return owning.select("group").unionByName(out).unionByName(back).distinct()
+
+
+#: The Potts resolution without edges, its bounds, and its part of the median weight.
+NO_EDGES, LOWEST, HIGHEST, OF_MEDIAN = 0.005, 0.001, 0.05, 0.12
+
+
+def potts_resolution(edges: DataFrame, size: int, usual: int = 12) -> DataFrame:
+    """One row (resolution): of the upper median of the edges' weights, less where groups may be larger than usual, within bounds."""
+    median = edges.selectExpr("-percentile_disc(0.5) WITHIN GROUP (ORDER BY -weight) AS m")
+    scaled = F.least(F.lit(HIGHEST), F.greatest(F.lit(LOWEST), F.col("m") * F.lit(OF_MEDIAN) * F.lit(usual / max(1, size))))
+    return median.select(F.when(F.col("m").isNull(), F.lit(NO_EDGES)).otherwise(scaled).alias("resolution"))
+
+
+#: The bounds of a domain's resolution, and how many services make domains worth drawing.
+DOMAIN_LOWEST, DOMAIN_HIGHEST, LEAST_SERVICES = 1.2, 2.4, 12
+
+
+def domain_resolution(services: DataFrame, affinities: DataFrame) -> DataFrame:
+    """One row (resolution): finer groups for more and for denser services (rows) and affinities (rows)."""
+    n, m = services.agg(F.count("*").alias("n")), affinities.agg(F.count("*").alias("m"))
+    by_size = F.log2(F.greatest(F.lit(1.0), F.col("n") / 12))
+    by_density = F.when(F.col("n") == 0, F.lit(0.0)).otherwise(F.log2(F.greatest(F.lit(1.0), 2 * F.col("m") / F.col("n") / 4)))
+    raw = F.lit(DOMAIN_LOWEST) + F.lit(0.25) * by_size + F.lit(0.08) * by_density
+    return n.join(F.broadcast(m)).select(F.least(F.lit(DOMAIN_HIGHEST), F.greatest(F.lit(DOMAIN_LOWEST), raw)).alias("resolution"))
+
+
+def grouped_domains(services: DataFrame) -> DataFrame:
+    """One row (grouped): whether services (assigned) are drawn in domains: there are many, or some code has no service."""
+    return services.agg(((F.count_if("assigned") >= LEAST_SERVICES) | F.coalesce(F.bool_or(~F.col("assigned")), F.lit(False))).alias("grouped"))
+
+
+def feature_vectors(units: DataFrame, members: DataFrame, edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """(id, term, weight): structural features of groups (id, group), summed over their units.
+
+    units: id, name, kind, members, cohesion, abstractness; members: unit, kind, name,
+    tags, signature; edges: kind, source, target. Weights are fixed values. Units without
+    members have no features of their own, only those of their couplings.
+    """
+    from codeloom.functions.scalars import arity, bucket, name_tokens, signature_shape
+
+    feature = lambda text, weight: F.struct(text.alias("term"), F.lit(float(weight)).alias("weight"))
+    named = lambda prefix, value: F.concat(F.lit(prefix), value.cast("string"))
+    own = groups.withColumnRenamed("id", "unit")
+    shape = units.filter("members > 0").withColumnRenamed("id", "unit").join(own, "unit").select("group", F.explode(F.array(
+        feature(named("unit:", F.col("kind")), 0.25), feature(named("members:", bucket(F.col("members"), [0, 2, 5, 10, 20])), 0.25),
+        feature(named("cohesion:", bucket(F.col("cohesion"), [0.25, 0.5, 0.75, 0.99])), 0.25), feature(named("abstract:", bucket(F.col("abstractness"), [0.01, 0.5, 0.99])), 0.25),
+    )).alias("f"))
+    sign = F.btrim(F.coalesce("signature", F.lit("")))
+    empty = F.array().cast("array<struct<term:string,weight:double>>")
+    signed = F.when(sign != "", F.array(feature(named("signature:", signature_shape(sign, F.col("name"))), 4), feature(named("arity:", arity(sign)), 0.5))).otherwise(empty)
+    tags = F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: feature(named("tag:", F.lower(t)), 0.5))
+    roles = F.transform(name_tokens(F.col("name")), lambda t: feature(named("role:", t), 2))
+    of_members = members.join(own, "unit").select("group", F.explode(F.concat(F.array(feature(named("member:", F.col("kind")), 0.25)), tags, roles, signed)).alias("f"))
+
+    side = lambda end: own.select(F.col("unit").alias(end), F.col("group").alias(f"g_{end}"))
+    met = edges.select("kind", "source", "target").distinct().join(side("source"), "source").join(side("target"), "target").filter("g_source <> g_target")
+    names = lambda end: units.select(F.col("id").alias(f"g_{end}"), F.col("name").alias(f"n_{end}"))
+    met = met.join(names("source"), "g_source", "left").join(names("target"), "g_target", "left")
+    words = lambda end: name_tokens(F.coalesce(f"n_{end}", f"g_{end}"))
+    out = met.select(F.col("g_source").alias("group"), F.explode(F.concat(F.array(feature(named("out:", F.col("kind")), 1)), F.transform(words("target"), lambda t: feature(named("out-role:", t), 1)))).alias("f"))
+    into = met.select(F.col("g_target").alias("group"), F.explode(F.concat(F.array(feature(named("in:", F.col("kind")), 1)), F.transform(words("source"), lambda t: feature(named("in-role:", t), 1)))).alias("f"))
+    every = shape.unionByName(of_members).unionByName(out).unionByName(into)
+    return every.groupBy(F.col("group").alias("id"), F.col("f.term").alias("term")).agg(F.sum("f.weight").alias("weight"))

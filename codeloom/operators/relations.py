@@ -129,3 +129,83 @@ def extraction_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(what, kind, n): nodes by kind, edges by kind and by resolution, a missing one read as resolved."""
     by = lambda df, what, kind: df.groupBy(kind.alias("kind")).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "kind", "n")
     return by(nodes, "node", F.col("kind")).unionByName(by(edges, "edge", F.col("kind"))).unionByName(by(edges, "resolution", F.coalesce("resolution", F.lit("resolved"))))
+
+
+def occurs_after(pairs: DataFrame, sites: DataFrame) -> DataFrame:
+    """(candidate, boundary) of pairs of edge ids of which a site of the one begins after one of the other in the same file.
+
+    sites: edge, file, line, col, end_line, end_col. Only the last site of the candidate
+    and the first end of the boundary in a file matter. On one line both columns must be known.
+    """
+    begins = sites.groupBy(F.col("edge").alias("candidate"), "file").agg(F.max(F.struct("line", F.coalesce("col", F.lit(-1)).alias("col"))).alias("last"))
+    stop = F.struct(F.coalesce("end_line", "line").alias("line"), F.coalesce("end_col", F.lit(2**31 - 1)).alias("col"))
+    ends = sites.groupBy(F.col("edge").alias("boundary"), "file").agg(F.min(stop).alias("first"))
+    met = pairs.select("candidate", "boundary").distinct().join(begins, "candidate").join(ends, ["boundary", "file"])
+    later = (F.col("last.line") > F.col("first.line")) | ((F.col("last.line") == F.col("first.line")) & (F.col("last.col") >= F.col("first.col")))
+    return met.filter(later).select("candidate", "boundary").distinct()
+
+
+#: Edges by which a flow makes a promise its own.
+PROMISES = ("returnsPromise", "resolvesPromise", "rejectsPromise")
+
+
+def promise_groups(flows: DataFrame, edges: DataFrame, promises: DataFrame) -> DataFrame:
+    """(flow, lead, promise) of flows (flow, place): those that have to do with just one promise and share it stand together, led by one that returns it.
+
+    Other flows lead themselves and have no promise. promises: id.
+    """
+    own = edges.filter(F.col("kind").isin(*PROMISES) & (F.coalesce("resolution", F.lit("resolved")) == "resolved"))
+    own = own.join(promises.select(F.col("id").alias("target")), "target", "left_semi").select(F.col("source").alias("flow"), F.col("target").alias("promise"), (F.col("kind") == "returnsPromise").alias("returns"))
+    one = own.groupBy("flow").agg(F.count_distinct("promise").alias("n"), F.min("promise").alias("promise"), F.bool_or("returns").alias("returns")).filter("n = 1")
+    placed = flows.join(one, "flow", "left").select("flow", "place", "promise", F.coalesce("returns", F.lit(False)).alias("returns"))
+    first = F.min(F.struct((~F.col("returns")).alias("no"), "place", "flow")).alias("first")
+    shared = placed.filter("promise IS NOT NULL").groupBy("promise").agg(F.count("*").alias("n"), first).filter("n > 1")
+    met = placed.join(shared.select("promise", F.col("first.flow").alias("lead"), F.lit(True).alias("together")), "promise", "left")
+    return met.select("flow", F.coalesce("lead", "flow").alias("lead"), F.when(F.col("together"), F.col("promise")).alias("promise"))
+
+
+def flow_changes(steps: DataFrame, changed: DataFrame) -> DataFrame:
+    """(flow, target, status, place): what changed in each flow, its owner first, then what it surely calls, in order, each once.
+
+    steps: flow, path, kind, target, resolution, with paths that sort as they run; changed: id, status.
+    """
+    calls = steps.filter("kind = 'call' AND target IS NOT NULL AND resolution = 'resolved'").select("flow", "target", "path")
+    own = steps.select("flow").distinct().select("flow", F.col("flow").alias("target"), F.lit("").alias("path"))
+    every = calls.unionByName(own).groupBy("flow", "target").agg(F.min("path").alias("path"))
+    met = every.join(changed.select(F.col("id").alias("target"), "status"), "target")
+    return met.select("flow", "target", "status", F.row_number().over(W.partitionBy("flow").orderBy("path", "target")).alias("place"))
+
+
+def linearisations(classes: DataFrame, bases: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """(id, mro) of classes (id, complete) with bases (id, base, ord): the C3 order of each; null where a class or one above it
+    isn't complete, is in a circle, or has bases whose orders disagree.
+
+    A round settles the classes all of whose bases are settled; the merging of a class's few lists is a small function of its row.
+    """
+
+    @F.udf("array<string>")
+    def merged(own, above, direct):
+        lists, out = [list(x) for x in above] + [list(direct)], [own]
+        while lists := [x for x in lists if x]:
+            head = next((x[0] for x in lists if all(x[0] not in y[1:] for y in lists)), None)
+            if head is None:
+                return None
+            out.append(head)
+            lists = [x[1:] if x[0] == head else x for x in lists]
+        return out
+
+    links = cut(bases.select("id", "base", "ord").distinct())
+    left = cut(classes.filter("complete").select("id").distinct())
+    done = [cut(left.join(links.select("id"), "id", "left_anti").select("id", F.array("id").alias("mro")))]
+    for _ in range(max_rounds):
+        left = cut(left.join(done[-1].select("id"), "id", "left_anti"))
+        settled = union(done)
+        met = left.join(links, "id").join(settled.select(F.col("id").alias("base"), F.lit(True).alias("ok"), "mro"), "base", "left")
+        ready = met.groupBy("id").agg(F.min(F.coalesce("ok", F.lit(False))).alias("all"), F.sort_array(F.collect_list(F.struct("ord", "base", "mro"))).alias("b")).filter("all")
+        above, direct = F.transform("b", lambda x: x["mro"]), F.transform("b", lambda x: x["base"])
+        order = merged("id", F.transform(above, lambda x: F.coalesce(x, F.array().cast("array<string>"))), direct)
+        new = cut(ready.select("id", F.when(F.forall(above, lambda x: x.isNotNull()), order).alias("mro")))
+        if new.isEmpty():
+            return classes.select("id").distinct().join(settled, "id", "left")
+        done.append(new)
+    raise Unsettled(f"classes above each other in more than {max_rounds} steps")

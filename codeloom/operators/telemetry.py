@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.scalars import unit_interval
 
+from .changes import union_length
+
 
 def overlay(spans: DataFrame, node: str, value: str) -> DataFrame:
     """Per node: calls, error rate and exact latency percentiles."""
@@ -88,3 +90,16 @@ def watched_changes(rows: DataFrame, watcher: str, order: list[str], value: str)
     """Occurrences whose value differs from the one before for the same watcher."""
     last = F.lag(value).over(W.partitionBy(watcher).orderBy(*order))
     return rows.withColumn("previous", last).filter(F.col("previous").isNotNull() & (F.col("previous") != F.col(value))).select(watcher, order[-1], "previous", value)
+
+
+def rolled_evidence(evidence: DataFrame, near: DataFrame, frames: DataFrame) -> DataFrame:
+    """("at", spans, errors, first, wall) of evidence (node, a, b, is_error, seq) at what is visible.
+
+    That is the nearest visible ancestor (near: id, near), else the frame of the node's
+    service (frames: id, frame). Wall time counts overlapping spans once; nodes that are
+    nowhere visible drop out.
+    """
+    placed = evidence.join(near.select(F.col("id").alias("node"), "near"), "node", "left").join(frames.select(F.col("id").alias("node"), "frame"), "node", "left")
+    rows = placed.withColumn("at", F.coalesce("near", "frame")).filter("at IS NOT NULL")
+    counts = rows.groupBy("at").agg(F.count("*").alias("spans"), F.count_if("is_error").alias("errors"), F.min("seq").alias("first"))
+    return counts.join(union_length(rows.select("at", "a", "b"), "at").select("at", F.col("length").alias("wall")), "at")

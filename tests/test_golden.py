@@ -4,36 +4,192 @@ import json
 
 import pytest
 
-from codeloom.operators import changes, cluster, edges, flows, merge, metrics, reach, relations, review, search, similarity, telemetry, tree
-from codeloom.operators.iterate import components
+from codeloom.functions import scalars
+from codeloom.functions.materialize import Unsettled
+from codeloom.operators import changes, cluster, edges, flows, link, merge, metrics, reach, relations, review, search, similarity, telemetry, tree
+from codeloom.operators.iterate import bfs, components
 from codeloom.sources import artifacts, python_code
 
 
 @pytest.fixture(scope="module")
 def shop(spark):
-    """Module and class with two methods, callables around them, and one test."""
+    """Module and class with two methods, callables around them, and one test, one of whose calls isn't resolved."""
     nodes = [
         ("m", "module", None), ("m#Svc", "class", "m"), ("place", "method", "m#Svc"), ("cancel", "method", "m#Svc"), ("save", "function", None),
         ("handle", "function", None), ("send", "function", None), ("dead", "function", None), ("t1", "function", None),
     ]
-    calls = [("t1", "place"), ("place", "save"), ("handle", "place"), ("handle", "send")]
-    n = spark.createDataFrame([(i, k, p, i == "t1") for i, k, p in nodes], "id string, kind string, parent_id string, is_test boolean")
-    return n, spark.createDataFrame([("calls", s, t) for s, t in calls], "kind string, source string, target string")
+    calls = [("t1", "place", "resolved"), ("place", "save", None), ("handle", "place", "resolved"), ("handle", "send", "resolved"), ("t1", "dead", "unresolved")]
+    n = spark.createDataFrame([(i, k, i, p, i == "t1") for i, k, p in nodes], "id string, kind string, display_name string, parent_id string, is_test boolean")
+    return n, spark.createDataFrame([("calls", *c) for c in calls], "kind string, source string, target string, resolution string")
 
 
 def test_reachability(shop):
     leaves = reach.leaf_coverage(*shop)
-    got = {r["id"]: (r["status"], r["distance"]) for r in leaves.collect()}
+    got = {r["id"]: (r["status"], r["distance"], r["reason"], r["callers"]) for r in leaves.collect()}
     assert got == {
-        "place": ("covered", 1), "save": ("indirect", 2), "send": ("uncovered", -1), "dead": ("never-called", -1), "handle": ("never-called", -1), "cancel": ("never-called", -1),
+        "place": ("covered", 1, None, ["t1"]), "save": ("indirect", 2, None, []), "send": ("uncovered", -1, "only-uncovered-callers", ["handle"]), "dead": ("uncovered", -1, "never-called", []),
+        "handle": ("uncovered", -1, "never-called", []), "cancel": ("uncovered", -1, "never-called", []),
     }
     assert {r["id"]: (r["covered"], r["total"], r["percent"], r["status"]) for r in reach.container_coverage(shop[0], leaves).collect()} == {"m": (1, 2, 50, "partial"), "m#Svc": (1, 2, 50, "partial")}
-    assert tuple(reach.coverage_summary(leaves).first()) == (6, 1, 1, 4, 33)
+    assert tuple(reach.coverage_summary(*shop, leaves).first()) == (6, 1, 1, 4, 33, 1, 1)
+
+
+def test_constructors_are_reached_by_instantiation(spark):
+    n = spark.createDataFrame(
+        [("m", "module", "m", None, False), ("C", "class", "C", "m", False), ("C.c", "method", "constructor", "C", False), ("D", "class", "D", "m", False), ("t", "function", "t", None, True)],
+        "id string, kind string, display_name string, parent_id string, is_test boolean",
+    )
+    e = spark.createDataFrame([("instantiates", "t", "C")], "kind string, source string, target string")
+    assert {r["id"]: r["status"] for r in reach.leaf_coverage(n, e).collect()} == {"C.c": "covered"}
+    n = n.unionByName(spark.createDataFrame([("D.x", "field", "x", "D", False)], n.schema))
+    assert {r["id"]: r["status"] for r in reach.container_coverage(n, reach.leaf_coverage(n, e)).collect()} == {"m": "covered", "C": "covered", "D": "no-callables"}
 
 
 def test_parent_cycles_end(spark):
-    nodes = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "gone"), ("d", "d")], "id string, parent_id string")
-    assert tree.ancestors(nodes, max_depth=5).filter("id = 'c' OR id = 'd'").count() == 2
+    nodes = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "gone"), ("d", "d"), ("e", "a"), ("f", "e")], "id string, parent_id string")
+    got = {}
+    for r in tree.ancestors(nodes).collect():
+        got.setdefault(r["id"], {})[r["anc_id"]] = r["depth"]
+    assert got == {"a": {"a": 0, "b": 1}, "b": {"b": 0, "a": 1}, "c": {"c": 0}, "d": {"d": 0}, "e": {"e": 0, "a": 1, "b": 2}, "f": {"f": 0, "e": 1, "a": 2, "b": 3}}
+    deep = spark.createDataFrame([(f"{k:03}", f"{k - 1:03}" if k else None) for k in range(22)], "id string, parent_id string")
+    assert tree.ancestors(deep).count() == 22 * 23 // 2
+    with pytest.raises(Unsettled):
+        tree.ancestors(deep, max_depth=9)
+
+
+def test_bounds_raise(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(9)], "source long, target long")
+    start = spark.createDataFrame([(0,)], "id long")
+    assert bfs(start, chain).count() == 10 and bfs(start, chain, max_depth=4).count() == 5
+    with pytest.raises(Unsettled):
+        bfs(start, chain, max_rounds=4)
+    with pytest.raises(Unsettled):
+        components(chain.select(chain["source"].alias("id")), chain, max_rounds=1)
+    with pytest.raises(Unsettled):
+        cluster.owned(start, chain, max_depth=3)
+
+
+def test_groups_never_hold_more_than_they_may(spark):
+    import itertools
+
+    e = spark.createDataFrame([(f"{a:02}", f"{b:02}", 1.0) for a, b in itertools.combinations(range(30), 2)], "a string, b string, weight double")
+    ids = spark.createDataFrame([(f"{a:02}",) for a in range(30)], "id string")
+    sizes = [r["count"] for r in cluster.local_moves(ids, e, cluster.potts_gain(0.1), most=5).groupBy("group").count().collect()]
+    assert max(sizes) == 5 and sum(sizes) == 30
+
+
+def test_blocks_touched_on_their_own_lines(spark):
+    """A container is touched only beside its children, adjacent children leave nothing between them, and a module stands in for what no block shows."""
+    nodes = [
+        ("ts:a", "module", None, "a", 1, 40), ("ts:a#K", "class", "ts:a", "a", 1, 20), ("ts:a#K.f", "method", "ts:a#K", "a", 1, 5), ("ts:a#K.g", "method", "ts:a#K", "a", 6, 10), ("ts:a#K.h", "method", "ts:a#K", "a", 15, None),
+        ("ts:b", "module", None, "b", 1, 9), ("ts:b#f", "function", "ts:b", "b", 5, 9), ("ts:c", "module", None, "c", 1, 9), ("ts:d", "module", None, "d", 1, 9), ("ts:d#f", "function", "ts:d", "d", 1, 9),
+    ]
+    n = spark.createDataFrame(nodes, "id string, kind string, parent_id string, file string, a int, b int")
+    files = spark.createDataFrame([("a", "modified", True), ("b", "added", True), ("c", "renamed", False)], "file string, status string, has_hunks boolean")
+    hunks = lambda *h: spark.createDataFrame(list(h), "file string, a int, b int")
+    got = lambda *h: [(r["id"], r["by_hunk"]) for r in changes.affected_nodes(n, files, hunks(*h)).collect()]
+    assert got(("a", 4, 7), ("b", 1, 2)) == [("ts:a#K.f", True), ("ts:a#K.g", True), ("ts:b", False), ("ts:c", False)]
+    assert got(("a", 10, 11), ("b", 9, 9)) == [("ts:a#K", True), ("ts:a#K.g", True), ("ts:b#f", True), ("ts:c", False)]
+    assert got(("a", 15, 15), ("a", 30, 30), ("b", 4, 4)) == [("ts:a#K.h", True), ("ts:b", False), ("ts:c", False)]
+    tags = {r["id"] for r in changes.changed_tags(n, hunks(("a", 30, 30), ("b", 9, 9))).collect() if r["is_changed"]}
+    assert tags == {"ts:a", "ts:b#f"}
+
+
+def test_long_intervals_meet_short_ones(spark):
+    import random
+
+    rng = random.Random(2)
+    spans = lambda n: [(k % 3, a, a + rng.choice([0, 3, 90, 2000, 10**6])) for k in range(n) for a in [rng.randrange(10**5)]]
+    left, right = spans(60), spans(60)
+    df = lambda rows: spark.createDataFrame([(f"f{k}", a, b) for k, a, b in rows], "file string, a long, b long")
+    got = sorted((r["file"], r["a"], r["b"], r["r_a"], r["r_b"]) for r in changes.overlaps(df(left), df(right), "file").collect())
+    assert got == sorted((f"f{k}", a, b, c, d) for k, a, b in left for m, c, d in right if k == m and a <= d and c <= b)
+
+
+def test_files_end_in_the_paths_of_modules(spark):
+    modules = spark.createDataFrame([("1", "src/a.ts"), ("2", "a.ts"), ("3", "x/b.ts"), ("4", "x/b.ts"), ("5", "./c.ts")], "id string, module string")
+    files = spark.createDataFrame([("repo/src/a.ts",), ("lib/a.ts",), ("x/b.ts",), ("c.ts",), ("ba.ts",)], "file string")
+    got = {r["file"]: (r["status"], r["module"]) for r in changes.suffix_match(files, modules).collect()}
+    assert got == {"repo/src/a.ts": ("matched", "1"), "lib/a.ts": ("matched", "2"), "x/b.ts": ("ambiguous", None), "c.ts": ("matched", "5"), "ba.ts": ("unmatched", None)}
+
+
+def test_metrics_of_small_graphs(spark):
+    units = spark.createDataFrame([("a", "module"), ("b", "module"), ("C", "class"), ("I", "interface")], "id string, kind string")
+    pairs = spark.createDataFrame([("calls", "a", "b", 1)], "kind string, source string, target string, weight int")
+    members = spark.createDataFrame([("a.f", "a", False), ("b.g", "b", False), *[(f"C.m{k}", "C", k == 1) for k in range(1, 5)]], "id string, unit string, is_abstract boolean")
+    calls = spark.createDataFrame([("C.m1", "C.m2"), ("C.m3", "C.m4")], "source string, target string")
+    got = {r["id"]: r for r in metrics.unit_metrics(units, pairs, members, calls).collect()}
+    assert (got["a"]["instability"], got["a"]["distance"], got["b"]["instability"], got["b"]["distance"]) == (1.0, 0.0, 0.0, 1.0)
+    assert (got["C"]["components"], got["C"]["cohesion"], got["C"]["abstractness"], got["C"]["smells"]) == (2, 0.67, 0.25, "") and got["I"]["abstractness"] == 1.0
+    assert metrics.refactor_rank(metrics.unit_metrics(units, pairs, members, calls)).count() == 4
+    n = spark.createDataFrame([("m", "module", None), ("m#C", "class", "m"), ("m#C.f", "method", "m#C"), ("m#g", "function", "m"), ("p", "package", None)], "id string, kind string, parent_id string")
+    e = spark.createDataFrame([("calls", "m#g", "m#C.f"), ("calls", "m#C.f", "m#C.f"), ("calls", "m#g", "ext:npm/x"), ("calls", "m#g", "gone")], "kind string, source string, target string")
+    placed = metrics.unit_of(n, tree.ancestors(n))
+    assert {tuple(r) for r in metrics.members_of(n, placed).collect()} == {("m#C.f", "m#C"), ("m#g", "m")}
+    across, inner, out = metrics.between_units(e, placed, n)
+    assert [tuple(r) for r in across.collect()] == [("calls", "m", "m#C", 1)] and inner.count() == 1 and {r["target"] for r in out.collect()} == {"ext:npm/x", "gone"}
+
+
+def test_labels_of_change_groups(spark):
+    rows = [("g1", "src/a/x.ts"), ("g1", "src/a/y.ts"), ("g2", "src/b/z.ts"), ("g3", "src/c/q.ts"), ("g3", "src/d/q.ts"), ("g3", "src/r.ts")]
+    got = {r["group"]: (r["label"], r["n_files"]) for r in changes.group_labels(spark.createDataFrame(rows, "`group` string, file string")).collect()}
+    assert got == {"g1": ("src/a", 2), "g2": ("z.ts", 1), "g3": ("c+d+r.ts", 3)}
+
+
+def test_hash_of_names_beyond_ascii(spark):
+    def plain(text):
+        h = 2166136261
+        raw = text.encode("utf-16-be")
+        for k in range(0, len(raw), 2):
+            h = ((h ^ int.from_bytes(raw[k : k + 2], "big")) * 16777619) % 2**32
+        return f"{h:08x}"
+
+    names = ["abc", "größe", "東京", "a😀", ""]
+    df = spark.createDataFrame([(x,) for x in names], "x string")
+    assert [r[0] for r in df.select(scalars.fnv1a(df["x"])).collect()] == [plain(x) for x in names]
+
+
+def test_signatures(spark):
+    rows = [("f", "f(a: string, b?: number = 12.5): void", "method(arg:string,arg?:number=number):void", 2), ("g", "g()", "method()", 0), ("h", "h(x: Map<a, b>, {c, d}: T)", "method(arg:map<a,b>,{c,d}:t)", 2), ("k", "", "", 0)]
+    df = spark.createDataFrame([(n, s) for n, s, *_ in rows], "n string, s string")
+    got = df.select(scalars.signature_shape(df["s"], df["n"]), scalars.arity(df["s"])).collect()
+    assert [tuple(r) for r in got] == [(shape, k) for *_, shape, k in rows]
+
+
+def test_comments_of_sources(spark):
+    script = "a // b\n/* c\n d */ e\nx = '// no'\n"
+    python = "# a\nx = '#' # b\ny = \"\"\"\n# in a text\n\"\"\""
+    df = spark.createDataFrame([(script, python)], "s string, p string")
+    got = df.select(scalars.comment_lines(df["s"]), scalars.comment_lines(df["p"], python=True)).first()
+    assert [tuple(x) for x in got[0]] == [("a ", True), ("", True), (" e", True), ("x = '// no'", False), ("", False)]
+    assert [tuple(x) for x in got[1]] == [("", True), ("x = '#' ", True), ('y = """', False), ("# in a text", False), ('"""', False)]
+
+
+def test_class_orders(spark):
+    classes = spark.createDataFrame([(x, x != "Bad") for x in ("O", "A", "B", "C", "X", "Y", "Z", "Bad", "Sub", "L1", "L2")], "id string, complete boolean")
+    given = {"A": "O", "B": "O", "C": "AB", "X": "AB", "Y": "BA", "Z": "XY", "L1": ["L2"], "L2": ["L1"], "Sub": ["Bad"]}
+    bases = spark.createDataFrame([(i, b, k) for i, bs in given.items() for k, b in enumerate(bs)], "id string, base string, ord int")
+    got = {r["id"]: r["mro"] for r in relations.linearisations(classes, bases).collect()}
+    assert got == {"O": ["O"], "A": ["A", "O"], "B": ["B", "O"], "C": list("CABO"), "X": list("XABO"), "Y": list("YBAO"), "Z": None, "Bad": None, "Sub": None, "L1": None, "L2": None}
+
+
+def test_two_linked_systems(spark):
+    """Ids are set apart under a root for each system; a call takes the one template of its method; what nobody calls dangles."""
+    nodes = spark.createDataFrame(
+        [("web", "ts:app", "module", None, "app.ts", 0), ("web", "ts:app#load", "function", "ts:app", "app.ts", 1), ("api", "ts:app", "module", None, "app.ts", 0), ("api", "ext:npm/x", "external", None, "x", 1)],
+        "system string, id string, kind string, parent_id string, file string, ord int",
+    )
+    got = {r["id"]: (r["parent_id"], r["file"]) for r in link.linked_nodes(nodes).collect()}
+    assert got == {"sys:web": (None, "web"), "sys:api": (None, "api"), "ts:web/app": ("sys:web", "web/app.ts"), "ts:web/app#load": ("ts:web/app", "web/app.ts"), "ts:api/app": ("sys:api", "api/app.ts"), "ext:npm/x": (None, "x")}
+    rows = [("web", "ts:app#load", "out", "GET /api/orders/123"), ("api", "ts:app", "in", "GET /api/orders/:id"), ("api", "ts:app", "in", "DELETE /api/orders/:id")]
+    schema = "system string, owner string, handler string, direction string, protocol string, channel string, lane string, scope string, scope_kind string, confidence double"
+    ports = link.linked_ports(spark.createDataFrame([(s, o, None, d, "http", c, None, None, None, 1.0) for s, o, d, c in rows], schema))
+    joined = link.unified_http(ports)
+    assert {r["channel"] for r in joined.filter("direction = 'out'").collect()} == {"GET /api/orders/:id"}
+    stats = link.joint_stats(joined).first()
+    assert (stats["systems"], stats["template_joins"], stats["channels"], stats["cross_system"], stats["dangling"]) == (2, 1, 2, 1, 1)
+    wires = link.channel_graph(joined, link.linked_nodes(nodes), spark.createDataFrame([], "id string"))
+    assert {(r["kind"], r["source"].split("/channel")[0]) for r in wires.collect()} == {("sends", "ts:web/app#load"), ("handles", "ipc:http")}
 
 
 def test_route_ties_match_nothing(spark):
