@@ -50,7 +50,9 @@ PREFIXES = range(4, 11)
 EDITS, LETTERS_PER_EDIT = 1, 5
 SKETCH = 4
 WINDOW, QUOTED_WEIGHT = 8, 0.3
-MEMO = 300_000
+MEMO = 100_000
+#: Texts that are unpacked from a batch at a time.
+TEXTS = 256
 
 #: Digits and signs that stand for letters.
 LOOKALIKES = str.maketrans("013457@$!|", "oieastasil")
@@ -234,13 +236,19 @@ def _log_ratio(a: int, b: int, n1: int, n0: int) -> float:
     return part(a, n1, a + b) + part(b, n0, a + b) + part(n1 - a, n1, n1 + n0 - a - b) + part(n0 - b, n0, n1 + n0 - a - b)
 
 
+def _texts(column):
+    """The texts of an Arrow column, few of them at a time."""
+    for at in range(0, len(column), TEXTS):
+        yield from column.slice(at, TEXTS).to_pylist()
+
+
 def _counted(keys_of):
     """A mapInArrow function: (y, text) -> key, toxic documents, clean documents, summed within a batch."""
 
     def run(batches):
         for batch in batches:
             toxic, clean = Counter(), Counter()
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for y, text in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), strict=True):
                 (toxic if y else clean).update(keys_of(text))
             keys = list(toxic | clean)
             yield pa.RecordBatch.from_arrays(
@@ -313,7 +321,7 @@ def _featured(rows: DataFrame, lexicon: Lexicon, key: str) -> DataFrame:
     def run(batches):
         memo = _Memo(lexicon)
         for batch in batches:
-            x = [features(memo, t) for t in batch.column(1).to_pylist()]
+            x = [features(memo, t) for t in _texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=[key, "x"])
 
     return rows.select(key, "text").mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, x array<double>")
@@ -327,7 +335,7 @@ def score(documents: DataFrame, model: Model, text: str = "text", name: str = "s
     def run(batches):
         memo = _Memo(lexicon)
         for batch in batches:
-            x = [features(memo, t or "") for t in batch.column(at).to_pylist()]
+            x = [features(memo, t or "") for t in _texts(batch.column(at))]
             y = model.scores(np.array(x).reshape(-1, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(y, pa.float64())], names=[*batch.schema.names, name])
 
