@@ -45,6 +45,8 @@ FRONT_ROWS = 64
 NODE_ROWS, TASK_ROWS = 4096, 8192
 #: A pair of nodes with at most so many pairs of fingerprints is compared outright.
 LEAF_PAIRS = 16
+#: Rows of one fingerprint beyond which they aren't shuffled to it, as long as such fingerprints are few.
+HOT_COPIES = 256
 #: Bits by which nodes are split before the shuffle.
 STEP = 4
 
@@ -266,12 +268,14 @@ def near_duplicates(documents: DataFrame, text: str = "text") -> DataFrame:
     Nodes are ordered by their smallest doc_id, so the smallest node of a component names it.
     """
     rows = checkpointed(fingerprints(documents, text))
-    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    distinct = checkpointed(least.select(F.col("least").isNull().alias("nil"), F.coalesce("least", F.lit(0)).alias("id"), "fp"))
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    distinct = checkpointed(least.select(F.col("least").isNull().alias("nil"), F.coalesce("least", F.lit(0)).alias("id"), "fp", "copies"))
     roots = components(links(distinct)).select(F.col("node.fp").alias("fp"), F.when(~F.col("root.nil"), F.col("root.id")).alias("lowest"), F.lit(True).alias("linked"))
     own = F.when(F.col("linked"), F.col("lowest")).when(~F.col("nil"), F.col("id"))
-    members = distinct.join(roots, "fp", "left").select("fp", own.alias("component_id"))
-    return rows.join(members, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    members = checkpointed(distinct.join(roots, "fp", "left").select("fp", own.alias("component_id"), "copies"))
+    often = small(members.filter(F.col("copies") > HOT_COPIES))  # one of so many rows at most
+    named = rows.join(often, "fp").unionByName(rows.join(often, "fp", "left_anti").join(members, "fp"))
+    return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(documents: DataFrame, text: str = "text") -> DataFrame:
