@@ -66,13 +66,17 @@ def relink(edges: DataFrame, survivor: DataFrame, nodes: DataFrame) -> DataFrame
 
 
 def lift(edges: DataFrame, near: DataFrame) -> DataFrame:
-    """Edges between the nearest visible ancestors (id, near), by kind; resolved only where all are."""
+    """Edges between the nearest visible ancestors (id, near), by kind; resolved only where all are.
+
+    Occurrences between the same ends are summed before they meet the ancestors.
+    """
+    all_in = F.bool_and(F.coalesce(F.col("resolution"), F.lit("resolved")) == "resolved").alias("sure")
+    once = edges.groupBy("kind", "source", "target").agg(F.sum(F.coalesce("weight", F.lit(1))).alias("weight"), all_in, F.count("*").alias("n"))
     src = near.select(F.col("id").alias("source"), F.col("near").alias("s"))
     tgt = near.select(F.col("id").alias("target"), F.col("near").alias("t"))
-    met = edges.join(src, "source").join(tgt, "target").filter("s <> t")
-    all_in = F.bool_and(F.coalesce(F.col("resolution"), F.lit("resolved")) == "resolved")
+    met = once.join(src, "source").join(tgt, "target").filter("s <> t")
     lifted = met.groupBy("kind", "s", "t").agg(
-        F.sum(F.coalesce("weight", F.lit(1))).alias("weight"), F.when(all_in, "resolved").otherwise("unresolved").alias("resolution"), F.count("*").alias("underlying")
+        F.sum("weight").alias("weight"), F.when(F.bool_and("sure"), "resolved").otherwise("unresolved").alias("resolution"), F.sum("n").alias("underlying")
     )
     return lifted.withColumnRenamed("s", "source").withColumnRenamed("t", "target")
 

@@ -53,3 +53,36 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> Dat
         if not new.filter("next <> root").limit(1).count():
             return labels
     raise Unsettled(f"components have not settled within {max_rounds} rounds")
+
+
+def connectors(chosen: DataFrame, edges: DataFrame, max_depth: int = 64) -> DataFrame:
+    """(id): what lies between the members of a small selection (id) on one shortest way for each pair; edges are read both ways.
+
+    A search from every member goes on while it finds new nodes, max_depth steps at most.
+    Of ways of one length that with more kinds of edges wins, then the heavier one, then
+    the smaller id. edges: source, target and, where known, kind and weight.
+    """
+    kind = F.col("kind") if "kind" in edges.columns else F.lit("")
+    weight = F.coalesce("weight", F.lit(1)).cast("double") if "weight" in edges.columns else F.lit(1.0)
+    rows = edges.filter("source <> target").select(F.least("source", "target").alias("id"), F.greatest("source", "target").alias("next"), kind.alias("kind"), weight.alias("w"))
+    pairs = rows.groupBy("id", "next").agg(F.count_distinct("kind").alias("k"), F.sum("w").alias("w"))
+    both = cut(pairs.unionByName(pairs.select(F.col("next").alias("id"), F.col("id").alias("next"), "k", "w")))
+    seeds = chosen.select("id").distinct()
+    levels = [cut(seeds.select(F.col("id").alias("seed"), "id", F.col("id").alias("before"), F.lit(0).cast("long").alias("kinds"), F.lit(0.0).alias("load")))]
+    for _ in range(max_depth):
+        way = F.struct((-F.col("kinds") - F.col("k")).alias("k"), (-F.col("load") - F.col("w")).alias("w"), "id")
+        best = levels[-1].join(both, "id").groupBy("seed", F.col("next").alias("id")).agg(F.min(way).alias("way"))
+        found = best.select("seed", "id", F.col("way.id").alias("before"), (-F.col("way.k")).alias("kinds"), (-F.col("way.w")).alias("load"))
+        level = cut(found.join(union(levels).select("seed", "id"), ["seed", "id"], "left_anti"))
+        if level.isEmpty():
+            break
+        levels.append(level)
+    known = cut(union(levels))
+    at = known.join(seeds, "id", "left_semi").filter("seed < id").select("seed", F.col("before").alias("id")).filter("seed <> id").distinct()
+    met = [cut(at)]
+    for _ in range(len(levels)):
+        step = cut(met[-1].join(known, ["seed", "id"]).select("seed", F.col("before").alias("id")).filter("seed <> id").distinct())
+        if step.isEmpty():
+            break
+        met.append(step)
+    return union(met).select("id").distinct().join(seeds, "id", "left_anti")

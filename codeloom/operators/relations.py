@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.materialize import Unsettled, cut, union
 
 from .iterate import bfs
+from .tree import nearest
 
 #: Names of constructors; edge kinds that a causal slice reads against their direction.
 CONSTRUCTORS = ("constructor", "__init__")
@@ -209,3 +210,30 @@ def linearisations(classes: DataFrame, bases: DataFrame, max_rounds: int = 200)
             return classes.select("id").distinct().join(settled, "id", "left")
         done.append(new)
     raise Unsettled(f"classes above each other in more than {max_rounds} steps")
+
+
+def folder_ghosts(edges: DataFrame, nodes: DataFrame, closure: DataFrame, visible: DataFrame) -> DataFrame:
+    """(source, target, kind, weight, members) of wires between visible packages (visible: id) and packages that aren't drawn.
+
+    An edge of which one end is below a visible package and the other below nothing that
+    is visible goes to the package above the other end that is as many packages deep as
+    the visible one, or to its deepest; members is how many modules it stands for.
+    """
+    packages = nodes.filter("kind = 'package'").select(F.col("id").alias("anc_id"))
+    tiers = closure.join(packages, "anc_id", "left_semi").withColumn("tier", F.row_number().over(W.partitionBy("id").orderBy(F.desc("depth"))))
+    tiers = cut(tiers.select("id", F.col("anc_id").alias("package"), "tier"))
+    deepest = tiers.groupBy("id").agg(F.max("tier").alias("most"))
+    near = nearest(closure, visible)
+    modules = nearest(closure, nodes.filter("kind = 'module'").select("id")).withColumnRenamed("near", "module")
+    weight = F.coalesce("weight", F.lit(1)) if "weight" in edges.columns else F.lit(1)
+    rows = edges.select("kind", "source", "target", weight.alias("weight"))
+    of = lambda end: near.select(F.col("id").alias(end), F.col("near").alias(f"_{end}"))
+    met = rows.join(of("source"), "source", "left").join(of("target"), "target", "left").filter(F.col("_source").isNull() != F.col("_target").isNull())
+    out = F.col("_source").isNotNull()
+    far = met.select("kind", "weight", out.alias("out"), F.coalesce("_source", "_target").alias("anchor"), F.when(out, F.col("target")).otherwise(F.col("source")).alias("far"))
+    anchors = visible.join(packages, visible["id"] == packages["anc_id"], "left_semi").join(deepest, "id").select(F.col("id").alias("anchor"), F.col("most").alias("wanted"))
+    placed = far.join(anchors, "anchor").join(deepest.select(F.col("id").alias("far"), "most"), "far").withColumn("tier", F.least("wanted", "most"))
+    peers = placed.join(tiers.select(F.col("id").alias("far"), "tier", "package"), ["far", "tier"])
+    peers = peers.filter("package <> anchor").join(visible.select(F.col("id").alias("package")), "package", "left_anti").join(modules.select(F.col("id").alias("far"), "module"), "far", "left")
+    source, target = F.when(F.col("out"), F.col("anchor")).otherwise(F.col("package")), F.when(F.col("out"), F.col("package")).otherwise(F.col("anchor"))
+    return peers.groupBy(source.alias("source"), target.alias("target"), "kind").agg(F.sum("weight").alias("weight"), F.count_distinct("module").alias("members"))

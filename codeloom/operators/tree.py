@@ -37,6 +37,38 @@ def ancestors(nodes: DataFrame, max_depth: int = 10_000) -> DataFrame:
     raise Unsettled(f"chains of more than {max_depth} parents")
 
 
+#: The rank of kinds from the top; unknown kinds rank lowest.
+RANKS = {"package": 0, "module": 1, "namespace": 1, "class": 2, "object": 2, "interface": 2, "enum": 2, "typeAlias": 2}
+
+
+def within_rank(nodes: DataFrame, most: int) -> DataFrame:
+    """nodes of kinds that rank ``most`` or less."""
+    rank = F.lit(max(RANKS.values()) + 1)
+    for kind, r in RANKS.items():
+        rank = F.when(F.col("kind") == kind, r).otherwise(rank)
+    return nodes.filter(rank <= most)
+
+
+def package_scopes(nodes: DataFrame, root: str = "root") -> DataFrame:
+    """(id, scope): the nearest package of every node that has one."""
+    found = nearest(ancestors(nodes), nodes.filter("kind = 'package'").select("id"))
+    return found.select("id", F.coalesce("near", F.lit(root)).alias("scope"))
+
+
+def overview_roots(nodes: DataFrame, files: DataFrame, owning: DataFrame) -> DataFrame:
+    """(file, root) of files (id): the nearest package that owns its files (owning: id), else the topmost package above it that holds no such root, else the file."""
+    closure = cut(ancestors(nodes))
+    near = cut(nearest(closure, owning).join(files.select("id"), "id", "left_semi"))
+    packages = nodes.filter("kind = 'package'").select(F.col("id").alias("anc_id"))
+    roots = near.select(F.col("near").alias("id")).distinct()
+    blocked = closure.filter("depth > 0").join(roots, "id", "left_semi").select("anc_id").distinct()
+    free = files.select("id").join(near.select("id"), "id", "left_anti")
+    above = closure.filter("depth > 0").join(free, "id", "left_semi").join(packages, "anc_id", "left_semi").join(blocked, "anc_id", "left_anti")
+    top = above.groupBy("id").agg(F.max_by("anc_id", "depth").alias("top"))
+    met = files.select("id").join(near, "id", "left").join(top, "id", "left")
+    return met.select(F.col("id").alias("file"), F.coalesce("near", "top", "id").alias("root"))
+
+
 def nearest(closure: DataFrame, chosen: DataFrame) -> DataFrame:
     """(id, near): the nearest ancestor-or-self of each node that is in chosen (id)."""
     met = closure.join(chosen.select(F.col("id").alias("anc_id")).distinct(), "anc_id")

@@ -73,8 +73,7 @@ SELECT a.id, coalesce(min_by(a.anc_id, a.depth), 'root') AS scope FROM nodes n J
 WHERE p.kind = 'package' GROUP BY a.id""")
 def package_scope(nodes):
     """The nearest package of every node."""
-    found = tree.nearest(tree.ancestors(nodes), nodes.filter("kind = 'package'").select("id"))
-    return found.select("id", F.coalesce("near", F.lit("root")).alias("scope"))
+    return tree.package_scopes(nodes)
 
 
 CALLS = """calls AS (SELECT DISTINCT concat(CASE page_id % 3 WHEN 0 THEN 'GET ' WHEN 1 THEN '' ELSE 'POST ' END, path) AS channel FROM page_paths)"""
@@ -111,11 +110,7 @@ def route_match(pages):
 @query("nodes", """SELECT id, kind FROM nodes WHERE kind IN ('package', 'module', 'namespace', 'class', 'object', 'interface', 'enum', 'typeAlias')""")
 def depth_filter(nodes):
     """Nodes of rank 2 or less; unknown kinds rank lowest."""
-    ranks = {"package": 0, "module": 1, "namespace": 1, "class": 2, "object": 2, "interface": 2, "enum": 2, "typeAlias": 2}
-    rank = F.lit(3)
-    for kind, r in ranks.items():
-        rank = F.when(F.col("kind") == kind, r).otherwise(rank)
-    return nodes.filter(rank <= 2).select("id", "kind")
+    return tree.within_rank(nodes, 2).select("id", "kind")
 
 
 @query("part", """WITH codes AS (SELECT p_name AS name, list_transform(string_split(p_name, ''), lambda c: ascii(c)::BIGINT) AS c FROM part GROUP BY p_name)

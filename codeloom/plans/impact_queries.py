@@ -266,3 +266,17 @@ def run_compare(events):
 @query("events", """WITH s AS (SELECT user_id, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous, event_type FROM events) SELECT * FROM s WHERE previous <> event_type""")
 def watch_changes(events):
     return T.watched_changes(events, "user_id", ["ts", "event_id"], "event_type")
+
+
+@query("located nation supplier unit_edges", f"""WITH RECURSIVE {LOCATED}, m AS (SELECT l.id, l.file FROM located l JOIN files f USING (file) WHERE l.kind = 'module'),
+own AS (SELECT DISTINCT source, target FROM unit_edges WHERE kind IN ('calls', 'extends') AND source IN (SELECT id FROM m) AND target IN (SELECT id FROM m)), two AS (SELECT source, target FROM own UNION SELECT target, source FROM own),
+reach AS (SELECT id, id AS other FROM m UNION SELECT r.id, t.target FROM reach r JOIN two t ON t.source = r.other), g AS (SELECT id, min(other) AS grp FROM reach GROUP BY id),
+r AS (SELECT grp, file, split_part(file, '/', 1) AS dir, split_part(file, '/', 2) AS name FROM g JOIN m USING (id)), d AS (SELECT grp, dir, row_number() OVER (PARTITION BY grp ORDER BY dir) AS k FROM (SELECT DISTINCT grp, dir FROM r)),
+j AS (SELECT grp, string_agg(dir, '+' ORDER BY dir) FILTER (WHERE k <= 3) || CASE WHEN count(*) > 3 THEN '+…' ELSE '' END AS parts, count(*) AS dirs FROM d GROUP BY grp)
+SELECT grp AS "group", CASE WHEN count(*) = 1 THEN min(name) WHEN min(dirs) = 1 AND (SELECT count(DISTINCT dir) FROM r) > 1 THEN min(dir) ELSE min(parts) END AS label, count(*)::BIGINT AS n_files FROM r JOIN j USING (grp) GROUP BY grp""", needs="located nation_module unit_edges")
+def change_group_labels(located, nation, supplier, unit_edges):
+    """Groups of changed nations and what they are called."""
+    modules = located.filter("kind = 'module'").join(_change(nation, supplier)[0].select("file"), "file", "left_semi").select("id", "file")
+    near = modules.select("id", F.col("id").alias("near"))
+    groups = C.module_change_groups(modules, unit_edges.withColumn("resolution", F.lit(None).cast("string")), near)
+    return C.group_labels(groups).select("group", "label", "n_files")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeloom.operators import reach, tree
-from codeloom.operators.iterate import bfs
+from codeloom.operators import reach, slices, tree
+from codeloom.operators.iterate import bfs, connectors
 from codeloom.functions.materialize import cut
 
 from .registry import query
@@ -174,3 +174,46 @@ def rooted_view(nodes, edges):
     back = edges.join(inside, edges["target"] == inside["id"], "left_semi").select(F.col("source").alias("id"))
     seen = inside.unionByName(out).unionByName(back).distinct()
     return nodes.filter("kind IN ('function', 'method')").join(seen, "id", "left_semi").select("id", "kind")
+
+
+@query("nodes", f"""WITH RECURSIVE {ANC}, own AS (SELECT id FROM nodes WHERE kind = 'package' AND (id LIKE 'tp:Brand1%' OR id = 'tp:r2')), files AS (SELECT id FROM nodes WHERE kind = 'module'),
+near AS (SELECT id, min_by(anc_id, depth) AS near FROM anc WHERE anc_id IN (SELECT id FROM own) AND id IN (SELECT id FROM files) GROUP BY id),
+top AS (SELECT a.id, max_by(a.anc_id, a.depth) AS top FROM anc a JOIN nodes p ON p.id = a.anc_id AND p.kind = 'package' WHERE depth > 0 AND a.anc_id NOT IN (SELECT anc_id FROM anc WHERE depth > 0 AND id IN (SELECT near FROM near)) GROUP BY a.id)
+SELECT f.id AS file, coalesce(near, top, f.id) AS root FROM files f LEFT JOIN near USING (id) LEFT JOIN top USING (id)""")
+def overview_roots(nodes):
+    """Modules under the packages that own them, of which some brands and one region are such."""
+    return tree.overview_roots(nodes, nodes.filter("kind = 'module'").select("id"), nodes.filter("kind = 'package' AND (id LIKE 'tp:Brand1%' OR id = 'tp:r2')").select("id"))
+
+
+@query("edges", f"""WITH RECURSIVE {FILES.split("walk AS")[0].rstrip().rstrip(",")},
+seeds AS (SELECT unnest(['tp:Brand1/STANDARD', 'tp:r0/n0', 'tp:Brand3/PROMO', 'tp:r1/n1']) AS id), known AS (SELECT DISTINCT s.id FROM seeds s JOIN both_ways b ON b.source = s.id),
+walk AS (SELECT id AS seed, id, 0 AS d FROM known UNION SELECT w.seed, b.target, w.d + 1 FROM walk w JOIN both_ways b ON b.source = w.id WHERE w.d < 6),
+dist AS (SELECT seed, id, min(d) AS d FROM walk GROUP BY ALL), prev AS (SELECT x.seed, x.id, min(b.source) AS before FROM dist x JOIN both_ways b ON b.target = x.id JOIN dist y ON y.seed = x.seed AND y.id = b.source AND y.d = x.d - 1 GROUP BY ALL),
+back AS (SELECT p.seed, p.before AS id FROM prev p WHERE p.id IN (SELECT id FROM known) AND p.seed < p.id UNION SELECT b.seed, p.before FROM back b JOIN prev p ON p.seed = b.seed AND p.id = b.id WHERE b.id <> b.seed)
+SELECT DISTINCT id FROM back WHERE id NOT IN (SELECT id FROM known)""")
+def selection_connectors(edges):
+    """Files on the ways between four files."""
+    module = lambda c: F.regexp_replace(c, "#.*$", "")
+    files = cut(edges.select(module("source").alias("source"), module("target").alias("target")).filter("source <> target").distinct())
+    seeds = edges.sparkSession.createDataFrame([("tp:Brand1/STANDARD",), ("tp:r0/n0",), ("tp:Brand3/PROMO",), ("tp:r1/n1",)], "id string")
+    ends = files.select(F.col("source").alias("id")).unionByName(files.select(F.col("target").alias("id")))
+    return connectors(seeds.join(ends.distinct(), "id", "left_semi"), files, max_depth=6)
+
+
+@query("nodes edges", f"""WITH RECURSIVE {FILES}, {ANC}, own AS (SELECT id FROM nodes WHERE regexp_replace(id, '#.*$', '') IN (SELECT id FROM slice)),
+p AS (SELECT id, 'own' AS role FROM own UNION ALL SELECT DISTINCT anc_id, 'ancestor' FROM anc WHERE id IN (SELECT id FROM own) AND anc_id NOT IN (SELECT id FROM own))
+SELECT 'node' AS what, role AS kind, count(*)::BIGINT AS n FROM p GROUP BY role
+UNION ALL SELECT 'edge', CASE WHEN source IN (SELECT id FROM own) AND target IN (SELECT id FROM own) THEN 'inside' WHEN source IN (SELECT id FROM own) THEN 'out' ELSE 'in' END, count(*)
+FROM edges WHERE source IN (SELECT id FROM own) OR target IN (SELECT id FROM own) GROUP BY 2""")
+def slice_projection(nodes, edges):
+    """What the slice of slice_bfs holds, with ancestors and the edges in and at its rim."""
+    reached = _slice(edges)[0].select(F.col("id").alias("file"))
+    placed = cut(slices.projected_nodes(nodes.withColumn("file", F.regexp_replace("id", "#.*$", "")), reached))
+    by = lambda df, what, kind: df.groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "kind", "n")
+    return by(placed, "node", "role").unionByName(by(slices.projected_edges(edges, placed), "edge", "where"))
+
+
+@query("edges", f"""WITH RECURSIVE {FILES} SELECT count(*)::BIGINT AS files, max(distance) AS deepest, coalesce(min(distance) FILTER (WHERE id IN (SELECT source FROM both_ways WHERE target NOT IN (SELECT id FROM slice))), max(distance)) AS complete_through FROM slice""")
+def slice_completeness(edges):
+    reached, both = _slice(edges)
+    return slices.completeness(reached.select(F.col("id").alias("file"), "distance"), both)

@@ -400,3 +400,13 @@ def rolled_evidence(intervals, nodes):
     ids = rows.select(F.col("node").alias("id")).distinct()
     near = ids.filter("id % 3 = 0").select("id", F.concat(F.lit("brand"), (F.col("id") % 7).cast("string")).alias("near"))
     return telemetry.rolled_evidence(rows, near, ids.filter("id % 3 = 1").select("id", F.lit("rest").alias("frame")))
+
+
+@query("nodes edges", f"""WITH RECURSIVE {ANC}, pk AS (SELECT a.id, a.anc_id AS package FROM anc a JOIN nodes p ON p.id = a.anc_id AND p.kind = 'package'), md AS (SELECT a.id, a.anc_id AS module FROM anc a JOIN nodes p ON p.id = a.anc_id AND p.kind = 'module'),
+shown AS (SELECT id FROM nodes WHERE kind = 'package' AND (id LIKE 'tp:Brand1%' OR id = 'tp:r0')),
+x AS (SELECT e.kind, s.package AS source, t.package AS target, s.package IN (SELECT id FROM shown) AS out, t.package IN (SELECT id FROM shown) AS into_, e.source AS a, e.target AS b FROM edges e JOIN pk s ON s.id = e.source JOIN pk t ON t.id = e.target)
+SELECT source, target, kind, count(*)::BIGINT AS weight, count(DISTINCT m.module)::BIGINT AS members FROM x LEFT JOIN md m ON m.id = CASE WHEN out THEN b ELSE a END WHERE out <> into_ GROUP BY source, target, kind""")
+def folder_ghosts(nodes, edges):
+    """Wires from some brands and a region, which are drawn, to packages that aren't."""
+    shown = nodes.filter("kind = 'package' AND (id LIKE 'tp:Brand1%' OR id = 'tp:r0')").select("id")
+    return R.folder_ghosts(edges, nodes, cut(tree.ancestors(nodes)), shown)

@@ -74,19 +74,29 @@ def write_snapshot(nodes: DataFrame, edges: DataFrame, base: str, snapshot: str)
     for name, df in (("nodes", nodes), ("edges", edges)):
         path = f"{base}/{name}/snapshot={snapshot}"
         df.write.mode("overwrite").parquet(path)
-        written = spark.read.parquet(path)
-        digest = F.sum(F.xxhash64(F.to_json(F.struct(*written.columns))).cast("decimal(38,0)"))
-        one = written.agg(F.count("*").alias("rows"), F.coalesce(digest, F.lit(0)).cast("string").alias("digest")).first()
-        rows.append((snapshot, name, one["rows"], one["digest"]))
+        rows.append((snapshot, name, *_digest(spark.read.parquet(path))))
     manifest = spark.createDataFrame(rows, "snapshot string, table string, rows long, digest string")
     manifest.coalesce(1).write.mode("overwrite").parquet(f"{base}/manifest/snapshot={snapshot}")
     return manifest
 
 
 def read_snapshot(spark: SparkSession, base: str, snapshot: str) -> tuple[DataFrame, DataFrame]:
-    """The nodes and edges of a snapshot that has a manifest."""
-    spark.read.parquet(f"{base}/manifest/snapshot={snapshot}").schema  # fails where the snapshot isn't complete
-    return spark.read.parquet(f"{base}/nodes/snapshot={snapshot}"), spark.read.parquet(f"{base}/edges/snapshot={snapshot}")
+    """The nodes and edges of a snapshot; an error where it has no manifest or isn't what the manifest says."""
+    told = {r["table"]: (r["rows"], r["digest"]) for r in spark.read.parquet(f"{base}/manifest/snapshot={snapshot}").collect()}  # a row for each table
+    found = []
+    for name in ("nodes", "edges"):
+        df = spark.read.parquet(f"{base}/{name}/snapshot={snapshot}")
+        if _digest(df) != told.get(name):
+            raise ValueError(f"{name} of snapshot {snapshot} differ from its manifest")
+        found.append(df)
+    return found[0], found[1]
+
+
+def _digest(df: DataFrame) -> tuple[int, str]:
+    """How many rows a table has, and a digest of them in whatever order."""
+    digest = F.sum(F.xxhash64(F.to_json(F.struct(*df.columns))).cast("decimal(38,0)"))
+    one = df.agg(F.count("*").alias("rows"), F.coalesce(digest, F.lit(0)).cast("string").alias("digest")).first()
+    return one["rows"], one["digest"]
 
 
 def report(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
 """Streams of events: sessions, tumbling overlays, a progress reducer and field watchers.
 
 Every function takes a streaming DataFrame and returns one, so the caller picks source,
-sink and trigger. State is bounded by the watermark or by one small record per key.
+sink and trigger. In append mode the state of windows and sessions is bounded by the
+watermark; complete mode, which the registered session query takes to tell sessions that
+are still open, keeps all of them. The reducers keep one small record for each key, and
+hold a key's rows of one micro-batch at a time: ``files_per_trigger`` bounds these.
 """
 
 from __future__ import annotations

@@ -331,6 +331,11 @@ def test_artifact_round_trip(spark, tmp_path):
     manifest = artifacts.write_snapshot(n, e, f"{tmp_path}/store", "s1").collect()
     assert {(r["table"], r["rows"]) for r in manifest} == {("nodes", 2), ("edges", 1)}
     again = artifacts.read_snapshot(spark, f"{tmp_path}/store", "s1")
+    n.limit(1).write.mode("overwrite").parquet(f"{tmp_path}/store/nodes/snapshot=s2")
+    e.write.parquet(f"{tmp_path}/store/edges/snapshot=s2")
+    spark.read.parquet(f"{tmp_path}/store/manifest/snapshot=s1").write.parquet(f"{tmp_path}/store/manifest/snapshot=s2")
+    with pytest.raises(ValueError, match="differ from its manifest"):
+        artifacts.read_snapshot(spark, f"{tmp_path}/store", "s2")
     assert again[0].count() == 2 and ("summary", "present", 1) in {tuple(r) for r in artifacts.report(*again).collect()}
 
 
