@@ -13,12 +13,13 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local session may leave it unset and gets a temporary folder; on a cluster
     that is an error, as a folder of one machine is lost with it.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="codeloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        sc.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
