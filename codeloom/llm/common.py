@@ -6,11 +6,11 @@ every operator that counts or hashes words uses :func:`words`, so that counts ag
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.functions.materialize import cut, shared_folder  # noqa: F401  the pipeline's stages lie there too
+
 #: A run of the characters that separate words.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 #: The same characters one by one, for translate().
@@ -80,27 +80,9 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share.
-
-    Only a local session may leave it unset and gets a temporary folder; on a cluster that is an error,
-    as a folder of one machine is lost with it.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="codeloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df materialised in :func:`shared_folder` and read from there."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """df materialised in the folder of spark.checkpoint.dir, which all executors share, and read from there."""
+    return cut(df)
 
 
 def small(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
