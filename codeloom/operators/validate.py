@@ -76,7 +76,8 @@ def trace_issues(traces: DataFrame, spans: DataFrame, events: DataFrame) -> Data
     """(code, subject) of what is wrong in request traces; the subject names the trace, with the span or event behind it.
 
     traces: trace, start, end, root, complete, dropped; spans: trace, span, parent, start,
-    end; events: trace, span, event, at, iterations, emitted.
+    end; events: trace, span, event, at, iterations, emitted. Of spans with one id the
+    smallest parent counts when circles are looked for.
     """
     told = lambda df, code, *cs: df.select(F.lit(code).alias("code"), F.concat_ws("/", *[F.col(c).cast("string") for c in cs]).alias("subject"))
     again = lambda df, *keys: df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys, F.explode(F.sequence(F.lit(2), F.col("n"))))
@@ -86,7 +87,7 @@ def trace_issues(traces: DataFrame, spans: DataFrame, events: DataFrame) -> Data
     in_span = events.join(spans.groupBy("trace", "span").agg(F.min("start").alias("s0"), F.max("end").alias("s1")), ["trace", "span"])
     parted = spans.filter("parent IS NOT NULL").join(known.withColumnRenamed("span", "parent"), ["trace", "parent"], "left_anti")
     named = lambda c: F.concat_ws("/", F.col("trace").cast("string"), F.col(c).cast("string"))
-    tree = spans.select("trace", named("span").alias("id"), F.when(F.col("parent").isNotNull(), named("parent")).alias("parent_id")).dropDuplicates(["id"])
+    tree = spans.groupBy("trace", named("span").alias("id")).agg(F.min(F.when(F.col("parent").isNotNull(), named("parent"))).alias("parent_id"))
     most = tree.groupBy("trace").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1  # no chain is longer than its trace
     round_ = parents(tree.select("id", "parent_id"), max_doublings=most.bit_length() + 1).filter("code = 'PARENT_CYCLE'").select(F.col("subject").alias("id"))
     circles = tree.join(round_, "id", "left_semi").select("trace").distinct()

@@ -234,7 +234,7 @@ UNION ALL SELECT 'DUPLICATE_SPAN', concat(trace, '/', span) FROM one, range(1, n
 UNION ALL SELECT 'SPAN_TIME', concat(trace, '/', span) FROM sp WHERE s > e
 UNION ALL SELECT 'SPAN_OUTSIDE_TRACE', concat(sp.trace, '/', span) FROM sp JOIN tr USING (trace) WHERE sp.s < tr.s OR sp.e > tr.e
 UNION ALL SELECT 'PARENT_MISSING', concat(trace, '/', span) FROM sp WHERE parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM one o WHERE o.trace = sp.trace AND o.span = sp.parent)
-UNION ALL SELECT DISTINCT 'PARENT_CYCLE', trace::VARCHAR FROM sp WHERE parent = span
+UNION ALL SELECT DISTINCT 'PARENT_CYCLE', trace::VARCHAR FROM (SELECT trace, span, min(concat(trace, '/', parent)) FILTER (WHERE parent IS NOT NULL) AS up FROM sp GROUP BY ALL) x WHERE up = concat(trace, '/', span)
 UNION ALL SELECT 'DUPLICATE_EVENT', concat(trace, '/', event) FROM (SELECT trace, event, count(*) AS n FROM ev GROUP BY ALL) x, range(1, n) AS r(i)
 UNION ALL SELECT 'EVENT_OUTSIDE_SPAN', concat(ev.trace, '/', event) FROM ev JOIN one o USING (trace, span) WHERE moment < s0 OR moment > e1
 UNION ALL SELECT 'LOOP_COUNT', concat(trace, '/', event) FROM ev WHERE emitted > iterations
