@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, token_counts, topk_search, toxicity
+from . import byte_bpe, chat_format, fill_in_middle, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, token_counts, topk_search, toxicity, turn_repair
 from .common import table
 
 
@@ -54,12 +54,27 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.by_fold(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.restore(fill_in_middle.transform(table(spark, sf_dir, "documents")))
+    digest = lambda name: F.sha2(F.col(name).cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest("restored").alias("restored_sha256"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.report(turn_repair.edits(turn_repair.damaged(table(spark, sf_dir, "conversations"))))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), packed=True))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_token_counts, op4_toxicity, op5_chat_format, op6_packing, op7_simhash, op8_topk_search, op9_quality_rules, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_token_counts, op4_toxicity, op5_chat_format, op6_packing, op7_simhash, op8_topk_search, op9_quality_rules, op10_quality_classifier, op11_fill_in_middle, op12_turn_repair, op13_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op2_line_dedup": OP2_SQL, "op8_topk_search": OP8_SQL, "op9_quality_rules": OP9_SQL}
+    return {"op1_mixing": OP1_SQL, "op2_line_dedup": OP2_SQL, "op8_topk_search": OP8_SQL, "op9_quality_rules": OP9_SQL, "op11_fill_in_middle": OP11_SQL, "op12_turn_repair": OP12_SQL}
 
 
 OP1_SQL = rf"""
@@ -181,3 +196,79 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
                [f"{rule.metric} <= {rule.high}"] if rule.high is not None else []))} AS kept
 FROM r
 """
+
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+s AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens,
+         list_transform([1, 9, 17, 25], lambda k: ('0x' || substr(h, k, 8))::BIGINT) AS d
+  FROM t),
+c AS (
+  SELECT *, len(tokens) AS n, least(d[1] % (len(tokens) + 1), d[2] % (len(tokens) + 1)) AS low, greatest(d[1] % (len(tokens) + 1), d[2] % (len(tokens) + 1)) AS high,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR d[3] % 100 >= 50 THEN 'plain' WHEN d[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM s),
+p AS (
+  SELECT *, array_to_string(tokens[:low], '') AS prefix, array_to_string(tokens[low + 1:high], '') AS middle, array_to_string(tokens[high + 1:], '') AS suffix
+  FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(prefix || middle || suffix) AS restored_sha256
+FROM p
+"""
+
+OP12_SQL = r"""
+WITH RECURSIVE src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c,
+         list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS bytes
+  FROM conversations),
+drawn AS (
+  SELECT *, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda crc, b:
+              list_reduce(list_prepend(xor(crc, b), list_transform(range(8), lambda z: z::BIGINT)), lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END))) % 20 AS draw
+  FROM src),
+broken AS (
+  SELECT c, turn, CASE draw WHEN 4 THEN 'user' ELSE role END AS role, CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE draw WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM drawn WHERE draw <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i FROM broken),
+seen AS (SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS again, lag(role) OVER (PARTITION BY c ORDER BY i) AS prior FROM placed),
+r AS (
+  SELECT *, left(role, 1) AS ini,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' END AS fault
+  FROM seen),
+rows_of AS (SELECT *, coalesce(fault IN ('blank', 'duplicate'), false) AS gone, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END::BIGINT AS t FROM r),
+convs AS (SELECT c, any_value(conv_id) AS conv_id FROM src GROUP BY c),
+n_of AS (SELECT convs.c, conv_id, count(i)::BIGINT AS n FROM convs LEFT JOIN rows_of USING (c) GROUP BY convs.c, conv_id),
+-- costs to go by state: nothing yet, behind system, user, assistant
+go(c, i, f) AS (
+  SELECT c, n + 1, [0, 6, 3, 0]::BIGINT[] FROM n_of
+  UNION ALL
+  SELECT c, i, [least(g[1], 3 + least(g[3], 3 + g[4])), least(g[2], 3 + least(g[3], 3 + g[4])), least(g[3], 3 + g[4]), least(g[4], 3 + g[3])]
+  FROM (
+    SELECT go.c, q.i, [
+      least(f[1] + 4, CASE WHEN gone THEN 1000000000 WHEN ini = 's' THEN least(f[2], 3 + f[3]) + t WHEN ini = 'u' THEN f[3] + t ELSE 3 + f[3] + t END),
+      least(f[2] + 4, CASE WHEN gone THEN 1000000000 WHEN ini = 'u' THEN f[3] + t ELSE 3 + f[3] + t END),
+      least(f[3] + 4, CASE WHEN gone THEN 1000000000 WHEN ini = 'a' THEN f[4] + t ELSE 3 + f[4] + t END),
+      least(f[4] + 4, CASE WHEN gone THEN 1000000000 WHEN ini = 'u' THEN f[3] + t ELSE 3 + f[3] + t END)] AS g
+    FROM go JOIN rows_of q ON q.c = go.c AND q.i = go.i - 1) x),
+-- the walk; grown is the state behind an inserted turn
+walk(c, i, s, audit, told) AS (
+  SELECT c, 1::BIGINT, 1::BIGINT, '', []::VARCHAR[] FROM n_of
+  UNION ALL
+  SELECT c, CASE WHEN e = 'I' THEN i ELSE i + 1 END, CASE e WHEN 'D' THEN s WHEN 'K' THEN kept ELSE grown END, audit || e,
+         CASE e WHEN 'D' THEN told WHEN 'K' THEN list_append(told, role || ':' || text) WHEN 'R' THEN list_append(told, called || ':' || text) ELSE list_append(told, called || ':') END
+  FROM (
+    SELECT *, CASE WHEN role IS NOT NULL AND after[s] + 4 = now[s] THEN 'D' WHEN now[grown] + 3 = now[s] THEN 'I' WHEN after[kept] + t = now[s] THEN 'K' ELSE 'R' END AS e,
+           CASE grown WHEN 3 THEN 'user' ELSE 'assistant' END AS called
+    FROM (
+      SELECT w.*, h.f AS now, a.f AS after, q.role, q.text, q.t, CASE w.s WHEN 3 THEN 4 ELSE 3 END::BIGINT AS grown,
+             CASE WHEN gone THEN NULL WHEN w.s = 1 AND ini = 's' THEN 2 WHEN w.s <> 3 AND ini = 'u' THEN 3 WHEN w.s = 3 AND ini = 'a' THEN 4 END::BIGINT AS kept
+      FROM walk w JOIN go h ON h.c = w.c AND h.i = w.i LEFT JOIN go a ON a.c = w.c AND a.i = w.i + 1 LEFT JOIN rows_of q ON q.c = w.c AND q.i = w.i) y
+    WHERE role IS NOT NULL OR now[s] > 0) z),
+ended AS (SELECT w.c, audit, told FROM walk w JOIN n_of USING (c) WHERE i = n + 1 AND s IN (1, 4)),
+counts AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count_if(coalesce(fault = 'blank', false))::BIGINT AS blank, count_if(coalesce(fault = 'duplicate', false))::BIGINT AS duplicate,
+         count_if(coalesce(fault = 'truncated', false))::BIGINT AS truncated, count_if(coalesce(i > 1 AND left(prior, 1) || ini NOT IN ('su', 'ua', 'au'), false))::BIGINT AS illegal
+  FROM n_of LEFT JOIN rows_of USING (c) GROUP BY c)
+SELECT conv_id, gaps, blank, duplicate, truncated, illegal, f[1] AS cost, audit, sha256(array_to_string(told, chr(10))) AS repaired_sha256
+FROM n_of JOIN counts USING (c) JOIN go ON go.c = n_of.c AND go.i = 1 JOIN ended ON ended.c = n_of.c
+"""
