@@ -55,34 +55,42 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> Dat
     raise Unsettled(f"components have not settled within {max_rounds} rounds")
 
 
-def connectors(chosen: DataFrame, edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def connectors(chosen: DataFrame, edges: DataFrame, nodes: DataFrame | None = None, max_depth: int | None = None, max_rounds: int = 1_000) -> DataFrame:
     """(id): what lies between the members of a small selection (id) on one shortest way for each pair; edges are read both ways.
 
-    A search from every member goes on while it finds new nodes, max_depth steps at most.
-    Of ways of one length that with more kinds of edges wins, then the heavier one, then
-    the smaller id. edges: source, target and, where known, kind and weight.
+    Of ways of one length that with more edges wins, then the heavier one, then that whose
+    ids come first. edges: one row for each drawn relation: source, target and, where
+    known, weight. With nodes (id, abstraction) ways stay within the abstraction of the
+    selection; there are none if its members differ in it or one isn't a node. max_depth,
+    where given, is how far a search goes; else it goes on while it finds new nodes. A
+    row carries its way, which is as long as the distance.
     """
-    kind = F.col("kind") if "kind" in edges.columns else F.lit("")
-    weight = F.coalesce("weight", F.lit(1)).cast("double") if "weight" in edges.columns else F.lit(1.0)
-    rows = edges.filter("source <> target").select(F.least("source", "target").alias("id"), F.greatest("source", "target").alias("next"), kind.alias("kind"), weight.alias("w"))
-    pairs = rows.groupBy("id", "next").agg(F.count_distinct("kind").alias("k"), F.sum("w").alias("w"))
-    both = cut(pairs.unionByName(pairs.select(F.col("next").alias("id"), F.col("id").alias("next"), "k", "w")))
+    weight = F.when(F.col("weight") > 0, F.col("weight")).otherwise(1).cast("double") if "weight" in edges.columns else F.lit(1.0)
     seeds = chosen.select("id").distinct()
-    levels = [cut(seeds.select(F.col("id").alias("seed"), "id", F.col("id").alias("before"), F.lit(0).cast("long").alias("kinds"), F.lit(0.0).alias("load")))]
-    for _ in range(max_depth):
-        way = F.struct((-F.col("kinds") - F.col("k")).alias("k"), (-F.col("load") - F.col("w")).alias("w"), "id")
-        best = levels[-1].join(both, "id").groupBy("seed", F.col("next").alias("id")).agg(F.min(way).alias("way"))
-        found = best.select("seed", "id", F.col("way.id").alias("before"), (-F.col("way.k")).alias("kinds"), (-F.col("way.w")).alias("load"))
+    if nodes is not None:
+        own = cut(seeds.join(nodes.select("id", "abstraction"), "id", "left"))
+        same = own.agg(F.count_distinct("abstraction").alias("n"), F.count_if(F.col("abstraction").isNull()).alias("missing"), F.min("abstraction").alias("abstraction"))
+        level = same.filter("n = 1 AND missing = 0").select("abstraction")
+        seeds = own.join(F.broadcast(level), "abstraction", "left_semi").select("id")
+        inside = nodes.join(F.broadcast(level), "abstraction", "left_semi").select("id")
+        for end in ("source", "target"):
+            edges = edges.join(inside.select(F.col("id").alias(end)), end, "left_semi")
+    rows = edges.filter("source <> target").select(F.least("source", "target").alias("id"), F.greatest("source", "target").alias("next"), weight.alias("w"))
+    pairs = rows.groupBy("id", "next").agg(F.count("*").alias("k"), F.sum("w").alias("w"))
+    both = cut(pairs.unionByName(pairs.select(F.col("next").alias("id"), F.col("id").alias("next"), "k", "w")))
+    seeds = cut(seeds)
+    levels = [cut(seeds.select(F.col("id").alias("seed"), "id", F.array("id").alias("way"), F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("w")))]
+    for _ in range(max_rounds if max_depth is None else max_depth):
+        last = levels[-1].select("seed", "id", "way", F.col("k").alias("k0"), F.col("w").alias("w0"))
+        step = F.struct((-F.col("k0") - F.col("k")).alias("k"), (-F.col("w0") - F.col("w")).alias("w"), F.concat("way", F.array("next")).alias("way"))
+        best = last.join(both, "id").groupBy("seed", F.col("next").alias("id")).agg(F.min(step).alias("s"))
+        found = best.select("seed", "id", "s.way", (-F.col("s.k")).alias("k"), (-F.col("s.w")).alias("w"))
         level = cut(found.join(union(levels).select("seed", "id"), ["seed", "id"], "left_anti"))
         if level.isEmpty():
             break
         levels.append(level)
-    known = cut(union(levels))
-    at = known.join(seeds, "id", "left_semi").filter("seed < id").select("seed", F.col("before").alias("id")).filter("seed <> id").distinct()
-    met = [cut(at)]
-    for _ in range(len(levels)):
-        step = cut(met[-1].join(known, ["seed", "id"]).select("seed", F.col("before").alias("id")).filter("seed <> id").distinct())
-        if step.isEmpty():
-            break
-        met.append(step)
-    return union(met).select("id").distinct().join(seeds, "id", "left_anti")
+    else:
+        if max_depth is None:
+            raise Unsettled(f"the searches have not ended within {max_rounds} steps")
+    ends = union(levels).join(seeds, "id", "left_semi").filter("seed < id")
+    return ends.select(F.explode("way").alias("id")).distinct().join(seeds, "id", "left_anti")

@@ -186,18 +186,22 @@ def overview_roots(nodes):
 
 
 @query("edges", f"""WITH RECURSIVE {FILES.split("walk AS")[0].rstrip().rstrip(",")},
-seeds AS (SELECT unnest(['tp:Brand1/STANDARD', 'tp:r0/n0', 'tp:Brand3/PROMO', 'tp:r1/n1']) AS id), known AS (SELECT DISTINCT s.id FROM seeds s JOIN both_ways b ON b.source = s.id),
-walk AS (SELECT id AS seed, id, 0 AS d FROM known UNION SELECT w.seed, b.target, w.d + 1 FROM walk w JOIN both_ways b ON b.source = w.id WHERE w.d < 6),
-dist AS (SELECT seed, id, min(d) AS d FROM walk GROUP BY ALL), prev AS (SELECT x.seed, x.id, min(b.source) AS before FROM dist x JOIN both_ways b ON b.target = x.id JOIN dist y ON y.seed = x.seed AND y.id = b.source AND y.d = x.d - 1 GROUP BY ALL),
-back AS (SELECT p.seed, p.before AS id FROM prev p WHERE p.id IN (SELECT id FROM known) AND p.seed < p.id UNION SELECT b.seed, p.before FROM back b JOIN prev p ON p.seed = b.seed AND p.id = b.id WHERE b.id <> b.seed)
-SELECT DISTINCT id FROM back WHERE id NOT IN (SELECT id FROM known)""")
+pairs AS (SELECT source, target, count(*)::BIGINT AS k FROM (SELECT source, target FROM files WHERE source <> target UNION ALL SELECT target, source FROM files WHERE source <> target) x GROUP BY ALL),
+known AS (SELECT DISTINCT s.id FROM (SELECT unnest(['tp:Brand1/STANDARD', 'tp:r0/n0', 'tp:Brand3/PROMO', 'tp:r1/n1', 'tp:Brand2/SMALL']) AS id) s JOIN pairs b ON b.source = s.id),
+walk AS (SELECT id AS seed, id, 0 AS d FROM known UNION SELECT w.seed, b.target, w.d + 1 FROM walk w JOIN pairs b ON b.source = w.id WHERE w.d < 6),
+dist AS (SELECT seed, id, min(d) AS d FROM walk GROUP BY ALL),
+best AS (SELECT id AS seed, id, 0 AS d, 0::BIGINT AS k, [id] AS way FROM known
+  UNION ALL SELECT seed, id, d, k, way FROM (
+    SELECT b.seed, p.target AS id, x.d, b.k + p.k AS k, list_append(b.way, p.target) AS way, row_number() OVER (PARTITION BY b.seed, p.target ORDER BY b.k + p.k DESC, list_append(b.way, p.target)) AS rn
+    FROM best b JOIN pairs p ON p.source = b.id JOIN dist x ON x.seed = b.seed AND x.id = p.target AND x.d = b.d + 1) y WHERE rn = 1)
+SELECT DISTINCT id FROM (SELECT unnest(way) AS id FROM best WHERE id IN (SELECT id FROM known) AND seed < id) z WHERE id NOT IN (SELECT id FROM known)""")
 def selection_connectors(edges):
-    """Files on the ways between four files."""
+    """Files on the ways between five files."""
     module = lambda c: F.regexp_replace(c, "#.*$", "")
     files = cut(edges.select(module("source").alias("source"), module("target").alias("target")).filter("source <> target").distinct())
-    seeds = edges.sparkSession.createDataFrame([("tp:Brand1/STANDARD",), ("tp:r0/n0",), ("tp:Brand3/PROMO",), ("tp:r1/n1",)], "id string")
+    seeds = edges.sparkSession.createDataFrame([("tp:Brand1/STANDARD",), ("tp:r0/n0",), ("tp:Brand3/PROMO",), ("tp:r1/n1",), ("tp:Brand2/SMALL",)], "id string")
     ends = files.select(F.col("source").alias("id")).unionByName(files.select(F.col("target").alias("id")))
-    return connectors(seeds.join(ends.distinct(), "id", "left_semi"), files, max_depth=6)
+    return connectors(seeds.join(ends.distinct(), "id", "left_semi"), files)
 
 
 @query("nodes edges", f"""WITH RECURSIVE {FILES}, {ANC}, own AS (SELECT id FROM nodes WHERE regexp_replace(id, '#.*$', '') IN (SELECT id FROM slice)),
