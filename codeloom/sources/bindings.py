@@ -89,6 +89,19 @@ VIEWS = {
         SELECT DISTINCT l_orderkey AS flow, l_linestatus AS path, CAST(NULL AS STRING) AS parent, 0 AS depth, CASE l_linestatus WHEN 'F' THEN 1 ELSE 2 END AS ord, 'branch' AS kind, CAST(NULL AS STRING) AS target FROM {lineitem}
         UNION ALL SELECT l_orderkey, concat(l_linestatus, '.', lpad(CAST(k AS STRING), 4, '0')), l_linestatus, 1, k, CASE l_returnflag WHEN 'A' THEN 'call' WHEN 'R' THEN 'exit' ELSE 'await' END, CASE WHEN l_returnflag = 'A' THEN concat('P', l_partkey) END
           FROM (SELECT l_orderkey, l_linestatus, l_returnflag, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY l_linenumber, l_extendedprice, l_partkey, l_suppkey, l_quantity) AS INT) AS k FROM {lineitem}) x""",
+    # requests: an event runs the order of its number; its calls of returned items made spans, and it tells which ways it went
+    "request_steps": """
+        SELECT CAST(flow AS STRING) AS flow, path, parent, CASE WHEN parent IS NOT NULL THEN 0 END AS arm, depth, kind, target, CASE WHEN parent IS NULL THEN path END AS site, kind = 'exit' AS throws, false AS detached FROM {flow_steps}""",
+    "request_arms": """
+        SELECT flow, path, 0 AS arm, 'then' AS label, 'then' AS role, 'then' AS path_id FROM {request_steps} WHERE parent IS NULL
+        UNION ALL SELECT flow, path, 1, 'else', 'else', 'else' FROM {request_steps} WHERE parent IS NULL""",
+    "request_spans": """
+        SELECT CAST(event_id AS STRING) AS span, CAST(NULL AS STRING) AS parent, CAST(event_id AS STRING) AS node, CAST(0 AS BIGINT) AS start, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, event_id % 7 <> 0 AS complete FROM {events}
+        UNION ALL SELECT concat(l_orderkey, '.', l_linenumber, '.', l_partkey, '.', l_suppkey), CAST(l_orderkey AS STRING), concat('P', l_partkey), CAST(l_linenumber AS BIGINT), CASE WHEN l_suppkey % 17 = 0 THEN 'error' ELSE 'ok' END, true
+          FROM {lineitem} WHERE l_returnflag = 'A' AND l_partkey % 4 <> 0""",
+    "request_events": """
+        SELECT CAST(event_id AS STRING) AS span, concat(event_id, site) AS event, CAST(k AS BIGINT) AS at, 'branch' AS what, site, CASE WHEN (event_id + k) % 3 <> 0 THEN 'then' ELSE 'else' END AS path_id, CAST(NULL AS BIGINT) AS iterations, false AS handled
+        FROM {events} CROSS JOIN (SELECT 'F' AS site, 1 AS k UNION ALL SELECT 'O', 2) s WHERE (event_id + 2 * k) % 5 <> 0""",
     # what modules are called: the names and sizes of their parts
     "module_terms": """
         SELECT id, term, CAST(count(*) AS BIGINT) AS n FROM (
