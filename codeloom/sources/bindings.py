@@ -89,6 +89,14 @@ VIEWS = {
         SELECT DISTINCT l_orderkey AS flow, l_linestatus AS path, CAST(NULL AS STRING) AS parent, 0 AS depth, CASE l_linestatus WHEN 'F' THEN 1 ELSE 2 END AS ord, 'branch' AS kind, CAST(NULL AS STRING) AS target FROM {lineitem}
         UNION ALL SELECT l_orderkey, concat(l_linestatus, '.', lpad(CAST(k AS STRING), 4, '0')), l_linestatus, 1, k, CASE l_returnflag WHEN 'A' THEN 'call' WHEN 'R' THEN 'exit' ELSE 'await' END, CASE WHEN l_returnflag = 'A' THEN concat('P', l_partkey) END
           FROM (SELECT l_orderkey, l_linestatus, l_returnflag, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY l_linenumber, l_extendedprice, l_partkey, l_suppkey, l_quantity) AS INT) AS k FROM {lineitem}) x""",
+    # the containment tree below two packages that hold one package each
+    "deep_nodes": """
+        SELECT id, CASE WHEN parent_id IS NULL THEN CASE WHEN id LIKE 'tp:r%' THEN 'tp:world/ends' ELSE 'tp:world/parts' END ELSE parent_id END AS parent_id, kind, display_name AS name, kind = 'package' AND (id LIKE 'tp:Brand1%' OR id LIKE 'tp:r%') AS owns_files FROM {nodes}
+        UNION ALL SELECT 'tp:all', CAST(NULL AS STRING), 'package', 'all', true UNION ALL SELECT 'tp:world', 'tp:all', 'package', 'world', false
+        UNION ALL SELECT 'tp:world/ends', 'tp:world', 'package', 'ends', false UNION ALL SELECT 'tp:world/parts', 'tp:world', 'package', 'parts', false""",
+    "deep_edges": """
+        SELECT kind, source, target, CAST(count(*) AS BIGINT) AS weight FROM {edges} GROUP BY kind, source, target
+        UNION ALL SELECT 'imports', supplier_module, part_module, CAST(count(*) AS BIGINT) FROM {line_ends} WHERE l_linenumber = 4 AND l_quantity <= 2 GROUP BY supplier_module, part_module""",
     # requests: an event runs the order of its number; its calls of returned items made spans, and it tells which ways it went
     "request_steps": """
         SELECT CAST(flow AS STRING) AS flow, path, parent, CASE WHEN parent IS NOT NULL THEN 0 END AS arm, depth, kind, target, CASE WHEN parent IS NULL THEN path END AS site, kind = 'exit' AS throws, false AS detached FROM {flow_steps}""",
