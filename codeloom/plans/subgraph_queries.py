@@ -1,11 +1,11 @@
-"""Subgraphs around a selection."""
+"""Subgraphs around a selection, and what a slice of files needs beside it."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from codeloom.functions.materialize import cut
-from codeloom.operators import subgraph, tree
+from codeloom.operators import identity, subgraph, tree
 
 from .registry import query
 
@@ -50,3 +50,27 @@ def minimal_cards(nodes, edges):
     """Cards, frames and ghosts of the same subgraph; chains of packages are one frame."""
     nodes = cut(nodes)
     return subgraph.minimal_subgraph(nodes, cut(edges), _chosen(nodes), cut(tree.ancestors(nodes)))[0]
+
+
+_CLOSED = """
+f AS (SELECT *, regexp_matches(path, '(^|/)__init__[.]py$') AS init FROM python_files),
+pre AS (SELECT path, module, array_to_string(list_slice(string_split(module, '.'), 1, k), '.') AS prefix FROM f, range(1, 9) r(k) WHERE k < len(string_split(module, '.'))),
+needs AS (SELECT DISTINCT module, prefix AS needs FROM pre WHERE prefix IN (SELECT module FROM f WHERE init)
+  UNION SELECT f.module, w.witness FROM f JOIN (SELECT prefix, min_by(module, path) AS witness FROM pre GROUP BY prefix) w ON w.prefix = f.module WHERE NOT init AND f.module NOT IN (SELECT module FROM f WHERE init)),
+asked AS (SELECT DISTINCT slice, path FROM python_slices), py AS (SELECT a.*, module, init FROM asked a LEFT JOIN f USING (path) WHERE a.path LIKE '%.py'),
+flat AS (SELECT slice FROM py GROUP BY slice HAVING NOT bool_or(coalesce(init OR contains(module, '.'), false))),
+hold AS (SELECT slice, module FROM py WHERE module IS NOT NULL UNION SELECT slice, (SELECT min_by(module, path) FROM f WHERE init OR contains(module, '.')) FROM flat UNION SELECT h.slice, n.needs FROM hold h JOIN needs n ON n.module = h.module),
+files AS (SELECT slice, path FROM hold JOIN f USING (module) UNION SELECT slice, path FROM asked WHERE path NOT LIKE '%.py'),
+refused AS (SELECT DISTINCT slice, 'unknown' AS reason FROM py WHERE module IS NULL UNION ALL SELECT slice, 'large' FROM files WHERE slice NOT IN (SELECT slice FROM py WHERE module IS NULL) GROUP BY slice HAVING count(*) > 30)"""
+
+
+@query("python_files python_slices", f"WITH RECURSIVE {_CLOSED} SELECT * FROM files WHERE slice NOT IN (SELECT slice FROM refused)")
+def identity_slices(files, slices):
+    """Slices of files, with all that their module ids depend on."""
+    return identity.closed_slices(files, slices, 30)[0]
+
+
+@query("python_files python_slices", f"WITH RECURSIVE {_CLOSED} SELECT * FROM refused")
+def identity_refused(files, slices):
+    """Slices that hold more than 30 files when closed, or name unknown ones."""
+    return identity.closed_slices(files, slices, 30)[1]

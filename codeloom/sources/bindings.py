@@ -89,6 +89,16 @@ VIEWS = {
         SELECT DISTINCT l_orderkey AS flow, l_linestatus AS path, CAST(NULL AS STRING) AS parent, 0 AS depth, CASE l_linestatus WHEN 'F' THEN 1 ELSE 2 END AS ord, 'branch' AS kind, CAST(NULL AS STRING) AS target FROM {lineitem}
         UNION ALL SELECT l_orderkey, concat(l_linestatus, '.', lpad(CAST(k AS STRING), 4, '0')), l_linestatus, 1, k, CASE l_returnflag WHEN 'A' THEN 'call' WHEN 'R' THEN 'exit' ELSE 'await' END, CASE WHEN l_returnflag = 'A' THEN concat('P', l_partkey) END
           FROM (SELECT l_orderkey, l_linestatus, l_returnflag, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY l_linenumber, l_extendedprice, l_partkey, l_suppkey, l_quantity) AS INT) AS k FROM {lineitem}) x""",
+    # parts as Python files: a folder for each brand and type, some with initialisers, and modules beside folders of their name
+    "python_files": """
+        SELECT concat(b, '/', p_type, '/s', p_size, '.py') AS path, concat(b, '.', p_type, '.s', p_size) AS module FROM (SELECT replace(p_brand, '#', '') AS b, p_type, p_size FROM {part}) x WHERE p_size % 10 <> 0
+        UNION SELECT concat(b, '/', p_type, '/__init__.py'), concat(b, '.', p_type) FROM (SELECT replace(p_brand, '#', '') AS b, p_type, p_size FROM {part}) x WHERE p_size % 10 = 0 AND p_size > 10
+        UNION SELECT concat(b, '/', p_type, '.py'), concat(b, '.', p_type) FROM (SELECT replace(p_brand, '#', '') AS b, p_type, p_size FROM {part}) x WHERE p_size = 7
+        UNION SELECT concat(b, '/__init__.py'), b FROM (SELECT replace(p_brand, '#', '') AS b, p_type, p_size FROM {part}) x WHERE p_size = 3 AND b LIKE '%1'
+        UNION SELECT concat('main', p_size, '.py'), concat('main', p_size) FROM {part} WHERE p_size < 4""",
+    "python_slices": """
+        SELECT p_partkey % 97 AS slice, CASE WHEN p_partkey % 11 = 0 THEN concat('main', p_size % 3 + 1, '.py') WHEN p_partkey % 13 = 0 THEN concat('web/p', p_partkey, '.ts') ELSE concat(replace(p_brand, '#', ''), '/', p_type, CASE WHEN p_size = 7 THEN '.py' ELSE concat('/s', p_size, '.py') END) END AS path
+        FROM {part} WHERE (p_partkey % 97 >= 90 OR p_partkey % 7 = 0) AND (p_size % 10 <> 0 OR p_partkey % 97 < 2 OR p_partkey % 11 = 0) AND (p_partkey % 97 <> 5 OR p_partkey % 11 = 0)""",
     # the containment tree below two packages that hold one package each
     "deep_nodes": """
         SELECT id, CASE WHEN parent_id IS NULL THEN CASE WHEN id LIKE 'tp:r%' THEN 'tp:world/ends' ELSE 'tp:world/parts' END ELSE parent_id END AS parent_id, kind, display_name AS name, kind = 'package' AND (id LIKE 'tp:Brand1%' OR id LIKE 'tp:r%') AS owns_files FROM {nodes}
