@@ -2,12 +2,14 @@
 
 Vectors are dealt to shards by median splits learnt from a bounded sample, so a shard
 covers a part of the space; a part that holds more rows than a shard should, such as a
-vector that is often repeated, is spread over several shards by row. A first round
-searches each query in its own shard; its k-th score there is a floor for all others.
-Each shard's bounding box is a row of a small table, against which queries are held
-before anything is shuffled: a query goes only to shards whose box promises its floor
-or more, and a shard's rows only to the groups of queries that are left for it. Neither
-vectors nor queries are ever broadcast.
+vector that is often repeated, is spread over several shards by row. Of each shard the
+bounding box, the mean and the radius around it are a row of a small table, which says
+what a query can find there at most. A first round sends each query to the few shards
+whose means promise most; the k-th score found is its floor. A second round sends it to
+the shards that may still reach that floor, and to no other. In a round a shard's rows
+are shuffled once, to a task that builds the tree and lets the queries stream through
+it; only where very many queries come to one shard do several tasks hold its rows.
+Neither vectors nor queries are ever broadcast.
 
 The sample (about ``SAMPLE`` rows, by a hash) and the number of shards (``MAX_SHARDS`` at
 most, larger beyond) move cost only: every row is in one shard, whatever was sampled.
@@ -36,6 +38,8 @@ from .common import checkpointed
 
 LEAF = 64
 SHARD_ROWS, MAX_SHARDS, SAMPLE = 4096, 4096, 8192
+#: Shards that a query asks in the first round, and queries of one shard that one task takes.
+FIRST_SHARDS, TASK_QUERIES = 3, 262_144
 #: Stands for no floor; also the edge of the range of scores.
 LIMIT = 2**63 - 1
 
@@ -150,22 +154,48 @@ def _reach(rows: np.ndarray, queries: np.ndarray) -> float:
 _HITS = "query_id long, q long, vec_id long, score long"
 
 
-def _search(own: pa.Table, k: int, width: int) -> pa.Table:
-    """Rows of one shard (role 0) and queries that come to it (role 1)."""
-    role = own.column("role").to_numpy()
-    pool, asked = own.filter(pa.array(role == 0)), own.filter(pa.array(role == 1))
-    found: list = []
-    if pool.num_rows and asked.num_rows:
-        rows, queries = _matrix(pool.column("v"), width), _matrix(asked.column("v"), width)
-        kind = np.float64 if _reach(rows, queries) < 2**52 else object  # floats are exact up to there
-        rows, queries = rows.astype(kind), queries.astype(kind)
-        tree = KdTree(pool.column("vec_id").to_numpy(), rows)
+class _Shard:
+    """The rows of one shard, and the tree over them once the first query comes."""
+
+    def __init__(self, width: int):
+        self.width, self.parts, self.rows, self.trees = width, [], None, {}
+
+    def hits(self, asked: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        if self.rows is None:
+            pool = pa.Table.from_batches(self.parts)
+            self.rows, self.ids, self.parts = _matrix(pool.column("v"), self.width), pool.column("vec_id").to_numpy(), []
+        queries, found = _matrix(asked.column("v"), self.width), []
+        kind = np.float64 if _reach(self.rows, queries) < 2**52 else object  # floats are exact up to there
+        if kind not in self.trees:
+            self.trees[kind] = KdTree(self.ids, self.rows.astype(kind))
+        tree, queries = self.trees[kind], queries.astype(kind)
         bounds = tree.bounds(queries)
         for i, (query_id, q, floor) in enumerate(zip(*(asked.column(c).to_pylist() for c in ("vec_id", "q", "floor")), strict=True)):
             floor = -np.inf if floor <= -LIMIT else floor
             found += [(query_id, q, v, max(-LIMIT, min(LIMIT, s))) for s, v in tree.search(query_id, queries[i], bounds[i], k, floor)]
-    columns = list(zip(*found, strict=True)) or [()] * 4
-    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "q", "vec_id", "score"), columns, strict=True)})
+        columns = list(zip(*found, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "q", "vec_id", "score"])
+
+
+def _searched(both: DataFrame, k: int, width: int) -> DataFrame:
+    """Hits of both: rows of shards (role 0) and the queries that come to them (role 1), met by shard and salt."""
+
+    def run(batches):
+        key, own = None, None
+        for batch in batches:
+            at = np.stack([batch.column(c).to_numpy() for c in ("shard", "salt", "role")], axis=1)
+            starts = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]).any(axis=1)])) if len(at) else []
+            for a, b in zip(starts, [*starts[1:], len(at)], strict=True):
+                if tuple(at[a, :2]) != key:
+                    key, own = tuple(at[a, :2]), _Shard(width)
+                part = batch.slice(a, b - a)
+                if at[a, 2] == 0:
+                    own.parts.append(part)
+                elif own.parts or own.rows is not None:
+                    for k0 in range(0, part.num_rows, 2048):
+                        yield own.hits(part.slice(k0, 2048), k)
+
+    return both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "role").mapInArrow(run, _HITS)
 
 
 def quantised(embeddings: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 256) -> DataFrame:
@@ -194,69 +224,113 @@ def _shards(rows: DataFrame, n: int, width: int, shard_rows: int) -> DataFrame:
     return placed.join(F.broadcast(sizes), "part").select("rid", "vec_id", "v", "asked", (F.col("part") * 2**32 + piece).alias("shard"))
 
 
-def _boxes(placed: DataFrame, width: int) -> DataFrame:
-    """shard, low and high: the bounding box of each shard's rows, from the boxes of its rows in each batch."""
+class _Table:
+    """What is known of every shard: box, mean and radius; some numbers for each of 2 * MAX_SHARDS shards at most."""
+
+    def __init__(self, placed: DataFrame, width: int):
+        told = self._boxes(placed, width).toArrow()
+        self.shards, sizes = told.column("shard").to_numpy(), told.column("n").to_numpy()
+        self.low, self.high = (_matrix(told.column(c), width).astype(float) for c in ("low", "high"))
+        self.mean = _floats(told.column("total"), width) / np.maximum(sizes, 1)[:, None]
+        shards, mean = self.shards, self.mean
+
+        def far(batches):
+            for batch in batches:
+                own = np.searchsorted(shards, batch.column("shard").to_numpy())
+                away = np.sqrt(((_matrix(batch.column("v"), width) - mean[own]) ** 2).sum(axis=1)) if width else np.zeros(len(own))
+                most = np.zeros(len(shards))
+                np.maximum.at(most, own, away)
+                met = np.unique(own)
+                yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array(most[met])], names=["at", "far"])
+
+        radii = placed.select("shard", "v").mapInArrow(far, "at long, far double").groupBy("at").agg(F.max("far").alias("far")).orderBy("at").toArrow()
+        self.radius = radii.column("far").to_numpy()
+
+    @staticmethod
+    def _boxes(placed: DataFrame, width: int) -> DataFrame:
+        def of_batch(batches):
+            for batch in batches:
+                rows, shard = _matrix(batch.column("v"), width), batch.column("shard").to_numpy()
+                order = np.argsort(shard, kind="stable")
+                at = np.flatnonzero(np.diff(shard[order], prepend=shard[order[0]] - 1)) if len(order) else np.array([], dtype=np.int64)
+                low, high, total = (f.reduceat(rows[order].astype(kind), at, axis=0).tolist() if len(at) else [] for f, kind in ((np.minimum, np.int64), (np.maximum, np.int64), (np.add, np.float64)))
+                n = np.diff(np.append(at, len(order))) if len(at) else []
+                kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64())]
+                columns = (shard[order][at] if len(at) else [], n, low, high, total)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["shard", "n", "low", "high", "total"])
+
+        parts = placed.select("shard", "v").mapInArrow(of_batch, "shard long, n long, low array<long>, high array<long>, total array<double>")
+        sides = parts.select("shard", "n", F.posexplode_outer(F.arrays_zip("low", "high", "total")).alias("axis", "x"))
+        boxes = sides.groupBy("shard", "axis").agg(F.sum("n").alias("n"), F.min("x.low").alias("low"), F.max("x.high").alias("high"), F.sum("x.total").alias("total"))
+        in_order = boxes.groupBy("shard").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("axis", "low", "high", "total"))).alias("s"))
+        return in_order.select("shard", "n", *[F.filter(F.col(f"s.{c}"), lambda x: x.isNotNull()).alias(c) for c in ("low", "high", "total")]).orderBy("shard")
 
-    def of_batch(batches):
-        for batch in batches:
-            rows, shard = _matrix(batch.column("v"), width), batch.column("shard").to_numpy()
-            order = np.argsort(shard, kind="stable")
-            at = np.flatnonzero(np.diff(shard[order], prepend=shard[order[0]] - 1)) if len(order) else []
-            low, high = (f.reduceat(rows[order], at, axis=0).tolist() if len(at) else [] for f in (np.minimum, np.maximum))
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((shard[order][at] if len(at) else [], low, high), kinds, strict=True)], names=["shard", "low", "high"])
-
-    parts = placed.select("shard", "v").mapInArrow(of_batch, "shard long, low array<long>, high array<long>")
-    sides = parts.select("shard", F.posexplode(F.arrays_zip("low", "high")).alias("axis", "x"))
-    boxes = sides.groupBy("shard", "axis").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"))
-    in_order = boxes.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("axis", "low", "high"))).alias("s"))
-    return in_order.select("shard", F.col("s.low").alias("low"), F.col("s.high").alias("high"))
-
-
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score over quantised vectors; ``is_query`` marks the rows to ask for."""
-    rows = checkpointed(vectors.select(F.monotonically_increasing_id().alias("rid"), "vec_id", "v", F.coalesce(is_query, F.lit(False)).alias("asked")))
-    told = rows.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("width")).first()
-    width = told["width"]
-    placed = checkpointed(_shards(rows, told["n"], width, shard_rows))
-    asked = checkpointed(placed.filter("asked").groupBy("vec_id", "v").agg(F.min("rid").alias("q"), F.min("shard").alias("home")))
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """For each query and shard, a score that no row of the shard exceeds: that of the box or of the ball, whichever is lower."""
+        box = np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+        ball = queries @ self.mean.T + np.sqrt((queries**2).sum(axis=1))[:, None] * self.radius
+        slack = 1e-9 * max(_reach(self.low, queries), _reach(self.high, queries))  # bounds of large numbers are rounded
+        return np.minimum(box, ball) + slack
 
-    def search(pool: DataFrame, queries: DataFrame) -> DataFrame:
-        """pool (shard, block, vec_id, v) and queries (and q, floor), met by shard and block."""
-        none = F.lit(0).cast("long")
-        both = pool.select("shard", "block", F.lit(0).alias("role"), "vec_id", "v", none.alias("q"), none.alias("floor"))
-        both = both.unionByName(queries.select("shard", "block", F.lit(1).alias("role"), "vec_id", "v", "q", "floor"))
-        return both.groupBy("shard", "block").applyInArrow(lambda own: _search(own, k, width), _HITS)
-
-    homes = asked.select(F.col("home").alias("shard")).distinct()
-    least = F.lit(-LIMIT)
-    home = checkpointed(
-        search(
-            placed.join(homes, "shard", "left_semi").withColumn("block", F.col("shard")),
-            asked.select(F.col("home").alias("shard"), F.col("home").alias("block"), "vec_id", "v", "q", least.alias("floor")),
-        )
-    )
-    reached = home.groupBy("q").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-    floored = asked.join(reached, "q", "left").select("q", "vec_id", "v", "home", F.coalesce("floor", least).alias("floor"))
 
-    boxes = _boxes(placed, width).orderBy("shard").toArrow()  # a box a shard: pieces of full parts add twice MAX_SHARDS at most
-    shards, low, high = boxes.column("shard").to_numpy(), _matrix(boxes.column("low"), width), _matrix(boxes.column("high"), width)
+def _floats(vectors, width: int) -> np.ndarray:
+    return np.array([x + [0.0] * (width - len(x)) for x in vectors.to_pylist()], dtype=float).reshape(len(vectors), width)
 
-    def pruned(batches):
-        for batch in batches:
-            queries, floor, at_home = _matrix(batch.column("v"), width), batch.column("floor").to_numpy(), batch.column("home").to_numpy()
-            slack = 1e-9 * max(_reach(low, queries), _reach(high, queries))  # bounds of large numbers are rounded
-            for at in range(0, batch.num_rows, 256):
-                part = queries[at : at + 256].astype(float)
-                bound = np.maximum(part, 0) @ high.T.astype(float) + np.minimum(part, 0) @ low.T.astype(float)
-                goes = (bound + slack >= floor[at : at + 256, None]) & (shards != at_home[at : at + 256, None])
-                q, s = np.nonzero(goes)
-                some = batch.take(pa.array(at + q))
-                yield pa.RecordBatch.from_arrays([pa.array(shards[s], pa.int64()), *some.columns], names=["shard", *some.schema.names])
-
-    schema = "shard long, q long, vec_id long, v array<long>, home long, floor long"
-    left = checkpointed(floored.mapInArrow(pruned, schema).withColumnRenamed("home", "block"))
-    away = search(placed.join(left.select("shard", "block").distinct(), "shard"), left)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = home.unionByName(away).withColumn("rank", F.row_number().over(order))
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard_rows: int = SHARD_ROWS, told: dict | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score over quantised vectors; ``is_query`` marks the rows to ask for.
+
+    Into told, where given, go the numbers of shards, of queries, and of (query, shard) pairs asked in each round.
+    """
+    rows = checkpointed(vectors.select(F.monotonically_increasing_id().alias("rid"), "vec_id", "v", F.coalesce(is_query, F.lit(False)).alias("asked")))
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("width")).first()
+    width = size["width"]
+    placed = checkpointed(_shards(rows, size["n"], width, shard_rows))
+    asked = checkpointed(placed.filter("asked").groupBy("vec_id", "v").agg(F.min("rid").alias("q")).withColumn("floor", F.lit(-LIMIT).cast("long")))
+    table = _Table(placed, width)
+    n_first = min(FIRST_SHARDS, len(table.shards))
+
+    def promising(queries: np.ndarray) -> np.ndarray:
+        """Which shards a query asks first: those whose means score highest."""
+        score, out = queries @ table.mean.T, np.zeros((len(queries), len(table.shards)), dtype=bool)
+        if n_first:
+            np.put_along_axis(out, np.argpartition(-score, n_first - 1, axis=1)[:, :n_first], True, axis=1)
+        return out
+
+    def sent(later: bool):
+        """Queries, once for each shard that they go to in a round."""
+
+        def run(batches):
+            for batch in batches:
+                queries, floor = _matrix(batch.column("v"), width).astype(float), batch.column("floor").to_numpy()
+                for at in range(0, batch.num_rows, 256):
+                    part = queries[at : at + 256]
+                    goes = promising(part)
+                    if later:
+                        goes = ~goes & (table.bounds(part) >= floor[at : at + 256, None])
+                    q, s = np.nonzero(goes)
+                    yield pa.RecordBatch.from_arrays([pa.array(table.shards[s], pa.int64()), *batch.take(pa.array(at + q)).columns], names=["shard", *batch.schema.names])
+
+        return run
+
+    def search(queries: DataFrame, later: bool) -> DataFrame:
+        pairs = checkpointed(queries.select("q", "vec_id", "v", "floor").mapInArrow(sent(later), "shard long, q long, vec_id long, v array<long>, floor long"))
+        salts = checkpointed(pairs.groupBy("shard").agg(F.count("*").alias("n"), F.ceil(F.count("*") / F.lit(TASK_QUERIES)).alias("salts")))  # a row a shard
+        if told is not None:
+            told["later" if later else "first"] = salts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        none = F.lit(0).cast("long")
+        pool = placed.join(F.broadcast(salts), "shard").withColumn("salt", F.explode(F.sequence(none, F.col("salts") - 1)))
+        pool = pool.select("shard", "salt", F.lit(0).alias("role"), "vec_id", "v", none.alias("q"), none.alias("floor"))
+        come = pairs.join(F.broadcast(salts), "shard").withColumn("salt", F.pmod(F.xxhash64("q"), F.col("salts")))
+        return _searched(pool.unionByName(come.select("shard", "salt", F.lit(1).alias("role"), "vec_id", "v", "q", "floor")), k, width)
+
+    if told is not None:
+        told |= {"shards": len(table.shards), "queries": asked.count(), "rows": size["n"]}
+    order = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    first = checkpointed(search(asked, False))
+    best = first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    reached = best.groupBy("q").agg(F.when(F.count("*") >= k, F.min("score")).alias("reached"))
+    floored = asked.join(reached, "q", "left").select("q", "vec_id", "v", F.coalesce("reached", "floor").alias("floor"))
+    every = first.unionByName(search(floored, True)) if n_first < len(table.shards) else first
+    ranked = every.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -253,6 +253,26 @@ def test_top_k_over_many_shards(spark):
         assert sorted((r["rank"], -r["score"], r["vec_id"]) for r in got if r["query_id"] == i) == [(k + 1, *b) for k, b in enumerate(best)]
 
 
+def test_top_k_asks_few_shards_of_clusters(spark, monkeypatch):
+    """Where vectors lie in clusters, nearly all pairs of query and shard are left out, and the answers are those of brute force; so they are where a shard's rows are in several tasks."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 32)) * 6
+    v = np.concatenate([c + rng.normal(size=(60, 32)) * 0.3 for c in centres])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    q = np.floor(v * 256).astype(np.int64)
+    for task_queries in (topk_search.TASK_QUERIES, 7):
+        monkeypatch.setattr(topk_search, "TASK_QUERIES", task_queries)
+        told = {}
+        got = topk_search.top_k(topk_search.quantised(df), F.col("vec_id") % 20 == 0, k=4, shard_rows=60, told=told).collect()
+        for i in range(0, len(v), 20):
+            best = sorted((-int(q[i] @ q[j]), j) for j in range(len(v)) if j != i)[:4]
+            assert sorted((r["rank"], -r["score"], r["vec_id"]) for r in got if r["query_id"] == i) == [(n + 1, *b) for n, b in enumerate(best)]
+        assert told["shards"] >= 30 and told["queries"] == 120 and told["first"] == 120 * topk_search.FIRST_SHARDS
+        assert told["later"] < 0.05 * told["queries"] * told["shards"], told
+
+
 def test_top_k_with_repeated_queries_and_a_hot_vector(spark):
     """A query row that is repeated asks once; a vector that a third of the rows share is spread over shards; shards far away are left out."""
     import numpy as np
