@@ -10,7 +10,9 @@ trie begins at its pairs (front, front).
 A pair of trie nodes is a unit of work. Where a front holds more fingerprints than a task
 should take, its pairs of nodes are split before anything is shuffled: by four bits at a
 time, with the counts of the nodes only, dropping pairs of nodes whose paths differ in
-more bits than the budget has. Fingerprints go to the pairs that are left. In a task all
+more bits than the budget has. Where a split would not lower the number of fingerprints to
+shuffle, as in a crowd around one fingerprint, the nodes are cut into pieces instead, and
+pairs of pieces are units of work. Fingerprints go to the pairs that are left. In a task all
 pairs are traversed together, one bit after the other, again adding up differing bits and
 dropping pairs beyond the budget, until a handful of fingerprints is left on each side.
 Links leave a task as stars around one member of every local set, never as all pairs, and
@@ -34,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions.materialize import union
+
 from . import shingle_sets
 from .common import checkpointed, fresh, let, small, text_of, words
 
@@ -176,12 +180,12 @@ def _stars(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
     """Links of one task's pairs of nodes: every member of a local set to one of it."""
     bits = pdf["bits"].to_numpy().view(np.uint64)
     side = pdf["side"].to_numpy()
-    keys = pdf[["trie", "depth", "u", "v"]].to_numpy()
+    keys = pdf[["trie", "depth", "u", "v", "pu", "pv"]].to_numpy()
     order = np.lexsort((bits, side, *keys.T))
     pdf, bits, side, keys = pdf.iloc[order], bits[order], side[order], keys[order]
     start = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
     end = np.append(start[1:], len(keys))
-    same = keys[start, 2] == keys[start, 3]
+    same = (keys[start, 2] == keys[start, 3]) & (keys[start, 4] == keys[start, 5])
     ones = np.concatenate([[0], np.cumsum(side)])
     middle = np.where(same, start, end - (ones[end] - ones[start]))
     i, j, _ = close_pairs(bits, np.stack([start, np.where(same, end, middle), middle, end], axis=1), same, budget)
@@ -191,56 +195,80 @@ def _stars(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
     return pd.DataFrame({f"{end}_{c}": part[c].to_numpy() for end, part in (("a", own), ("b", other)) for c in _NODE})
 
 
-def node_pairs(placed: DataFrame, nodes: DataFrame, budget: int, node_rows: int = NODE_ROWS) -> DataFrame:
-    """Rows of placed for each pair of trie nodes they are needed in: trie, depth, u, v, side and the row.
+def node_pairs(placed: DataFrame, nodes: DataFrame, budget: int, node_rows: int = NODE_ROWS) -> tuple[DataFrame, int]:
+    """Rows of placed for each pair of trie nodes, or of their pieces, that they are needed in, and how many these are.
 
-    placed: trie, width, bits and a fingerprint's node; nodes: trie, depth, path and n, the fronts with two rows or more.
+    They have trie, depth, u, v, pu, pv (the pieces), size (rows of the pair), side and the
+    row. placed: trie, width, bits and a fingerprint's node; nodes: trie, depth, path and
+    n, the fronts with two rows or more. A node of more than node_rows is dealt in pieces.
     """
     path_at = lambda depth: _first_bits(F.col("bits"), depth)
-    columns = ["trie", "depth", "u", "v", "side", "bits", *_NODE]
-
-    def rows_of(rows: DataFrame, pairs: DataFrame, own: str, side: int) -> DataFrame:
-        return rows.join(pairs.withColumn("path", F.col(own)), ["trie", "path"]).withColumn("side", F.lit(side)).select(*columns)
+    pieces = lambda n: F.ceil(F.col(n) / F.lit(node_rows))
+    one = F.col("u") == F.col("v")
+    dealt_rows = F.when(one, F.col("n") * pieces("n")).otherwise(F.col("n") * pieces("m") + F.col("m") * pieces("n"))
+    total, done = 0, []
+
+    def deal(rows: DataFrame, pairs: DataFrame) -> None:
+        """Adds the rows (trie, path, bits) that the pairs need."""
+        nonlocal total
+        total += pairs.agg(F.coalesce(F.sum(dealt_rows), F.lit(0))).first()[0]
+        sizes = pairs.select("trie", F.explode(F.array(F.struct(F.col("u").alias("path"), "n"), F.struct(F.col("v").alias("path"), F.col("m").alias("n")))).alias("x")).select("trie", "x.*").distinct()
+        own = rows.select("trie", "path", "bits", *_NODE).join(sizes, ["trie", "path"]).withColumn("piece", F.pmod(F.xxhash64("bits"), pieces("n"))).drop("n")
+        none = F.lit(0).cast("long")
+        of = lambda n: F.explode(F.sequence(none, pieces(n) - 1))
+        cut = pairs.withColumn("pu", of("n")).withColumn("pv", of("m")).filter(~one | (F.col("pu") <= F.col("pv")))
+        size = (F.col("n") / pieces("n") + F.when(one & (F.col("pu") == F.col("pv")), 0).otherwise(F.col("m") / pieces("m"))).cast("long")
+        cut = cut.select("trie", "depth", "u", "v", "pu", "pv", size.alias("size"))
+        for side, (path, piece), some in ((0, ("u", "pu"), cut), (1, ("v", "pv"), cut.filter("u <> v OR pu <> pv"))):
+            met = own.join(some.withColumn("path", F.col(path)).withColumn("piece", F.col(piece)), ["trie", "path", "piece"])
+            done.append(met.select("trie", "depth", "u", "v", "pu", "pv", "size", F.lit(side).alias("side"), "bits", *_NODE))
 
     pairs = nodes.select("trie", "depth", F.col("path").alias("u"), F.col("path").alias("v"), F.lit(0).alias("different"), "n", F.col("n").alias("m"))
     rows = placed.withColumn("path", path_at(F.col("width")))
-    done = rows_of(rows, pairs.filter(F.col("n") <= node_rows), "u", 0)
+    deal(rows, pairs.filter(F.col("n") <= node_rows))
     pairs = checkpointed(pairs.filter(F.col("n") > node_rows))
-    while not pairs.isEmpty():  # ends at the depth of 64 bits at the latest
+    while not pairs.isEmpty():  # ends at the depth of 64 bits at the latest, where a node is one fingerprint
         ends = pairs.select("trie", "depth", F.explode(F.array_distinct(F.array("u", "v"))).alias("path")).distinct()
         down = F.least(F.col("depth") + STEP, F.lit(BITS))
-        rows = checkpointed(rows.select("trie", "width", "bits", *_NODE, "path").join(ends, ["trie", "path"]).withColumn("depth", down))
-        rows = rows.withColumnRenamed("path", "above").withColumn("path", path_at(F.col("depth")))
-        counts = checkpointed(rows.groupBy("trie", "depth", "above", "path").agg(F.count("*").alias("n")))
-        left = counts.select("trie", "depth", F.col("above").alias("u"), F.col("path").alias("to_u"), "n")
-        right = counts.select("trie", F.col("above").alias("v"), F.col("path").alias("to_v"), F.col("n").alias("m"))
+        rows = checkpointed(rows.select("trie", "bits", *_NODE, "path").join(ends, ["trie", "path"]).withColumn("depth", down).withColumn("below", path_at(F.col("depth"))))
+        counts = checkpointed(rows.groupBy("trie", "depth", "path", "below").agg(F.count("*").alias("n")))
+        left = counts.select("trie", F.col("depth").alias("down"), F.col("path").alias("u"), F.col("below").alias("to_u"), F.col("n").alias("to_n"))
+        right = counts.select("trie", F.col("path").alias("v"), F.col("below").alias("to_v"), F.col("n").alias("to_m"))
         split = pairs.select("trie", "u", "v", "different").join(left, ["trie", "u"]).join(right, ["trie", "v"])
         added = F.bit_count(F.col("to_u").bitwiseXOR(F.col("to_v"))) - F.bit_count(F.col("u").bitwiseXOR(F.col("v")))
-        split = split.filter((F.col("u") != F.col("v")) | (F.col("to_u") <= F.col("to_v"))).withColumn("different", F.col("different") + added)
-        split = split.filter((F.col("different") <= budget) & ((F.col("to_u") != F.col("to_v")) | (F.col("n") > 1)))
-        split = checkpointed(split.select("trie", "depth", F.col("to_u").alias("u"), F.col("to_v").alias("v"), "different", "n", "m"))
-        few = (F.greatest("n", "m") <= node_rows) | (F.col("depth") == BITS)
-        ended = split.filter(few).select("trie", "depth", "u", "v")
-        rows = rows.drop("above", "depth")
-        done = done.unionByName(rows_of(rows, ended, "u", 0)).unionByName(rows_of(rows, ended.filter("u <> v"), "v", 1))
-        pairs = split.filter(~few)
-    return done
+        split = split.filter(~one | (F.col("to_u") <= F.col("to_v"))).withColumn("different", F.col("different") + added)
+        split = split.filter((F.col("different") <= budget) & ((F.col("to_u") != F.col("to_v")) | (F.col("to_n") > 1)))
+        split = checkpointed(split.select("trie", F.col("u").alias("from_u"), F.col("v").alias("from_v"), F.col("down").alias("depth"), F.col("to_u").alias("u"), F.col("to_v").alias("v"), "different", F.col("to_n").alias("n"), F.col("to_m").alias("m")))
+        cost = split.groupBy("trie", "from_u", "from_v").agg(F.sum(dealt_rows).alias("cost"))
+        stay = pairs.join(cost.select("trie", F.col("from_u").alias("u"), F.col("from_v").alias("v"), "cost"), ["trie", "u", "v"]).filter(F.col("cost") > dealt_rows)
+        stay = checkpointed(stay.drop("cost"))
+        deal(rows, stay)
+        go = split.join(stay.select("trie", F.col("u").alias("from_u"), F.col("v").alias("from_v")), ["trie", "from_u", "from_v"], "left_anti").drop("from_u", "from_v")
+        few = F.greatest("n", "m") <= node_rows
+        rows = rows.drop("path", "depth").withColumnRenamed("below", "path")
+        deal(rows, go.filter(few))
+        pairs = checkpointed(go.filter(~few))
+    return union(done), total
 
 
 def links(distinct: DataFrame, budget: int = MAX_DIFFERENT, node_rows: int = NODE_ROWS) -> DataFrame:
     """Links (a, b) that connect all fingerprints within the budget; distinct has nil, id and fp, one row for each fp."""
+    schema = ", ".join(f"{end}_{c} {kind}" for end in "ab" for c, kind in zip(_NODE, ("boolean", "long", "long"), strict=True))
+    found = work(distinct, budget, node_rows).groupBy("task").applyInPandas(lambda pdf: _stars(pdf.drop(columns=["task", "size"], errors="ignore"), budget), schema)
+    node = lambda end: F.struct(*[F.col(f"{end}_{c}").alias(c) for c in _NODE]).alias(end)
+    return found.select(node("a"), node("b")).distinct()
+
+
+def work(distinct: DataFrame, budget: int = MAX_DIFFERENT, node_rows: int = NODE_ROWS) -> DataFrame:
+    """The rows of :func:`node_pairs` with their task: small pairs share one of about TASK_ROWS, a larger pair is one by itself."""
     count = distinct.count()
     plan = tries(count, budget)
     each = [F.struct(F.lit(t).alias("trie"), F.lit(width).alias("width"), _rotated(F.col("fp"), blocks).alias("bits")) for t, (blocks, width) in enumerate(plan)]
     placed = distinct.select(*_NODE, F.explode(F.array(*each)).alias("p")).select("p.*", *_NODE)
     fronts = placed.groupBy("trie", F.col("width").alias("depth"), _first_bits(F.col("bits"), F.col("width")).alias("path")).agg(F.count("*").alias("n"))
-    dealt = node_pairs(placed, checkpointed(fronts.filter("n > 1")), budget, node_rows)
-    tasks = max(1, count * len(plan) // TASK_ROWS)
-    schema = ", ".join(f"{end}_{c} {kind}" for end in "ab" for c, kind in zip(_NODE, ("boolean", "long", "long"), strict=True))
-    task = F.pmod(F.xxhash64("trie", "depth", "u", "v"), F.lit(tasks))
-    found = dealt.groupBy(task.alias("task")).applyInPandas(lambda pdf: _stars(pdf.drop(columns="task", errors="ignore"), budget), schema)
-    node = lambda end: F.struct(*[F.col(f"{end}_{c}").alias(c) for c in _NODE]).alias(end)
-    return found.select(node("a"), node("b")).distinct()
+    dealt, total = node_pairs(placed, checkpointed(fronts.filter("n > 1")), budget, node_rows)
+    own = F.xxhash64("trie", "depth", "u", "v", "pu", "pv")
+    return dealt.withColumn("task", F.when(F.col("size") * 4 > TASK_ROWS, own).otherwise(F.pmod(own, F.lit(max(1, total // TASK_ROWS)))))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -138,6 +138,24 @@ def test_simhash_traverses_pairs_of_nodes():
         assert met == want
 
 
+def test_simhash_crowd_is_dealt_in_bounded_groups(spark):
+    """40,000 fingerprints within four bits of one: few copies of each row, no group beyond its bound, and one component."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    centre = int(rng.integers(0, 2**63))
+    fps = {centre}
+    while len(fps) < 40_000:
+        fps.add(centre ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(1, 5)), replace=False)))
+    rows = [(False, k, x - 2**64 if x >= 2**63 else x) for k, x in enumerate(sorted(fps))]
+    distinct = spark.createDataFrame(rows, "nil boolean, id long, fp long")
+    dealt = simhash.work(distinct)
+    told = dealt.groupBy("task").agg(F.count("*").alias("n")).agg(F.max("n").alias("largest"), F.sum("n").alias("rows")).first()
+    assert told["largest"] <= 3 * simhash.TASK_ROWS and told["rows"] <= 60 * len(rows), told
+    roots = {r["root"]["fp"] for r in simhash.components(simhash.links(distinct)).collect()}
+    assert len(roots) == 1
+
+
 def test_components_that_do_not_settle_are_an_error(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
     assert {r["root"] for r in simhash.components(chain).collect()} == {0}
