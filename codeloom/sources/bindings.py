@@ -89,6 +89,16 @@ VIEWS = {
         SELECT DISTINCT l_orderkey AS flow, l_linestatus AS path, CAST(NULL AS STRING) AS parent, 0 AS depth, CASE l_linestatus WHEN 'F' THEN 1 ELSE 2 END AS ord, 'branch' AS kind, CAST(NULL AS STRING) AS target FROM {lineitem}
         UNION ALL SELECT l_orderkey, concat(l_linestatus, '.', lpad(CAST(k AS STRING), 4, '0')), l_linestatus, 1, k, CASE l_returnflag WHEN 'A' THEN 'call' WHEN 'R' THEN 'exit' ELSE 'await' END, CASE WHEN l_returnflag = 'A' THEN concat('P', l_partkey) END
           FROM (SELECT l_orderkey, l_linestatus, l_returnflag, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY l_linenumber, l_extendedprice, l_partkey, l_suppkey, l_quantity) AS INT) AS k FROM {lineitem}) x""",
+    # each trace as spans that call each other, some linked to others, forward and back
+    "trace_spans": """
+        SELECT concat(user_id, '/', trace) AS trace, CAST(event_id AS STRING) AS span, event_id, ts,
+               CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 23 = 0 THEN 'gone' WHEN event_id % 29 = 1 THEN CAST(lead(event_id) OVER w AS STRING) ELSE CAST(CASE event_id % 3 WHEN 0 THEN lag(event_id, 1) OVER w WHEN 1 THEN lag(event_id, 2) OVER w ELSE lag(event_id, 3) OVER w END AS STRING) END AS parent,
+               datediff(CAST(ts AS DATE), DATE '1992-01-01') * CAST(86400 AS BIGINT) + hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS start,
+               lag(event_id) OVER w AS earlier, lead(event_id) OVER w AS later, event_type
+        FROM {spans} WINDOW w AS (PARTITION BY user_id, trace ORDER BY ts, event_id)""",
+    "trace_links": """
+        SELECT trace, span, 0 AS ord, CASE WHEN event_id % 7 = 0 THEN 'other' ELSE trace END AS linked_trace, CAST(CASE WHEN event_id % 3 = 0 THEN later ELSE earlier END AS STRING) AS linked_span, 'async' AS relation FROM {trace_spans} WHERE event_id % 4 = 0 AND (CASE WHEN event_id % 3 = 0 THEN later ELSE earlier END) IS NOT NULL
+        UNION ALL SELECT trace, span, 1, trace, CAST(earlier AS STRING), 'message' FROM {trace_spans} WHERE event_id % 4 = 0 AND earlier IS NOT NULL""",
     # parts as Python files: a folder for each brand and type, some with initialisers, and modules beside folders of their name
     "python_files": """
         SELECT concat(b, '/', p_type, '/s', p_size, '.py') AS path, concat(b, '.', p_type, '.s', p_size) AS module FROM (SELECT replace(p_brand, '#', '') AS b, p_type, p_size FROM {part}) x WHERE p_size % 10 <> 0
@@ -154,5 +164,5 @@ def ctes(*names: str) -> str:
 
 
 def _duck(text: str) -> str:
-    """The one function that the engines spell differently."""
+    """The one function that the engines spell differently: days since 1992."""
     return re.sub(r"datediff\((.*?\)), DATE '1992-01-01'\)", r"CAST(\1 - DATE '1992-01-01' AS INTEGER)", text)
