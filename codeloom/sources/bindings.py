@@ -89,6 +89,11 @@ VIEWS = {
         SELECT DISTINCT l_orderkey AS flow, l_linestatus AS path, CAST(NULL AS STRING) AS parent, 0 AS depth, CASE l_linestatus WHEN 'F' THEN 1 ELSE 2 END AS ord, 'branch' AS kind, CAST(NULL AS STRING) AS target FROM {lineitem}
         UNION ALL SELECT l_orderkey, concat(l_linestatus, '.', lpad(CAST(k AS STRING), 4, '0')), l_linestatus, 1, k, CASE l_returnflag WHEN 'A' THEN 'call' WHEN 'R' THEN 'exit' ELSE 'await' END, CASE WHEN l_returnflag = 'A' THEN concat('P', l_partkey) END
           FROM (SELECT l_orderkey, l_linestatus, l_returnflag, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY l_linenumber, l_extendedprice, l_partkey, l_suppkey, l_quantity) AS INT) AS k FROM {lineitem}) x""",
+    # edges as calls, deliveries, waits and returned promises, by the digits of their ends, and where they stand
+    "causal_edges": """
+        SELECT concat(kind, ':', source, '>', target) AS id, kind, source, target, resolution, CASE WHEN n % 6 = 1 THEN CAST(0.5 + n % 5 / 10.0 AS DOUBLE) END AS confidence, regexp_replace(source, '#.*$', '') AS file, CAST(m % 40 AS INT) AS line, CAST(n % 20 AS INT) AS col
+        FROM (SELECT DISTINCT source, target, resolution, n, m, CASE WHEN n % 10 = 4 THEN 'handles' WHEN n % 10 IN (3, 7) THEN 'awaitsPromise' WHEN n % 23 = 5 THEN 'returnsPromise' WHEN n % 10 = 9 THEN 'resolvesPromise' WHEN n % 17 = 1 THEN 'references' ELSE 'calls' END AS kind
+          FROM (SELECT source, target, resolution, CAST(regexp_extract(target, '([0-9]+)$', 1) AS BIGINT) AS n, CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) + CAST(regexp_extract(target, '([0-9]+)$', 1) AS BIGINT) AS m FROM {edges} WHERE kind <> 'references') e) x""",
     # each trace as spans that call each other, some linked to others, forward and back
     "trace_spans": """
         SELECT concat(user_id, '/', trace) AS trace, CAST(event_id AS STRING) AS span, event_id, ts,
