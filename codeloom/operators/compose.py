@@ -97,6 +97,7 @@ def composition(units: DataFrame, edges: DataFrame, nodes: DataFrame, closure: D
 def owners(targets: DataFrame, placed: DataFrame, metrics: DataFrame) -> DataFrame:
     """(target, unit, tone, smelly) of call targets (target) that belong to a unit; placed (id, unit), metrics (id, distance, smells)."""
     known = metrics.select(F.col("id").alias("unit"), "distance", (F.col("smells") != "").alias("smelly"))
+    # fixed values: the distances at which a tone ends
     tone = F.when(F.col("distance") <= 0.2, "good").when(F.col("distance") >= 0.7, "bad").otherwise("warn")
     met = targets.select("target").distinct().join(placed.select(F.col("id").alias("target"), "unit"), "target").join(known, "unit")
     return met.select("target", "unit", tone.alias("tone"), "smelly")

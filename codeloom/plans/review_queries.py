@@ -142,9 +142,24 @@ o(kind, own) AS (VALUES {", ".join(map(str, OVERRIDES))}),
 policy AS (SELECT kind, family, coalesce(kr.role, fr.role, 'wire') AS role, coalesce(kr.visible, fr.visible, true) AS visible, coalesce(kr.weight, fr.weight, 0.5)::DOUBLE AS weight FROM k LEFT JOIN kr USING (kind) LEFT JOIN fr USING (family))"""
 
 
-@query("region", f"WITH {POLICY} SELECT * FROM policy")
-def relation_policy(region):
-    return _policy(region.sparkSession)
+#: Types of parts within a brand as kinds of relations, brands as their families; rules and wishes come from sizes and prices.
+TABLED = """k AS (SELECT concat(p_brand, '/', p_type) AS kind, p_brand AS family, count(*) AS n, min(p_size) AS s, max(p_partkey) AS m FROM part GROUP BY p_brand, p_type),
+kr AS (SELECT kind, CASE WHEN s = 1 THEN 'ignore' ELSE 'wire' END AS role, m % 2 = 0 AS visible, (n / 4.0)::DOUBLE AS weight FROM k WHERE n % 3 = 0),
+fr AS (SELECT family, 'wire' AS role, sum(n) % 2 = 0 AS visible, sum(n)::DOUBLE AS weight FROM k WHERE right(family, 1) IN ('1', '2', '3') GROUP BY family), o AS (SELECT kind, m % 3 = 0 AS own FROM k WHERE s > 2),
+policy AS (SELECT kind, family, coalesce(kr.role, fr.role, 'wire') AS role, coalesce(kr.visible, fr.visible, true) AS visible, coalesce(kr.weight, fr.weight, 0.5)::DOUBLE AS weight FROM k LEFT JOIN kr USING (kind) LEFT JOIN fr USING (family))"""
+
+
+def _tabled(part):
+    k = part.groupBy(F.concat("p_brand", F.lit("/"), "p_type").alias("kind"), F.col("p_brand").alias("family")).agg(F.count("*").alias("n"), F.min("p_size").alias("s"), F.max("p_partkey").alias("m"))
+    kind_rules = k.filter("n % 3 = 0").select("kind", F.when(F.col("s") == 1, "ignore").otherwise("wire").alias("role"), (F.col("m") % 2 == 0).alias("visible"), (F.col("n") / 4.0).alias("weight"))
+    family_rules = k.filter(F.right("family", F.lit(1)).isin("1", "2", "3")).groupBy("family").agg(F.lit("wire").alias("role"), (F.sum("n") % 2 == 0).alias("visible"), F.sum("n").cast("double").alias("weight"))
+    policy = R.policies(k.select("kind", "family"), kind_rules, family_rules, {"role": "wire", "visible": True, "weight": 0.5})
+    return policy, k.filter("s > 2").select("kind", (F.col("m") % 3 == 0).alias("shown"))
+
+
+@query("part", f"WITH {TABLED} SELECT * FROM policy")
+def relation_policy(part):
+    return _tabled(part)[0]
 
 
 @query("occurrences", f"""WITH {POLICY}, s AS (SELECT kind, role <> 'ignore' AND coalesce(own, visible) AS shown FROM policy LEFT JOIN o USING (kind))
@@ -157,10 +172,15 @@ def relation_visibility(occurrences):
     return R.shown(_policy(spark), overrides).join(counts, "kind", "left").select("kind", "shown", F.coalesce("edges", F.lit(0).cast("long")).alias("edges"))
 
 
-@query("region", f"WITH {POLICY} SELECT kind, own AS shown FROM o JOIN policy USING (kind) WHERE own <> visible")
-def relation_overrides(region):
-    spark = region.sparkSession
-    return R.departures(_policy(spark), spark.createDataFrame(OVERRIDES, "kind string, shown boolean"))
+@query("part", f"WITH {TABLED} SELECT kind, own AS shown FROM o JOIN policy USING (kind) WHERE own <> visible")
+def relation_overrides(part):
+    return R.departures(*_tabled(part))
+
+
+@query("part", f"WITH {TABLED} SELECT kind, role <> 'ignore' AND coalesce(own, visible) AS shown FROM policy LEFT JOIN o USING (kind)")
+def relation_shown(part):
+    """Which kinds are drawn once the rules of the tables and the reader's wishes have met."""
+    return R.shown(*_tabled(part))
 
 
 MADE = """n AS (SELECT id, kind, parent_id, CASE WHEN kind = 'method' AND right(id, 1) IN ('3', '7') THEN 'constructor' ELSE display_name END AS display_name FROM nodes),

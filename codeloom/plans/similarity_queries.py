@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions.materialize import cut
 from codeloom.operators import cluster as G
+from codeloom.operators import partition as P
 from codeloom.operators import similarity as S
 
 from .edge_queries import PATHS, _paths
@@ -167,3 +169,30 @@ def modular_clusters(units, unit_edges):
 def sized_clusters(units, unit_edges):
     """As potts_clusters, but groups of six are closed."""
     return G.local_moves(units, S.pair_affinities(unit_edges), G.potts_gain(0.5), most=6)
+
+
+#: Files, and how many edges they have between them.
+_FILES = """fe AS (SELECT least(a, b) AS a, greatest(a, b) AS b, count(*)::DOUBLE AS weight FROM (SELECT regexp_replace(source, '#.*$', '') AS a, regexp_replace(target, '#.*$', '') AS b FROM edges) x WHERE a <> b GROUP BY 1, 2),
+fn AS (SELECT a AS id FROM fe UNION SELECT b FROM fe)"""
+
+
+def _file_graph(edges):
+    module = lambda c: F.regexp_replace(c, "#.*$", "")
+    rows = edges.select(module("source").alias("x"), module("target").alias("y")).filter("x <> y")
+    pairs = cut(rows.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").cast("double").alias("weight")))
+    nodes = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    return nodes, pairs
+
+
+@query("edges", f"""WITH {_FILES} SELECT (SELECT count(*) FROM fn)::BIGINT AS nodes, true AS once, true AS bounded, true AS whole, true AS full""")
+def packed_groups(edges):
+    """Files packed to groups of about 40, from groups of three: none is over 50, no group is torn, and no two that belong together still fit."""
+    nodes, pairs = _file_graph(edges)
+    start = cut(nodes.select("id", F.concat(F.regexp_replace("id", "/.*$", ""), F.lit("."), F.pmod(F.xxhash64("id"), F.lit(3)).cast("string")).alias("group")))
+    groups = cut(P.packed(start, pairs, 40))
+    size = groups.groupBy("group").agg(F.count("*").alias("n"))
+    torn = start.withColumnRenamed("group", "was").join(groups, "id").groupBy("was").agg(F.count_distinct("group").alias("k")).agg((F.max("k") == 1).alias("whole"))
+    of = lambda end: groups.join(size, "group").select(F.col("id").alias(end), F.col("group").alias(f"g{end}"), F.col("n").alias(f"n{end}"))
+    still = pairs.join(of("a"), "a").join(of("b"), "b").filter("ga <> gb AND na + nb <= 50 AND least(na, nb) < 40").agg((F.count("*") == 0).alias("full"))
+    once = groups.groupBy("id").agg(F.count("*").alias("k")).join(nodes, "id", "full_outer").agg(F.count("*").alias("nodes"), F.min(F.coalesce(F.col("k") == 1, F.lit(False))).alias("once"))
+    return once.join(size.agg((F.max("n") <= 50).alias("bounded"))).join(torn).join(still)
