@@ -3,9 +3,10 @@
 Documents are encoded whole, closed with an end id, and cut only where they are longer
 than a sequence. A shard of pieces is packed longest first: each piece goes to the open
 bin with room after which the sum over residual gaps of the squared number of open bins
-with that gap is smallest, on a tie to the tightest; a new bin is opened only where none has room. Shards are of
-even size whatever the documents are, since rows are dealt by position, and a shard
-loses one or two unfilled sequences at most against packing everything at once.
+with that gap is smallest, on a tie to the tightest; a new bin is opened only where none has room. Rows are dealt
+to shards by their place in their partition, so shards are of even size whatever the documents are, as long as
+partitions hold more rows than there are shards; a shard loses one or two unfilled sequences at most against
+packing everything at once.
 
 Only lengths are shuffled: ids stay where they were encoded and are joined to their
 places by :func:`sequences` when the packed text itself is wanted.
