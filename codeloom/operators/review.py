@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codeloom.functions.materialize import Unsettled, cut, union
+
 from .changes import overlaps
 from .tree import first_of
 
@@ -117,6 +119,38 @@ def value_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return met.select(key, "field", state.alias("state")).filter("state IS NOT NULL")
 
 
+def nested_changes(pairs: DataFrame, key: str, shallow: bool = False, max_depth: int = 200) -> DataFrame:
+    """(key, path, state, before, after) of what differs between two JSON texts (key, before, after): added, removed or changed.
+
+    Objects are compared by name and arrays by place, level by level over all pairs at
+    once, down to values of which one isn't such; added and removed parts are told whole, as are
+    parts at the first level where shallow. The order of an object's names doesn't count.
+    Values are told as JSON texts with sorted names; a text that is null or no JSON counts as null.
+    """
+    text = lambda c: F.coalesce(F.to_json(F.try_parse_json(c)), F.lit("null"))
+    told, now = [], cut(pairs.select(key, F.lit("$").alias("path"), text(F.col("before")).alias("before"), text(F.col("after")).alias("after")).filter("before <> after"))
+    none = F.lit(None).cast("string")
+    for depth in range(max_depth):
+        kind = F.when(F.col("before").startswith("{") & F.col("after").startswith("{"), "object").when(F.col("before").startswith("[") & F.col("after").startswith("["), "array")
+        rows = now.withColumn("_kind", F.lit(None) if shallow and depth else kind)
+        told.append(rows.filter("_kind IS NULL").select(key, "path", F.lit("changed").alias("state"), "before", "after"))
+        inner = rows.filter("_kind IS NOT NULL")
+        fields = lambda c: F.map_entries(F.from_json(c, "map<string,variant>"))
+        items = lambda c: F.transform(F.from_json(c, "array<variant>"), lambda v, i: F.struct(i.cast("string").alias("key"), v.alias("value")))
+        parts = lambda c: F.explode(F.when(F.col("_kind") == "object", fields(c)).otherwise(items(c)))
+        side = lambda c: inner.select(key, "path", "_kind", parts(c).alias("e")).select(key, "path", "_kind", F.col("e.key").alias("name"), F.to_json("e.value").alias(c))
+        met = side("before").join(side("after"), [key, "path", "_kind", "name"], "full_outer")
+        named = F.when(F.col("name").rlike("^[A-Za-z_$][A-Za-z0-9_$]*$"), F.concat(F.lit("."), "name")).otherwise(F.to_json(F.array("name")))
+        below = F.concat("path", F.when(F.col("_kind") == "array", F.concat(F.lit("["), "name", F.lit("]"))).otherwise(named))
+        met = cut(met.select(key, below.alias("path"), "before", "after").filter(~F.col("before").eqNullSafe(F.col("after"))))
+        lone = F.col("before").isNull() | F.col("after").isNull()
+        told.append(met.filter(lone).select(key, "path", F.when(F.col("before").isNull(), "added").otherwise("removed").alias("state"), "before", "after"))
+        now = met.filter(~lone)
+        if now.isEmpty():
+            return union(told)
+    raise Unsettled(f"values nested deeper than {max_depth}")
+
+
 def tick_states(ticks: DataFrame, prints: DataFrame) -> DataFrame:
     """(id, state): done where the last tick (id, at, digest) saw the present digest (id, digest), stale where another, todo without one."""
     last = ticks.groupBy("id").agg(F.max_by("digest", "at").alias("seen"))

@@ -105,6 +105,25 @@ def value_diff(events):
     return V.value_changes(half(0), half(1), "pair")
 
 
+@query("lineitem", """WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey % 7 AS p, l_quantity::BIGINT AS q, l_returnflag AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS i FROM lineitem),
+w AS (SELECT o, count(*) AS n, arg_min(f, i) AS f FROM l GROUP BY o), b AS (SELECT o // 2 AS pair, * FROM w WHERE o % 2 = 0), a AS (SELECT o // 2 AS pair, * FROM w WHERE o % 2 = 1),
+x AS (SELECT b.pair, l.i, l.p, l.q FROM l JOIN b USING (o)), y AS (SELECT a.pair, l.i, l.p, l.q FROM l JOIN a USING (o)), both_ AS (SELECT pair FROM a JOIN b USING (pair)),
+z AS (SELECT coalesce(x.pair, y.pair) AS pair, coalesce(x.i, y.i) AS i, x.p AS p0, x.q AS q0, y.p AS p1, y.q AS q1 FROM x FULL JOIN y ON x.pair = y.pair AND x.i = y.i WHERE coalesce(x.pair, y.pair) IN (SELECT pair FROM both_))
+SELECT pair, concat('$.lines[', i, '][0]') AS path, 'changed' AS state, p0::VARCHAR AS before, p1::VARCHAR AS after FROM z WHERE p0 <> p1
+UNION ALL SELECT pair, concat('$.lines[', i, '][1].q'), 'changed', q0::VARCHAR, q1::VARCHAR FROM z WHERE q0 <> q1
+UNION ALL SELECT pair, concat('$.lines[', i, ']'), CASE WHEN p0 IS NULL THEN 'added' ELSE 'removed' END, concat('[', p0, ',{"q":', q0, '}]').replace('[,{"q":}]', 'x').nullif('x'), concat('[', p1, ',{"q":', q1, '}]').replace('[,{"q":}]', 'x').nullif('x') FROM z WHERE (p0 IS NULL) <> (p1 IS NULL)
+UNION ALL SELECT pair, '$["first flag"]', 'changed', concat('"', b.f, '"'), concat('"', a.f, '"') FROM a JOIN b USING (pair) WHERE a.f <> b.f""")
+def value_paths(lineitem):
+    """Orders as nested values, each even one against the next."""
+    place = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    lines = F.sort_array(F.collect_list(F.struct(place.alias("at"), (F.col("l_partkey") % 7).alias("p"), F.col("l_quantity").cast("long").alias("q"))))
+    made = lineitem.groupBy("l_orderkey").agg(lines.alias("l"), F.min_by("l_returnflag", place).alias("f"))
+    texts = F.array_join(F.transform("l", lambda x: F.concat(F.lit("["), x["p"].cast("string"), F.lit(', {"q": '), x["q"].cast("string"), F.lit("}]"))), ", ")
+    body = F.concat(F.lit('{"lines": ['), texts, F.lit('], "first flag": "'), "f", F.lit('"}'))
+    half = lambda r, name: made.filter(F.col("l_orderkey") % 2 == r).select(F.floor(F.col("l_orderkey") / 2).alias("pair"), body.alias(name))
+    return V.nested_changes(half(0, "before").join(half(1, "after"), "pair"), "pair")
+
+
 TICKS = """t AS (SELECT user_id, arg_max(value > 20, event_id) AS seen FROM events WHERE event_type = 'view' GROUP BY user_id),
 s AS (SELECT c_custkey AS id, c_nationkey AS nation, CASE WHEN seen IS NULL THEN 'todo' WHEN seen = (c_acctbal > 0) THEN 'done' ELSE 'stale' END AS state FROM customer LEFT JOIN t ON user_id = c_custkey)"""
 

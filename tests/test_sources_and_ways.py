@@ -7,7 +7,7 @@ import pytest
 
 from codeloom.functions import scalars
 from codeloom.functions.materialize import Unsettled
-from codeloom.operators import partition
+from codeloom.operators import partition, review
 from codeloom.operators.iterate import connectors
 from codeloom.sources import artifacts
 
@@ -91,3 +91,18 @@ def test_arguments_of_signatures(spark):
     texts += ["f(" + "".join(rng.choice("ab ,()[]{}<>=") for _ in range(rng.randrange(16))) for _ in range(3000)]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [(r[0], r[1]) for r in df.select("t", scalars.arity(df["t"])).collect()] == [(t, _arguments(t)) for t in texts]
+
+
+def test_nested_values(spark):
+    pairs = [
+        (1, '{"a": 1, "b": {"c": [1, 2, {"d": "x"}], "e f": true}}', '{"b": {"e f": false, "c": [1, 3]}, "g": null, "a": 1}'), (2, '{"x": 1, "y": 2}', '{"y": 2, "x": 1}'),
+        (3, '["1"]', "[1]"), (4, '{"a": []}', '{"a": {}}'), (5, "no json", '"text"'), (6, None, "null"), (7, "{}", '{"\\"": 1}'),
+    ]
+    df = spark.createDataFrame(pairs, "id int, before string, after string")
+    got = {(r["id"], r["path"]): (r["state"], r["before"], r["after"]) for r in review.nested_changes(df, "id").collect()}
+    assert got == {
+        (1, "$.b.c[1]"): ("changed", "2", "3"), (1, "$.b.c[2]"): ("removed", '{"d":"x"}', None), (1, '$.b["e f"]'): ("changed", "true", "false"), (1, "$.g"): ("added", None, "null"),
+        (3, "$[0]"): ("changed", '"1"', "1"), (4, "$.a"): ("changed", "[]", "{}"), (5, "$"): ("changed", "null", '"text"'), (7, '$["\\""]'): ("added", None, "1"),
+    }
+    flat = {(r["id"], r["path"]): r["state"] for r in review.nested_changes(df, "id", shallow=True).collect()}
+    assert flat == {(1, "$.b"): "changed", (1, "$.g"): "added", (3, "$[0]"): "changed", (4, "$.a"): "changed", (5, "$"): "changed", (7, '$["\\""]'): "added"}
