@@ -32,6 +32,9 @@ def packed(groups: DataFrame, edges: DataFrame, target: int, slack: float = 1.25
         coin = lambda c: F.pmod(F.xxhash64(c, F.lit(number)), F.lit(2))  # noqa: E731, B023
         asked = fits.filter((coin("g") == 1) & (coin("to") == 0) & (F.col("n") < target)).groupBy("g", "n").agg(F.max(F.struct("by", "to", "m")).alias("t")).select("g", "n", "t.*")
         room = F.sum("n").over(W.partitionBy("to").orderBy(F.desc("by"), "g").rowsBetween(W.unboundedPreceding, 0))
-        moves = asked.withColumn("_upto", room + F.col("m")).filter(F.col("_upto") <= most).select(F.col("g").alias("group"), "to")
-        now = cut(now.join(moves, "group", "left").select("id", F.coalesce("to", "group").alias("group")))
+        moves = cut(asked.withColumn("_upto", room + F.col("m")).filter(F.col("_upto") <= most).select(F.col("g").alias("group"), "to"))
+        if moves.isEmpty():  # few are left, and all on one side
+            moves = cut(fits.filter(F.col("n") < target).orderBy(F.desc("by"), "g", "to").limit(1).select(F.col("g").alias("group"), "to"))
+        # a union of those that stay and those that move: what the planner knows of either doesn't pile up round by round
+        now = cut(now.join(moves, "group", "left_anti").select("id", "group").unionByName(now.join(moves, "group").select("id", F.col("to").alias("group"))))
     raise Unsettled(f"groups not packed within {max_rounds} rounds")
