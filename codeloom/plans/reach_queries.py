@@ -52,7 +52,8 @@ def _kept(nodes):
 
 @query("nodes edges", LEAVES + " SELECT id, status, distance, reason, array_to_string(callers, ' ') AS callers FROM leaves")
 def coverage_leaf(nodes, edges):
-    return reach.leaf_coverage(nodes, edges).withColumn("callers", F.array_join("callers", " "))
+    nodes, closure = _kept(nodes)
+    return reach.leaf_coverage(nodes, edges, closure).withColumn("callers", F.array_join("callers", " "))
 
 
 @query("nodes edges", LEAVES + """
