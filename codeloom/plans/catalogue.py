@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import edge_queries, flow_queries, impact_queries, metric_queries, reach_queries, review_queries, search_queries, similarity_queries, stream_queries, subgraph_queries, text_queries, trace_queries, view_queries  # noqa: F401  each module registers its queries
+from . import edge_queries, flow_queries, impact_queries, logic_queries, metric_queries, reach_queries, review_queries, search_queries, similarity_queries, stream_queries, subgraph_queries, text_queries, trace_queries, view_queries  # noqa: F401  each module registers its queries
 from .registry import ORACLES, QUERIES
 
 

@@ -135,6 +135,23 @@ VIEWS = {
     "request_events": """
         SELECT CAST(event_id AS STRING) AS span, concat(event_id, site) AS event, CAST(k AS BIGINT) AS at, 'branch' AS what, site, CASE WHEN (event_id + k) % 3 <> 0 THEN 'then' ELSE 'else' END AS path_id, CAST(NULL AS BIGINT) AS iterations, false AS handled
         FROM {events} CROSS JOIN (SELECT 'F' AS site, 1 AS k UNION ALL SELECT 'O', 2) s WHERE (event_id + 2 * k) % 5 <> 0""",
+    # orders as control-flow graphs: two arms and a join for each branch, some calls with their body in them
+    "logic_nodes": """
+        SELECT CAST(flow AS STRING) AS flow, path AS id, parent, CASE WHEN parent IS NOT NULL THEN ord % 2 END AS arm, ord, kind, target, CASE WHEN target LIKE '%5' THEN 'external' ELSE 'resolved' END AS resolution, target IS NOT NULL AND target LIKE '%7' AS definition, kind = 'call' AND ord % 3 = 2 AS expanded FROM {flow_steps}
+        UNION ALL SELECT CAST(flow AS STRING), concat(path, '.~join'), CAST(NULL AS STRING), CAST(NULL AS INT), 9999, 'join', CAST(NULL AS STRING), CAST(NULL AS STRING), false, false FROM {flow_steps} WHERE parent IS NULL
+        UNION ALL SELECT CAST(flow AS STRING), concat(path, '/s'), path, CAST(NULL AS INT), 1, 'branch', CAST(NULL AS STRING), CAST(NULL AS STRING), false, false FROM {flow_steps} WHERE kind = 'call' AND ord % 3 = 2
+        UNION ALL SELECT CAST(flow AS STRING), concat(path, '/s/c'), concat(path, '/s'), 1, 1, 'call', concat(target, '1'), 'resolved', false, false FROM {flow_steps} WHERE kind = 'call' AND ord % 3 = 2""",
+    "logic_edges": """
+        SELECT flow, concat(kind, ':', source, '>', target) AS id, concat(kind, ':', source, '>', target) AS key, source, target, kind, arm, CAST(NULL AS STRING) AS port, true AS collapsible FROM (
+          SELECT flow, id AS source, coalesce(lead(id) OVER w, concat(parent, '.~join')) AS target, CASE WHEN kind <> 'exit' THEN 'seq' END AS kind, CAST(NULL AS INT) AS arm FROM {logic_nodes} WHERE parent IN ('F', 'O') WINDOW w AS (PARTITION BY flow, parent, arm ORDER BY ord)
+          UNION ALL SELECT flow, parent, min(id), 'branch', arm FROM {logic_nodes} WHERE arm IS NOT NULL GROUP BY flow, parent, arm
+          UNION ALL SELECT flow, 'F.~join', id, 'seq', CAST(NULL AS INT) FROM {logic_nodes} WHERE id = 'O' AND flow IN (SELECT flow FROM {logic_nodes} WHERE id = 'F')
+          UNION ALL SELECT flow, id, 'O.~join', 'async', CAST(NULL AS INT) FROM {logic_nodes} WHERE id LIKE 'F.%1' AND flow IN (SELECT flow FROM {logic_nodes} WHERE id = 'O')) x WHERE kind IS NOT NULL""",
+    "logic_cuts": """
+        SELECT flow, key FROM {logic_edges} WHERE kind = 'branch' AND CAST(flow AS BIGINT) % 3 = 0 AND arm = 0
+        UNION ALL SELECT flow, key FROM {logic_edges} WHERE kind = 'seq' AND CAST(flow AS BIGINT) % 5 = 0 AND source LIKE '%2'
+        UNION ALL SELECT flow, key FROM {logic_edges} WHERE kind = 'async' AND CAST(flow AS BIGINT) % 7 = 0""",
+    "part_verdicts": "SELECT concat('P', p_partkey) AS id, CASE p_size % 4 WHEN 0 THEN 'covered' WHEN 1 THEN 'indirect' WHEN 2 THEN 'uncovered' END AS status FROM {part}",
     # what modules are called: the names and sizes of their parts
     "module_terms": """
         SELECT id, term, CAST(count(*) AS BIGINT) AS n FROM (
