@@ -186,6 +186,19 @@ def linked_nodes(nodes):
     return link.linked_nodes(_systems(nodes))
 
 
+@query("edges", """WITH se AS (SELECT CASE WHEN starts_with(source, 'tp:r') THEN 'web shop' ELSE 'stock' END AS system, kind, source, target FROM edges
+  UNION ALL SELECT DISTINCT 'stock', 'sends', source, 'ipc:http/channel=x' FROM edges WHERE kind = 'calls' UNION ALL SELECT DISTINCT 'web shop', 'imports', source, 'ext:npm/lib' FROM edges WHERE kind = 'references'),
+p AS (SELECT system, kind, CASE WHEN starts_with(source, 'tp:') THEN concat('tp:', system, '/', source[4:]) ELSE source END AS source, CASE WHEN starts_with(target, 'tp:') THEN concat('tp:', system, '/', target[4:]) ELSE target END AS target FROM se WHERE kind NOT IN ('sends', 'handles'))
+SELECT concat(kind, '@', source, '|', target) AS id, kind, source, target, system FROM p""")
+def linked_edges(edges):
+    """The edges of both systems: ends set apart, outside packages shared, sends of a single system gone."""
+    system = F.when(F.col("source").startswith("tp:r"), "web shop").otherwise("stock")
+    own = edges.select(system.alias("system"), "kind", "source", "target")
+    sent = edges.filter("kind = 'calls'").select(F.lit("stock").alias("system"), F.lit("sends").alias("kind"), "source", F.lit("ipc:http/channel=x").alias("target")).distinct()
+    outside = edges.filter("kind = 'references'").select(F.lit("web shop").alias("system"), F.lit("imports").alias("kind"), "source", F.lit("ext:npm/lib").alias("target")).distinct()
+    return link.linked_edges(own.unionByName(sent).unionByName(outside))
+
+
 PORTS = f"""{CALLS}, calls_s AS (SELECT channel, CASE WHEN contains(channel, '/2') THEN 'api' END AS scope, CASE WHEN length(channel) % 2 = 0 THEN 'shop' ELSE 'web' END AS system FROM calls),
 templates AS (SELECT t AS channel, s.scope, s.system FROM (SELECT unnest({TEMPLATES}) AS t), (VALUES (NULL, 'shop'), ('api', 'stock')) AS s(scope, system)),
 shaped AS (SELECT 'c' AS side, channel, scope FROM calls_s UNION ALL SELECT 't', channel, scope FROM templates),
