@@ -17,6 +17,8 @@ SEPARATORS = r"[\x20\x09-\x0D]+"
 SEPARATOR_CHARS = " \t\n\x0b\x0c\r"
 #: Rows of keys that :func:`small` broadcasts: some tens of MB. Larger tables are joined by a shuffle.
 BROADCAST_ROWS = 400_000
+#: Rows of a few numbers that a partition holds at least, before :func:`in_parts` leaves one more.
+PART_ROWS = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,3 +90,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def small(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """keys, a materialised table of a few numbers a row, marked for broadcasting if it has at most so many rows."""
     return F.broadcast(keys) if keys.limit(rows + 1).count() <= rows else keys
+
+
+def in_parts(df: DataFrame, rows: int) -> DataFrame:
+    """df, of at most so many rows, in no more partitions than these fill: every partition is files in every later shuffle."""
+    return df.coalesce(max(1, -(-rows // PART_ROWS)))
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """df checkpointed and read in no more partitions than its rows fill."""
+    out = checkpointed(df)
+    return in_parts(out, out.count())

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, checkpointed, small, text_of
+from .common import BROADCAST_ROWS, checkpointed, gathered, in_parts, small, text_of
 
 WORDS = 5
 #: A pair is linked where PARTS * shared >= LEAST * united, that is from 0.8 on.
@@ -40,6 +40,8 @@ LEAST, PARTS = 4, 5
 SAMPLE, OFTEN, MOST_OFTEN = 32, 3, 200_000
 #: Parity bits of a set, as longs: at least so many, and two bits or more for each member.
 LONGS = 8
+#: Rows of numbers that a text to be hashed counts as, where partitions are gathered.
+TEXTS = 20
 #: Leaders of a group in the first round, and how many times more there are in each next one.
 LEADERS, MORE = 4, 8
 
@@ -87,20 +89,6 @@ def groups(texts: DataFrame, hashes: Column, components) -> DataFrame:
     order = np.argsort(often)
     schema = "id long, n long, prefix array<long>, bits array<long>"
     told = checkpointed(texts.select("id", hashes.alias("hashes")).mapInArrow(_prefix_batches(often[order], times[order]), schema))
-    prefixes = told.select(F.posexplode("prefix").alias("at", "h"), "id", "n").select("h", "id", (F.col("n") - F.col("at")).alias("left"), "n")
-    head = (LEAST + PARTS) * F.col("left") >= 2 * LEAST * F.col("n")
-
-    def some_pair(rows: DataFrame, name: str) -> DataFrame:
-        """(h) of groups with a head and two different values."""
-        ends = rows.groupBy("h").agg(F.min(name).alias("low"), F.max(name).alias("high"), F.bool_or(head).alias("head"))
-        return ends.filter("low < high AND head").select("h")
-
-    met = checkpointed(prefixes.join(some_pair(prefixes, "id"), "h", "left_semi").distinct().withColumn("root", F.col("id")))
-    ids = checkpointed(met.select("id").distinct())
-    bits = checkpointed(told.join(small(ids), "id", "left_semi").groupBy("id").agg(F.first("bits").alias("bits")))
-    held = texts if ids.count() <= BROADCAST_ROWS else checkpointed(texts.join(ids, "id", "left_semi"))
-    found, k = met.select(F.col("id").alias("a"), F.col("id").alias("b")).filter(F.lit(False)), LEADERS
-    roots = found.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
     def with_both(pairs: DataFrame, own: DataFrame, name: str) -> DataFrame:
         """pairs with x and y, what own (id and the column name) has of their ends."""
@@ -108,28 +96,47 @@ def groups(texts: DataFrame, hashes: Column, components) -> DataFrame:
         two = own.join(small(ends), "id").groupBy("a", "b", "sum").agg(F.collect_list(name).alias("two"))
         return two.select("a", "b", "sum", F.get("two", F.lit(0)).alias("x"), F.get("two", F.lit(1)).alias("y"))
 
-    while not met.isEmpty():
+    def alike(pairs: DataFrame, bits: DataFrame, held: DataFrame) -> DataFrame | None:
+        """Those of pairs (a, b, sum) whose sets have a similarity of 0.8, if any are left after their parity bits."""
+        told_bits = with_both(pairs, bits, "bits")
+        differ = F.aggregate(F.zip_with(_halved("x", "y"), _halved("y", "x"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
+        left = gathered(told_bits.filter((LEAST + PARTS) * differ <= (PARTS - LEAST) * F.col("sum")).select("a", "b", "sum"))
+        if left.isEmpty():
+            return None
+        own = gathered(left.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        once = held.join(small(own), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+        sets = in_parts(once, TEXTS * own.count()).select("id", F.array_distinct(hashes).alias("s"))
+        both = with_both(left, sets, "s").select("a", "b", "sum", F.size(F.array_intersect("x", "y")).alias("both"))
+        return both.filter(PARTS * F.col("both") >= LEAST * (F.col("sum") - F.col("both"))).select("a", "b")
+
+    roots = told.select(F.col("id").alias("node"), F.col("id").alias("root")).filter(F.lit(False))
+    prefixes = told.select(F.posexplode("prefix").alias("at", "h"), "id", "n").select("h", "id", (F.col("n") - F.col("at")).alias("left"), "n", F.col("id").alias("root"))
+    head = (LEAST + PARTS) * F.col("left") >= 2 * LEAST * F.col("n")
+
+    def some_pair(rows: DataFrame) -> DataFrame:
+        """(h) of groups with a head and two different roots."""
+        ends = rows.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.bool_or(head).alias("head"))
+        return ends.filter("low < high AND head").select("h")
+
+    met = gathered(prefixes.join(some_pair(prefixes), "h", "left_semi").distinct())
+    ids = gathered(met.select("id").distinct())
+    bits = gathered(told.join(small(ids), "id", "left_semi").groupBy("id").agg(F.first("bits").alias("bits")))
+    held = texts if ids.count() <= BROADCAST_ROWS else checkpointed(texts.join(ids, "id", "left_semi"))
+    k = LEADERS
+    while rows := met.count():
         slot = F.pmod(F.xxhash64("id", F.lit(k)), F.lit(k))
         leaders = met.filter(head).groupBy("h", slot.alias("slot")).agg(F.min(F.struct("id", "n", "root", "left")).alias("to")).select("h", "to")
+        leaders = gathered(in_parts(leaders, rows))
         enough = (LEAST + PARTS) * F.least("left", "to.left") >= LEAST * (F.col("n") + F.col("to.n"))
-        near = (F.col("root") != F.col("to.root")) & (PARTS * F.least("n", "to.n") >= LEAST * F.greatest("n", "to.n")) & enough
-        pairs = met.join(leaders, "h").filter(near)
-        pairs = pairs.select(F.least("id", "to.id").alias("a"), F.greatest("id", "to.id").alias("b"), (F.col("n") + F.col("to.n")).alias("sum")).distinct()
-        told_bits = with_both(checkpointed(pairs), bits, "bits")
-        differ = F.aggregate(F.zip_with(_halved("x", "y"), _halved("y", "x"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
-        pairs = checkpointed(told_bits.filter((LEAST + PARTS) * differ <= (PARTS - LEAST) * F.col("sum")).select("a", "b", "sum"))
-        if not pairs.isEmpty():
-            own = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-            once = held.join(small(own), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
-            sets = once.select("id", F.array_distinct(hashes).alias("s"))
-            both = with_both(pairs, sets, "s").select("a", "b", "sum", F.size(F.array_intersect("x", "y")).alias("both"))
-            new = both.filter(PARTS * F.col("both") >= LEAST * (F.col("sum") - F.col("both"))).select("a", "b")
-            found = checkpointed(found.unionByName(new))
-            roots = components(found)
+        near_size = (F.col("root") != F.col("to.root")) & (PARTS * F.least("n", "to.n") >= LEAST * F.greatest("n", "to.n")) & enough
+        pairs = in_parts(met.join(leaders, "h").filter(near_size), k * rows)
+        pairs = gathered(pairs.select(F.least("id", "to.id").alias("a"), F.greatest("id", "to.id").alias("b"), (F.col("n") + F.col("to.n")).alias("sum")).distinct())
+        if not pairs.isEmpty() and (new := alike(pairs, bits, held)) is not None:
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
         done = leaders.select("h", F.col("to.id").alias("id"))
-        rest = met.drop("root").join(done, ["h", "id"], "left_anti").join(roots, F.col("id") == F.col("node"), "left")
+        rest = in_parts(met.drop("root").join(done, ["h", "id"], "left_anti"), rows).join(small(roots), F.col("id") == F.col("node"), "left")
         rest = rest.select("h", "id", "left", "n", F.coalesce("root", "id").alias("root"))
-        met = checkpointed(rest.join(some_pair(rest, "root"), "h", "left_semi"))
+        met = gathered(in_parts(rest.join(some_pair(rest), "h", "left_semi"), rows))
         k *= MORE
     return roots
 

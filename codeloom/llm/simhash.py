@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.materialize import union
 
 from . import shingle_sets
-from .common import checkpointed, fresh, let, small, text_of, words
+from .common import checkpointed, fresh, gathered, in_parts, let, small, text_of, words
 
 BITS, MAX_DIFFERENT, SHINGLE = 64, 4, 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -273,16 +273,20 @@ def work(distinct: DataFrame, budget: int = MAX_DIFFERENT, node_rows: int = NODE
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b), of any ordered type: large-star and small-star steps until nothing changes."""
-    edges = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    state = None
+    edges = gathered(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    state, rows = None, edges.count()  # no step makes more edges
+
+    def few(df: DataFrame) -> DataFrame:
+        return in_parts(df, rows)
+
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
-        edges = checkpointed(small.filter("a <> b").distinct())
+        lowest = few(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        large = few(both.filter("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        large = few(large.filter("a <> b").distinct())
+        down = few(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = few(large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))).unionByName(down.select("a", F.col("m").alias("b")))
+        edges = checkpointed(few(small.filter("a <> b").distinct()))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -368,6 +368,17 @@ def test_near_copies_by_jaccard(spark):
     assert sorted(r["doc_id"] for r in simhash.one_of_each(df).collect()) == sorted(kept)
 
 
+def test_components_of_few_links_are_few_partitions(spark):
+    """Rounds over a few rows don't write a file for each shuffle partition."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long").repartition(30)
+        found = simhash.components(edges)
+        assert found.rdd.getNumPartitions() == 1 and {(r["node"], r["root"]) for r in found.collect()} == {(k, 0) for k in range(1, 41)}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_mixed_documents_keep_rows_without_an_id_apart(spark):
     """Rows that share a doc_id, or have none, come in as often and as long as the mixture says of each."""
     rows = [(None, "a b c", "s"), (None, " ".join(f"v{k}" for k in range(1000)), "s"), (None, " ".join(f"u{k}" for k in range(300)), "t"), (1, "x " * 50, "t"), (1, "y " * 200, "u")]
