@@ -13,7 +13,8 @@ the sets could at 0.8 (a member that one set lacks changes one bit at most, so n
 of 0.8 goes). Whole sets are made and shuffled only for pairs that are left after their
 bits; where too many texts meet others to broadcast their ids, these are set aside first.
 
-Texts that meet are compared in rounds. A round compares each text of a group
+Texts whose fingerprints are linked are compared first, and their links start the
+components. Texts that meet and are still apart are compared in rounds. A round compares each text of a group
 with a few leaders of the group, which have the member in their head, and links are
 joined into components; texts that are connected by then need no comparison, and leaders
 leave, as all their pairs are done. Groups go on, with more leaders each time, until no
@@ -52,8 +53,8 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.when(own.rlike(r"[^\x20\x09-\x0D]"), own).otherwise(F.lit("")))
 
 
-def _prefix_batches(often: np.ndarray, times: np.ndarray):
-    """A mapInArrow function: (id, hashes) -> id, number of members, prefix and parity bits, for texts with a word."""
+def _prefix_batches(often: np.ndarray, times: np.ndarray, fingerprint):
+    """A mapInArrow function: (id, hashes) -> id, number of members, fingerprint, prefix and parity bits, for texts with a word."""
 
     def run(batches):
         for batch in batches:
@@ -69,26 +70,27 @@ def _prefix_batches(often: np.ndarray, times: np.ndarray):
                 if len(often):
                     place = np.minimum(np.searchsorted(often, own), len(often) - 1)
                     own = own[np.argsort(np.where(often[place] == own, times[place], 0), kind="stable")]
-                rows.append((key, n, own[: n - -(-LEAST * n // PARTS) + 1], np.packbits(parity.astype(bool)).view(np.int64)))
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                rows.append((key, n, fingerprint(values[a:b]), own[: n - -(-LEAST * n // PARTS) + 1], np.packbits(parity.astype(bool)).view(np.int64)))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=["id", "n", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=["id", "n", "fp", "prefix", "bits"])
 
     return run
 
 
-def groups(texts: DataFrame, hashes: Column, components) -> DataFrame:
+def groups(texts: DataFrame, hashes: Column, fingerprint, near, components) -> DataFrame:
     """(node, root) for every id that is connected to others by similarities from 0.8 on.
 
-    texts has id and text, those of one id alike; hashes makes the shingles of text;
-    components makes (node, root) of links (a, b).
+    texts has id and text, those of one id alike; hashes makes the shingles of text and
+    fingerprint a number of these; near makes pairs (a, b) of texts with fingerprints (id,
+    fp) to be compared first; components makes (node, root) of links (a, b).
     """
     counted = texts.filter(F.pmod("id", F.lit(SAMPLE)) == 0).select(F.explode(F.array_distinct(hashes)).alias("h")).groupBy("h").count()
     top = counted.filter(F.col("count") >= OFTEN).orderBy(F.desc("count"), "h").limit(MOST_OFTEN).collect()
     often, times = np.array([r["h"] for r in top], dtype=np.int64), np.array([r["count"] for r in top], dtype=np.int64)
     order = np.argsort(often)
-    schema = "id long, n long, prefix array<long>, bits array<long>"
-    told = checkpointed(texts.select("id", hashes.alias("hashes")).mapInArrow(_prefix_batches(often[order], times[order]), schema))
+    schema = "id long, n long, fp long, prefix array<long>, bits array<long>"
+    told = checkpointed(texts.select("id", hashes.alias("hashes")).mapInArrow(_prefix_batches(often[order], times[order], fingerprint), schema))
 
     def with_both(pairs: DataFrame, own: DataFrame, name: str) -> DataFrame:
         """pairs with x and y, what own (id and the column name) has of their ends."""
@@ -109,8 +111,18 @@ def groups(texts: DataFrame, hashes: Column, components) -> DataFrame:
         both = with_both(left, sets, "s").select("a", "b", "sum", F.size(F.array_intersect("x", "y")).alias("both"))
         return both.filter(PARTS * F.col("both") >= LEAST * (F.col("sum") - F.col("both"))).select("a", "b")
 
-    roots = told.select(F.col("id").alias("node"), F.col("id").alias("root")).filter(F.lit(False))
-    prefixes = told.select(F.posexplode("prefix").alias("at", "h"), "id", "n").select("h", "id", (F.col("n") - F.col("at")).alias("left"), "n", F.col("id").alias("root"))
+    prints = gathered(told.select("id", "n", "fp").distinct())
+    first = gathered(near(prints.select("id", "fp")))
+    ends = first.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
+    first = gathered(prints.join(small(ends), "id").groupBy("a", "b").agg(F.sum("n").alias("sum")))
+    ids = gathered(ends.select("id").distinct())
+    bits = told.join(small(ids), "id", "left_semi").groupBy("id").agg(F.first("bits").alias("bits"))
+    none = first.select("a", "b").filter(F.lit(False))
+    new = alike(first, bits, texts)
+    roots = components(none if new is None else new)
+
+    named = told.join(small(roots), F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
+    prefixes = named.select(F.posexplode("prefix").alias("at", "h"), "id", "n", "root").select("h", "id", (F.col("n") - F.col("at")).alias("left"), "n", "root")
     head = (LEAST + PARTS) * F.col("left") >= 2 * LEAST * F.col("n")
 
     def some_pair(rows: DataFrame) -> DataFrame:

@@ -310,11 +310,26 @@ def near_duplicates(documents: DataFrame, text: str = "text") -> DataFrame:
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def near_texts(prints: DataFrame, budget: int = MAX_DIFFERENT) -> DataFrame:
+    """Pairs (a, b), a < b, of texts that fingerprints link: prints has id and fp.
+
+    A text is paired with one of its fingerprint, and this one with one of the local set
+    that its fingerprint is linked to.
+    """
+    least = gathered(prints.groupBy("fp").agg(F.min("id").alias("id")))
+    alike = prints.join(least.select("fp", F.col("id").alias("b")), "fp").select(F.col("id").alias("a"), "b")
+    linked = links(least.select(F.lit(False).alias("nil"), "id", "fp"), budget).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    pairs = alike.unionByName(linked).filter("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def one_of_each(documents: DataFrame, text: str = "text") -> DataFrame:
     """documents with one row of each component of near copies: the one with the smallest doc_id, null last, then by its other columns.
 
     Near copies here are texts whose sets of five-word shingles have a Jaccard similarity
-    of 0.8 or more (:mod:`.shingle_sets`), not those of :func:`near_duplicates`. Texts
+    of 0.8 or more. Fingerprints of these shingles are linked as in :func:`near_duplicates`,
+    and the links whose sets are that similar stay. Such texts may differ in more bits than
+    tries can hold, so :mod:`.shingle_sets` finds the pairs that these links leave apart. Texts
     that share a doc_id and are no near copies all stay; rows of one text without a
     doc_id are copies like any other. Rows with neither an id nor a word pass.
     """
@@ -322,7 +337,7 @@ def one_of_each(documents: DataFrame, text: str = "text") -> DataFrame:
     keyed = documents.withColumn(key, shingle_sets.text_key(text))
     blank = doc.isNull() & (F.col(key) == F.xxhash64(F.lit("")))
     texts = keyed.select(F.col(key).alias("id"), text_of(text).alias("text"))
-    roots = shingle_sets.groups(texts, shingle_hashes(F.col("text"), shingle_sets.WORDS), components)
+    roots = shingle_sets.groups(texts, shingle_hashes(F.col("text"), shingle_sets.WORDS), _majority_bits, near_texts, components)
     nodes = checkpointed(roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct())
 
     tables = keyed.filter(~blank).select(doc.alias("doc"), F.col(key).alias("node"))

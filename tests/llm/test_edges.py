@@ -368,6 +368,28 @@ def test_near_copies_by_jaccard(spark):
     assert sorted(r["doc_id"] for r in simhash.one_of_each(df).collect()) == sorted(kept)
 
 
+def test_near_copies_are_linked_by_fingerprints_first(spark, monkeypatch):
+    """The stage links five-word fingerprints as the operator does, compares the sets of what they link, and finds the other pairs too."""
+    import numpy as np
+
+    near, far = ([f"o{x}_{k}" for k in range(60)] for x in (8, 7))  # with one word changed they differ in 4 and in 15 bits
+    texts = {1: near, 2: [*near[:30], "y", *near[31:]], 3: far, 4: [*far[:30], "y", *far[31:]], 5: [f"c{k}" for k in range(50)]}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(3)
+    made, linked = simhash.links, []
+
+    def seen(distinct, budget):
+        out = made(distinct, budget)
+        linked.append(({r["fp"] for r in distinct.collect()}, [{r["a"]["fp"], r["b"]["fp"]} for r in out.collect()]))
+        return out
+
+    monkeypatch.setattr(simhash, "links", seen)
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(df).collect()) == [1, 3, 5]
+    hashed = df.select("doc_id", simhash.shingle_hashes(F.col("text"), 5).alias("hashes")).collect()
+    fps = {r["doc_id"]: simhash._majority_bits(np.array(r["hashes"])) for r in hashed}
+    assert [((fps[a] ^ fps[b]) & (2**64 - 1)).bit_count() for a, b in ((1, 2), (3, 4))] == [4, 15]
+    assert linked == [(set(fps.values()), [{fps[1], fps[2]}])]
+
+
 def test_components_of_few_links_are_few_partitions(spark):
     """Rounds over a few rows don't write a file for each shuffle partition."""
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
