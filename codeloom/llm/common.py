@@ -17,6 +17,8 @@ SEPARATORS = r"[\x20\x09-\x0D]+"
 SEPARATOR_CHARS = " \t\n\x0b\x0c\r"
 #: Rows of keys that :func:`small` broadcasts: some tens of MB. Larger tables are joined by a shuffle.
 BROADCAST_ROWS = 400_000
+#: Rows in a batch of Arrow where whole texts go to Python: the JVM and the worker hold one each, with room to grow.
+BATCH_ROWS = 500
 #: Rows of a few numbers that a partition holds at least, before :func:`in_parts` leaves one more.
 PART_ROWS = 20_000
 
@@ -87,6 +89,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return cut(df)
 
 
+def checkpointed_in_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    """:func:`checkpointed`, where Python functions in df get at most so many rows in a batch, or fewer if the session says so."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = conf.get(name)
+    if 0 < int(own) <= rows:
+        return checkpointed(df)
+    conf.set(name, str(rows))
+    try:
+        return checkpointed(df)
+    finally:
+        conf.set(name, own)
+
+
 def small(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """keys, a materialised table of a few numbers a row, marked for broadcasting if it has at most so many rows."""
     return F.broadcast(keys) if keys.limit(rows + 1).count() <= rows else keys

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, text_of
+from .common import checkpointed_in_batches, fresh, text_of
 from .tokens import default_path, word_tokens
 
 CAPACITY, END_ID = 4096, 1
@@ -82,7 +82,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """parts, which have a column length, with sequence_id and offset."""
-    parts = checkpointed(parts)
+    parts = checkpointed_in_batches(parts)
     shards = max(1, -(-parts.count() // shard_pieces))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema.fields) + ", sequence_id long, offset long"
     shard = fresh("shard", parts)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, checkpointed, gathered, in_parts, small, text_of
+from .common import BROADCAST_ROWS, checkpointed, checkpointed_in_batches, gathered, in_parts, small, text_of
 
 WORDS = 5
 #: A pair is linked where PARTS * shared >= LEAST * united, that is from 0.8 on.
@@ -90,7 +90,7 @@ def groups(texts: DataFrame, hashes: Column, fingerprint, near, components) -> D
     often, times = np.array([r["h"] for r in top], dtype=np.int64), np.array([r["count"] for r in top], dtype=np.int64)
     order = np.argsort(often)
     schema = "id long, n long, fp long, prefix array<long>, bits array<long>"
-    told = checkpointed(texts.select("id", hashes.alias("hashes")).mapInArrow(_prefix_batches(often[order], times[order], fingerprint), schema))
+    told = checkpointed_in_batches(texts.select("id", hashes.alias("hashes")).mapInArrow(_prefix_batches(often[order], times[order], fingerprint), schema))
 
     def with_both(pairs: DataFrame, own: DataFrame, name: str) -> DataFrame:
         """pairs with x and y, what own (id and the column name) has of their ends."""

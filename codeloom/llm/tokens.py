@@ -76,7 +76,7 @@ class _Pieces(dict):
 
 
 class WordTokens:
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -192,6 +192,32 @@ def test_ids_of_tokenizers_that_do_not_split_into_pieces(spark):
             assert word_tokens(path)(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
+def test_an_encoder_remembers_pieces_within_a_bound():
+    from sys import getsizeof
+
+    from codeloom.llm.tokens import default_path, word_tokens
+
+    encoder = type(word_tokens(default_path()))(default_path())
+    pieces = encoder.pieces
+    pieces.model = type("Model", (), {"tokenize": lambda self, raw: [type("Token", (), {"id": len(raw)})]})()
+    assert [pieces[f"piece{k}"] for k in range(450_000)][-1] == (11).to_bytes(4, "little")
+    held = sum(getsizeof(memo) + sum(getsizeof(k) + getsizeof(v) for k, v in memo.items()) for memo in (pieces, pieces.older))
+    assert held < 40e6  # two workers of an executor hold one each
+
+
+def test_packing_gets_texts_in_small_batches(spark):
+    import pyarrow as pa
+
+    def batch_sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([0], pa.int32()), pa.array([batch.num_rows], pa.int64())], names=["doc_id", "piece", "length"])
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    lengths = [r["length"] for r in packing.pack(spark.range(3000).coalesce(1).mapInArrow(batch_sizes, "doc_id long, piece int, length long")).collect()]
+    assert sum(lengths) == 3000 and max(lengths) <= 500 and spark.conf.get(name) == before
+
+
 def test_packed_sequences_hold_the_documents(spark, docs):
     own = docs.filter("doc_id IN (1, 2, 5)")
     placed = packing.pack_documents(own)
