@@ -42,24 +42,14 @@ def changed_ranges(lines: DataFrame) -> DataFrame:
 
 def name_status(manifests: DataFrame) -> DataFrame:
     """(path, status, previous) of NUL-separated status manifests (body): A, D, M or T with a path, R with a score and two paths."""
-    parts = manifests.select(F.split("body", "\x00").alias("p")).select(F.filter("p", lambda x: x != "").alias("p"))
-    # a path never is a status right after one, so tokens are walked once with what is still to come
-    none = F.lit(None).cast("string")
-    start = F.struct(F.array().cast("array<struct<path:string,status:string,previous:string>>").alias("rows"), none.alias("status"), none.alias("previous"))
-
-    def step(acc, token):
-        opened = acc["status"].isNull()
-        waits = acc["status"].startswith("R") & acc["previous"].isNull()
-        name = F.when(acc["status"].startswith("R"), "renamed").when(acc["status"] == "A", "added").when(acc["status"] == "D", "deleted").otherwise("modified")
-        row = F.struct(token.alias("path"), name.alias("status"), acc["previous"].alias("previous"))
-        return F.struct(
-            F.when(opened | waits, acc["rows"]).otherwise(F.concat(acc["rows"], F.array(row))).alias("rows"),
-            F.when(opened, token).when(waits, acc["status"]).otherwise(none).alias("status"),
-            F.when(~opened & waits, token).otherwise(none).alias("previous"),
-        )
-
-    rows = F.aggregate("p", start, step, lambda acc: acc["rows"])
-    return parts.select(F.explode(rows).alias("r")).select("r.*")
+    # one match is a status with its paths: it begins where the one before it ended, so that a path is never read as a status
+    path = r"\x00+([^\x00]+)"
+    record = rf"\G\x00*(?:(R[^\x00]*){path}{path}|([^R\x00][^\x00]*){path})"
+    rows = manifests.select(F.explode(F.regexp_extract_all("body", F.lit(record), F.lit(0))).alias("r"))
+    tokens = rows.select(F.filter(F.split("r", "\x00"), lambda x: x != "").alias("p"))
+    status, renamed = F.col("p")[0], F.size("p") == 3
+    name = F.when(renamed, "renamed").when(status == "A", "added").when(status == "D", "deleted").otherwise("modified")
+    return tokens.select(F.when(renamed, F.get("p", F.lit(2))).otherwise(F.col("p")[1]).alias("path"), name.alias("status"), F.when(renamed, F.col("p")[1]).alias("previous"))
 
 
 def comment_places(comments: DataFrame, spans: DataFrame, file: str) -> DataFrame:

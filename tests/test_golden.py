@@ -1,6 +1,7 @@
 """Hand-made graphs with known answers."""
 
 import json
+import time
 
 import pytest
 
@@ -273,6 +274,17 @@ def test_renamed_entries_of_a_manifest(spark):
     assert {tuple(r) for r in rows} == {("a.py", "modified", None), ("new.py", "renamed", "old.py"), ("M", "deleted", None), ("b.py", "added", None)}
 
 
+def test_a_long_manifest_costs_its_length(spark):
+    """Paths that look like a status, an entry that is cut off, and so many that a list written anew for each would take minutes."""
+    many = [("A", f"a{k}") if k % 2 else ("R087", f"o{k}", f"n{k}") for k in range(20_000)]
+    body = "\0".join(["M", "A", "R100", "R1", "D", "\0T", "T", *[x for row in many for x in row], "R50", "lost"])
+    began = time.monotonic()
+    rows = review.name_status(spark.createDataFrame([(body,), ("",), (None,)], "body string")).collect()
+    assert time.monotonic() - began < 30
+    assert [tuple(r) for r in rows[:3]] == [("A", "modified", None), ("D", "renamed", "R1"), ("T", "modified", None)]
+    assert [tuple(r) for r in rows[3:]] == [(x[-1], "added" if x[0] == "A" else "renamed", None if x[0] == "A" else x[1]) for x in many]
+
+
 def test_imports_through_reexports(spark):
     pending = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "c", "x"), (4, "zz", "x")], "id long, subpath string, name string")
     files = spark.createDataFrame([("a.ts",), ("a/index.ts",), ("b.ts",), ("c/index.ts",)], "file string")
