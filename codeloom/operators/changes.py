@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeloom.functions.ids import is_outside
+from codeloom.functions.materialize import cut
 from codeloom.functions.scalars import fnv1a, percent
 
 from .iterate import components
@@ -151,6 +152,7 @@ def flow_impact(flows: DataFrame, calls: DataFrame, nodes: DataFrame, affected:
 
 def change_groups(changed: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, group): changed nodes that edges between changed nodes connect; unchanged neighbours join nothing."""
+    changed = cut(changed.select("id").distinct())
     here = lambda end: changed.select(F.col("id").alias(end))
     own = edges.join(here("source"), "source", "left_semi").join(here("target"), "target", "left_semi")
     return components(changed, own).select("id", F.col("root").alias("group"))

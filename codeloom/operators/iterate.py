@@ -8,10 +8,12 @@ is an error.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.materialize import Unsettled, cut, union
+from codeloom.functions.materialize import Unsettled, cut, remove, shared_folder, stored, union
 
 
 def bfs(seeds: DataFrame, edges: DataFrame, blocked: DataFrame | None = None, max_depth: int | None = None, max_rounds: int = 1_000) -> DataFrame:
@@ -39,18 +41,25 @@ def bfs(seeds: DataFrame, edges: DataFrame, blocked: DataFrame | None = None, ma
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(id, root): the smallest id of each node's component; edges (source, target) are read both ways.
 
-    Each round takes the smallest label of the neighbours and then follows labels of labels.
+    Each round takes the smallest label of the neighbours, tells it to all that share the
+    label so far, and then follows labels of labels: a chain takes about log n rounds in
+    whatever order its names are. The labels of a round are removed when those of the next are written.
     """
-    both = edges.select(F.col("source").alias("id"), F.col("target").alias("other"))
-    both = cut(both.unionByName(both.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct())
-    labels = cut(nodes.select("id", F.col("id").alias("root")).distinct())
-    for _ in range(max_rounds):
+    spark = nodes.sparkSession
+    way = lambda a, b: F.struct(F.col(a).alias("id"), F.col(b).alias("other"))
+    both = cut(edges.select(F.explode(F.array(way("source", "target"), way("target", "source"))).alias("e")).select("e.*").distinct())
+    base = f"{shared_folder(spark)}/components-{uuid.uuid4().hex}"
+    labels = stored(nodes.select("id", F.col("id").alias("root")).distinct(), f"{base}/0")
+    for number in range(1, max_rounds + 1):
         near = both.join(labels.select(F.col("id").alias("other"), F.col("root").alias("seen")), "other").groupBy("id").agg(F.min("seen").alias("seen"))
-        lower = labels.join(near, "id", "left").select("id", "root", F.least("root", F.coalesce("seen", "root")).alias("low"))
+        met = labels.join(near, "id", "left")
+        told = met.filter("seen < root").groupBy("root").agg(F.min("seen").alias("told"))
+        lower = met.join(told, "root", "left").select("id", "root", F.least("root", "seen", "told").alias("low"))
         jump = lower.select(F.col("id").alias("low"), F.col("low").alias("lowest"))
-        new = cut(lower.join(jump, "low", "left").select("id", "root", F.least("low", F.coalesce("lowest", "low")).alias("next")))
+        new = stored(lower.join(jump, "low", "left").select("id", "root", F.least("low", F.coalesce("lowest", "low")).alias("next")), f"{base}/{number}")
+        remove(spark, f"{base}/{number - 1}")
         labels = new.select("id", F.col("next").alias("root"))
-        if not new.filter("next <> root").limit(1).count():
+        if new.filter("next <> root").isEmpty():
             return labels
     raise Unsettled(f"components have not settled within {max_rounds} rounds")
 
