@@ -11,9 +11,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeloom.functions.ids import edge_id, is_outside
+from codeloom.functions.pairs import distinct_pairs
 from codeloom.functions.scalars import channel_id, http_method, http_path
 
 
+#: The senders of one channel are dealt out to so many tasks.
+CHANNEL_PARTS = 8
+
+
 def _site() -> Column:
     return F.struct("ord", "file", "line", "col")
 
@@ -119,9 +124,9 @@ def channel_edges(ports: DataFrame) -> DataFrame:
 
 
 def sender_handler_pairs(ports: DataFrame) -> DataFrame:
-    """Distinct (source, target) owners of the two sides of a channel."""
+    """Distinct (source, target) owners of the two sides of a channel. The pairs of a channel are as many as the product of its sides."""
     side = lambda d, name: ports.filter((F.col("direction") == d) & F.col("channel").isNotNull()).select("protocol", "channel", F.col("owner").alias(name)).distinct()
-    return side("out", "source").join(side("in", "target"), ["protocol", "channel"]).filter("source <> target").select("source", "target").distinct()
+    return distinct_pairs(side("out", "source"), side("in", "target"), ["protocol", "channel"], "source", "target", F.col("source") != F.col("target"), CHANNEL_PARTS)
 
 
 def channel_joins(ports: DataFrame) -> DataFrame:
