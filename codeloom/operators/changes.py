@@ -127,11 +127,12 @@ def affected_flows(calls: DataFrame, changed: DataFrame) -> DataFrame:
     return met.groupBy("flow").agg(F.count_distinct("target").alias("changed_targets"))
 
 
-def flow_impact(flows: DataFrame, calls: DataFrame, nodes: DataFrame, affected: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+def flow_impact(flows: DataFrame, calls: DataFrame, nodes: DataFrame, affected: DataFrame, whole: DataFrame | None = None, uses: DataFrame | None = None) -> DataFrame:
     """flow, owner_file, owner_changed and files_hit of flows that changed or that surely call what changed.
 
     flows: flow (the owner's id); calls: flow, target, resolution; nodes: id, kind, file,
-    a; affected: id. In files that changed as a whole (whole: file) every block counts.
+    a; affected: id. Where many flows call the same targets, uses (flow, via) tells what a
+    flow goes by and calls has via in the place of flow, so that no call is written out. In files that changed as a whole (whole: file) every block counts.
     Those whose owner changed come first, then by file, line and id, without a file last.
     """
     changed = affected.select("id")
@@ -141,8 +142,9 @@ def flow_impact(flows: DataFrame, calls: DataFrame, nodes: DataFrame, affected:
     changed = changed.distinct()
     files = nodes.filter(~is_outside(F.col("id")) & (F.col("kind") != "package")).select("id", F.col("file").alias("hit"))
     hits = calls.filter("resolution = 'resolved'").join(changed.select(F.col("id").alias("target")), "target", "left_semi")
-    hits = hits.join(files.withColumnRenamed("id", "target"), "target").select("flow", "hit").distinct()
-    hits = hits.groupBy("flow").agg(F.array_sort(F.collect_list("hit")).alias("files_hit"))
+    hits = hits.join(files.withColumnRenamed("id", "target"), "target").groupBy("flow" if uses is None else "via").agg(F.array_sort(F.collect_set("hit")).alias("files_hit"))
+    if uses is not None:
+        hits = uses.select("flow", "via").distinct().join(hits, "via").groupBy("flow").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("files_hit")))).alias("files_hit"))
     owners = nodes.select(F.col("id").alias("flow"), F.when(~is_outside(F.col("id")) & (F.col("kind") != "package"), F.col("file")).alias("owner_file"), F.col("a").alias("_line"))
     own = changed.select(F.col("id").alias("flow"), F.lit(True).alias("owner_changed"))
     met = flows.select("flow").distinct().join(own, "flow", "left").join(hits, "flow", "left").filter("owner_changed OR files_hit IS NOT NULL").join(owners, "flow", "left")

@@ -114,10 +114,10 @@ def flow_impact(located, nation, supplier):
     """Classes as flows that call methods of like names."""
     files, hunks = _change(nation, supplier)
     flows = located.filter("kind = 'class'").select(F.col("id").alias("flow"))
-    own = flows.withColumn("m", F.length("flow") % 50).withColumn("e", F.substring("flow", -1, 1))
-    methods = located.filter("kind = 'method'").select(F.col("id").alias("target"), (F.col("a") % 50).alias("m"), F.substring("id", -1, 1).alias("e"))
-    calls = own.join(methods, ["m", "e"]).select("flow", "target", F.lit("resolved").alias("resolution"))
-    told = C.flow_impact(flows, calls, located, C.affected_nodes(located, files, hunks))
+    name = lambda m, id: F.concat_ws("#", m % 50, F.substring(id, -1, 1)).alias("via")
+    uses = flows.select("flow", name(F.length("flow"), "flow"))
+    calls = located.filter("kind = 'method'").select(name(F.col("a"), "id"), F.col("id").alias("target"), F.lit("resolved").alias("resolution"))
+    told = C.flow_impact(flows, calls, located, C.affected_nodes(located, files, hunks), uses=uses)
     return told.withColumn("files_hit", F.array_join("files_hit", " "))
 
 
