@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeloom.functions.materialize import Unsettled, cut, union
+from codeloom.functions.pairs import distinct_pairs
 
 from .iterate import bfs
 from .tree import nearest
@@ -132,20 +133,33 @@ def extraction_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return by(nodes, "node", F.col("kind")).unionByName(by(edges, "edge", F.col("kind"))).unionByName(by(edges, "resolution", F.coalesce("resolution", F.lit("resolved"))))
 
 
+def _first_and_last(sites: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
+    """Per edge and file the last site of a candidate and the first end of a boundary, and whether the one comes after the other."""
+    begins = sites.groupBy(F.col("edge").alias("candidate"), "file").agg(F.max(F.struct("line", F.coalesce("col", F.lit(-1)).alias("col"))).alias("last"))
+    stop = F.struct(F.coalesce("end_line", "line").alias("line"), F.coalesce("end_col", F.lit(2**31 - 1)).alias("col"))
+    ends = sites.groupBy(F.col("edge").alias("boundary"), "file").agg(F.min(stop).alias("first"))
+    later = (F.col("last.line") > F.col("first.line")) | ((F.col("last.line") == F.col("first.line")) & (F.col("last.col") >= F.col("first.col")))
+    return begins, ends, later
+
+
 def occurs_after(pairs: DataFrame, sites: DataFrame) -> DataFrame:
     """(candidate, boundary) of pairs of edge ids of which a site of the one begins after one of the other in the same file.
 
     sites: edge, file, line, col, end_line, end_col. Only the last site of the candidate
     and the first end of the boundary in a file matter. On one line both columns must be known.
     """
-    begins = sites.groupBy(F.col("edge").alias("candidate"), "file").agg(F.max(F.struct("line", F.coalesce("col", F.lit(-1)).alias("col"))).alias("last"))
-    stop = F.struct(F.coalesce("end_line", "line").alias("line"), F.coalesce("end_col", F.lit(2**31 - 1)).alias("col"))
-    ends = sites.groupBy(F.col("edge").alias("boundary"), "file").agg(F.min(stop).alias("first"))
+    begins, ends, later = _first_and_last(sites)
     met = pairs.select("candidate", "boundary").distinct().join(begins, "candidate").join(ends, ["boundary", "file"])
-    later = (F.col("last.line") > F.col("first.line")) | ((F.col("last.line") == F.col("first.line")) & (F.col("last.col") >= F.col("first.col")))
     return met.filter(later).select("candidate", "boundary").distinct()
 
 
+def occurs_after_in_groups(candidates: DataFrame, boundaries: DataFrame, sites: DataFrame) -> DataFrame:
+    """:func:`occurs_after` of all candidates (candidate, group) and boundaries (boundary, group) of one group, without writing out their pairs."""
+    begins, ends, later = _first_and_last(sites)
+    placed = lambda df, name, of: df.select(name, "group").distinct().join(of, name)
+    return distinct_pairs(placed(candidates, "candidate", begins), placed(boundaries, "boundary", ends), ["group", "file"], "candidate", "boundary", later)
+
+
 #: Edges by which a flow makes a promise its own.
 PROMISES = ("returnsPromise", "resolvesPromise", "rejectsPromise")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars
-from codeloom.functions.materialize import cut
+from codeloom.functions.materialize import cut, stored
 from codeloom.operators import cluster as G
 from codeloom.operators import compose, gates, link, telemetry, tree
 from codeloom.operators import metrics as M
@@ -304,10 +304,10 @@ AND (a.line > coalesce(b.end_line, b.line) OR a.line = coalesce(b.end_line, b.li
 def occurs_after(occurrences):
     """Calls against constructions of the same supplier."""
     line = F.col("line")
-    sites = cut(occurrences.select(F.concat("kind", F.lit("@"), "source", F.lit("|"), "target").alias("edge"), "file", "line", F.when(line % 5 != 0, F.col("col")).alias("col"),
+    sites = stored(occurrences.filter("kind IN ('calls', 'instantiates')").select(F.concat("kind", F.lit("@"), "source", F.lit("|"), "target").alias("edge"), "file", "line", F.when(line % 5 != 0, F.col("col")).alias("col"),
                                    F.when(line % 3 == 0, line + 1).alias("end_line"), F.when(line % 4 != 0, F.col("col") + 2).alias("end_col"), "kind", "source"))
-    side = lambda kind, name: sites.filter(F.col("kind") == kind).select("source", (line % 20).alias("m"), F.col("edge").alias(name)).distinct()
-    return R.occurs_after(side("calls", "candidate").join(side("instantiates", "boundary"), ["source", "m"]).select("candidate", "boundary"), sites)
+    side = lambda kind, name: sites.filter(F.col("kind") == kind).select(F.concat_ws("@", "source", line % 20).alias("group"), F.col("edge").alias(name))
+    return R.occurs_after_in_groups(side("calls", "candidate"), side("instantiates", "boundary"), sites)
 
 
 @query("orders", """WITH e AS (SELECT concat('f', o_orderkey) AS flow, concat('p', o_custkey % 400) AS promise, o_orderkey % 4 = 0 AS returns FROM orders WHERE o_orderkey % 5 <> 0 UNION ALL SELECT concat('f', o_orderkey), 'p0', false FROM orders WHERE o_orderkey % 11 = 0),
